@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> dict[str, Registered]:
     from querydelta.registry import (  # noqa: F401
-        compare, predicates, joins,
+        aggregates, compare, joins, membership, predicates, sets,
     )
 
     return REGISTRY
