@@ -164,11 +164,14 @@ def filtered_aggregate_boundary(
         F.count_if(keep(predicate_baseline)).alias("rows_a"),
         F.count_if(keep(predicate_candidate)).alias("rows_b"),
     )
-    kept_a = keep(having.replace("value", "v_baseline")) & (F.col("rows_a") > 0)
-    kept_b = keep(having.replace("value", "v_candidate")) & (F.col("rows_b") > 0)
-    return groups.select(*keys, "v_baseline", "v_candidate", direction(kept_a, kept_b).alias("direction")).where(
-        "direction is not null"
+    judged = (
+        groups.withColumn("value", F.col("v_baseline"))
+        .withColumn("in_a", keep(having) & (F.col("rows_a") > 0))
+        .withColumn("value", F.col("v_candidate"))
+        .withColumn("in_b", keep(having) & (F.col("rows_b") > 0))
     )
+    verdict = direction(F.col("in_a"), F.col("in_b")).alias("direction")
+    return judged.select(*keys, "v_baseline", "v_candidate", verdict).where("direction is not null")
 
 
 def aggregate_function_separation(
