@@ -12,7 +12,7 @@ _PLAIN_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)$"
 _SCIENTIFIC_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)[eE][+-]?\d+$"
 
 
-def _plain_digits(text: Column) -> Column:
+def plain_digits(text: Column) -> Column:
     """One spelling per number: no plus sign, no padding zeros, no ``-0``."""
     negative = text.startswith("-")
     unsigned = F.regexp_replace(text, r"^[+-]", "")
@@ -40,7 +40,7 @@ def canonical_key(column: Column, dtype: T.DataType) -> Column:
             )
         else:
             exact = column.cast("string")
-        pair = (F.lit("numeric"), F.coalesce(_plain_digits(exact), column.cast("string")))
+        pair = (F.lit("numeric"), F.coalesce(plain_digits(exact), column.cast("string")))
     elif isinstance(dtype, T.StringType):
         stripped = F.regexp_replace(column, r"^\s+|\s+$", "")
         scientific = stripped.try_cast("decimal(38,10)").cast("string")
@@ -48,8 +48,8 @@ def canonical_key(column: Column, dtype: T.DataType) -> Column:
         is_scientific = stripped.rlike(_SCIENTIFIC_NUMBER) & scientific.isNotNull()
         pair = (
             F.when(is_plain | is_scientific, "numeric").otherwise("text"),
-            F.when(is_plain, _plain_digits(stripped))
-            .when(is_scientific, _plain_digits(scientific))
+            F.when(is_plain, plain_digits(stripped))
+            .when(is_scientific, plain_digits(scientific))
             .otherwise(column),
         )
     else:

@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> dict[str, Registered]:
     from querydelta.registry import (  # noqa: F401
-        aggregates, compare, joins, membership, ordering, predicates, sets, windows,
+        aggregates, compare, datagen, joins, membership, ordering, predicates, sets, structure, windows,
     )
 
     return REGISTRY

@@ -27,6 +27,7 @@ def local_session(cores: int = 8, app: str = "querydelta", **conf: str) -> Spark
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():

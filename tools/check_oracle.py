@@ -72,9 +72,12 @@ def main() -> int:
 
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
+    parser.add_argument("--set", action="append", default=[], metavar="KEY=VALUE", help="session settings")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     spark = local_session()
+    for setting in args.set:
+        spark.conf.set(*setting.split("=", 1))
     import logging
 
     logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL)
