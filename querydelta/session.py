@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +28,6 @@ def local_session(cores: int = 8, app: str = "querydelta", **conf: str) -> Spark
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
@@ -45,19 +45,26 @@ def max_broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(MAX_BROADCAST_ROWS, str(DEFAULT_MAX_BROADCAST_ROWS)))
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one named in ``spark.checkpoint.dir``.
+
+    Only a local master without that setting gets a scratch folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        folder = tempfile.mkdtemp(prefix="querydelta-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/querydelta-{spark.sparkContext.applicationId}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+    """Write ``df`` to the scratch folder and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    local master without that setting falls back to a scratch folder.
+    Cuts plan and lineage, survives the loss of executors, and gives the next
+    join real sizes. The folder can be dropped once the application has ended.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="querydelta-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
