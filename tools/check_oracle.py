@@ -9,10 +9,13 @@ import argparse
 import math
 import os
 import sys
+import threading
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+SQL_SECONDS = 90  # a statement beyond this is interrupted and reported
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -49,21 +52,29 @@ def duck(folder):
 
 def compare(spark, con, item, folder):
     """(ok, message) for one registered query."""
+    started = time.time()
     frame = item.run(spark, folder)
     columns = frame.columns
     got = rows_of(columns, [tuple(row) for row in frame.collect()])
     if item.sql is None:
         return True, f"rows only: {len(got)}"
-    cursor = con.execute(item.sql)
-    names = [entry[0] for entry in cursor.description]
-    want = rows_of(names, cursor.fetchall())
+    spark_done = time.time()
+    watchdog = threading.Timer(SQL_SECONDS, con.interrupt)
+    watchdog.start()
+    try:
+        cursor = con.execute(item.sql)
+        names = [entry[0] for entry in cursor.description]
+        want = rows_of(names, cursor.fetchall())
+    finally:
+        watchdog.cancel()
+    spent = f"spark {spark_done - started:.1f}s, sql {time.time() - spark_done:.1f}s"
     if sorted(names) != sorted(columns):
         return False, f"columns {sorted(columns)} <> {sorted(names)}"
     if got != want:
         only_got = [row for row in got if row not in set(want)][:3]
         only_want = [row for row in want if row not in set(got)][:3]
         return False, f"{len(got)} <> {len(want)} rows; spark only {only_got}; sql only {only_want}"
-    return True, f"{len(got)} rows"
+    return True, f"{len(got)} rows ({spent})"
 
 
 def main() -> int:
