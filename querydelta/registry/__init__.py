@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> dict[str, Registered]:
     from querydelta.registry import (  # noqa: F401
-        aggregates, audit, compare, datagen, evidence, joins, membership, ordering, predicates, sets, structure, windows,
+        aggregates, audit, compare, datagen, evidence, joins, membership, ordering, predicates, reports, sets, structure, windows,
     )
 
     return REGISTRY
