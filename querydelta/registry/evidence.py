@@ -196,7 +196,7 @@ _USABLE = f"""{_CLASSIFIED},
 
 
 def _usable(t):
-    return E.drop_redundant_summaries(_classified(t))
+    return E.drop_redundant_summaries(durable(_classified(t)))
 
 
 @query("drop_redundant_summaries", f"WITH {_USABLE} SELECT case_id, diff_id, diff_type FROM usable")
