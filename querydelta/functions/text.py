@@ -17,9 +17,8 @@ def collapse(text: Column) -> Column:
 
 
 def normalized_secret(text: Column) -> Column:
-    """Collapsed text without the trailing semicolons of a statement."""
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.lower(F.regexp_replace(F.regexp_replace(trimmed, r";+$", ""), r"\s+", " "))
+    """Collapsed text without the trailing semicolons (and blanks) of a statement."""
+    return collapse(F.regexp_replace(text, r"[\s;]+$", ""))
 
 
 def glob_regex(pattern: str) -> str:

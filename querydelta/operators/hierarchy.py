@@ -50,18 +50,19 @@ def hierarchy_reach(
     reached = durable(
         df.where(as_column(roots)).select(F.col(node)).distinct().withColumn("depth", F.lit(0))
     )
-    newest = reached
-    depth = 0
-    while not newest.isEmpty():
+    newest, depth = reached, 0
+    while True:
         depth += 1
-        if depth > max_depth:
-            raise ValueError(f"the hierarchy is deeper than max_depth={max_depth}")
         below = newest.select(F.col(node).alias("above__"))
         newest = durable(
             edges.join(below, "above__").select(node).distinct()
             .join(reached.select(node), node, "left_anti")
             .withColumn("depth", F.lit(depth))
         )
+        if newest.isEmpty():
+            break
+        if depth > max_depth:
+            raise ValueError(f"the hierarchy is deeper than max_depth={max_depth}")
         reached = reached.unionAll(newest)
         if depth % 8 == 0:
             reached = durable(reached)

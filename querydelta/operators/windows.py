@@ -133,7 +133,8 @@ def _sliding(df, fn, value, part, total_order, frame, name) -> DataFrame:
         F.explode(F.sequence(F.col("pos__") - last, F.col("pos__") - first)).alias("pos__"),
     )
     facts = seen.groupBy(*part, "pos__").agg(_AGGREGATES[fn](F.col("value__")).alias(name))
-    return null_safe_lookup(placed, facts, [*part, "pos__"]).drop("pos__")
+    framed = null_safe_lookup(placed, facts, [*part, "pos__"]).drop("pos__")
+    return framed.fillna(0, [name]) if fn == "count" else framed
 
 
 def frame_divergence(
