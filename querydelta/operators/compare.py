@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from querydelta.functions import keys as K
 from querydelta.functions.logic import BASELINE_ONLY, CANDIDATE_ONLY, long_form
-from querydelta.functions.sorting import SortKey
+from querydelta.functions.sorting import SortKey, names
 from querydelta.operators.positions import running
 
 
@@ -111,8 +111,10 @@ def ordered_diff(
     orders must be total; see ``topn_cutoff_ties`` for partial ones.
     """
     columns = list(columns or baseline.columns)
-    left = running(baseline, [], order_baseline).select("pos", F.struct(*columns).alias("a__"))
-    right = running(candidate, [], order_candidate).select(
+    first = baseline.select(*dict.fromkeys([*columns, *names(order_baseline)]))
+    second = candidate.select(*dict.fromkeys([*columns, *names(order_candidate)]))
+    left = running(first, [], order_baseline).select("pos", F.struct(*columns).alias("a__"))
+    right = running(second, [], order_candidate).select(
         F.col("pos").alias("pos_b__"), F.struct(*columns).alias("b__")
     )
     joined = left.join(right, F.col("pos") == F.col("pos_b__"), "full")

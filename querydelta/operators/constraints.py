@@ -173,10 +173,11 @@ def unresolved_references(refs: DataFrame, scopes: DataFrame, columns: DataFrame
     * ``scopes``: scope_id, alias, table_name
     * ``columns``: table_name, column_name
 
-    The columns a scope provides are counted per (scope, column) before the
-    references meet them.
+    Only the columns a scope asks for are looked up, once each, and counted per
+    (scope, column) before the references meet them.
     """
-    provided = scopes.join(columns.distinct(), "table_name")
+    asked = refs.select("scope_id", "column_name").distinct()
+    provided = scopes.join(asked, "scope_id").join(columns, ["table_name", "column_name"], "left_semi")
     by_alias = provided.select("scope_id", F.col("alias").alias("qualifier"), "column_name").distinct() \
         .withColumn("has_column", F.lit(True))
     aliases = scopes.select("scope_id", F.col("alias").alias("qualifier")).distinct() \

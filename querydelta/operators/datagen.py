@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from querydelta.functions.keys import plain_digits
 from querydelta.functions.logic import as_column
 from querydelta.functions.sorting import SortKey, names
-from querydelta.operators.positions import running
+from querydelta.operators.positions import limit_is_pushed, running
 
 # The categories that seeded text columns cycle through.
 CATEGORIES = {
@@ -197,7 +197,8 @@ def witness_sample(
         cases = divergent.select(diff, path).distinct()
         cases = running(cases, [diff], [path], position="case__").where(F.col("case__") <= n_cases)
         rows = rows.join(cases.drop("case__"), groups, "left_semi")
-    ranked = running(rows, groups, list(keys), position="rank", large=False)
+    pushed = limit_is_pushed(divergent.sparkSession, n_rows)
+    ranked = running(rows, groups, list(keys), position="rank", large=False if pushed else None)
     return ranked.where(F.col("rank") <= n_rows)
 
 

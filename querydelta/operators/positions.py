@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querydelta.functions.sorting import SortKey, names, orders
@@ -23,6 +23,15 @@ RANK_FUNCTIONS = ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist
 _CARRY = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
+# Spark cuts `rank <= k` below the shuffle up to this k.
+_GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+def limit_is_pushed(spark: SparkSession, k: int) -> bool:
+    """Whether a filter ``row_number <= k`` shrinks every group before the shuffle."""
+    return k <= int(spark.conf.get(_GROUP_LIMIT, "1000"))
+
+
 def has_large_group(df: DataFrame, part: Sequence[str]) -> bool:
     """Whether one partition holds more rows than one task should sort."""
     sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))

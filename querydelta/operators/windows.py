@@ -15,15 +15,12 @@ from pyspark.sql import functions as F
 from querydelta.functions.logic import as_column, compare, direction, keep, tally, with_flag
 from querydelta.functions.sorting import SortKey, names, orders, sort_keys
 from querydelta.operators.positions import (
-    RANK_FUNCTIONS, has_large_group, null_safe_lookup, ranks, running, with_totals,
+    RANK_FUNCTIONS, has_large_group, limit_is_pushed, null_safe_lookup, ranks, running, with_totals,
 )
 
 Keys = Sequence[str | SortKey]
 Spec = tuple[Sequence[str], Keys]
 
-# Spark pushes `rank <= k` below the shuffle up to this k.
-_GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
-
 
 def window_path_profile(df: DataFrame, part: Sequence[str], order: Keys) -> DataFrame:
     """One row: partitions, ties, partitions with two order values, NULL order keys."""
@@ -69,13 +66,13 @@ def _columns(part: Sequence[str], order: Keys, others: Sequence[str]) -> list[st
 
 
 def _window_value(df: DataFrame, function: str, spec: Spec, keys: Sequence[str], name: str) -> DataFrame:
+    """Add a rank, or an aggregate of ``value__`` (of the partition, or running in the order)."""
     part, order = spec
     if function in RANK_FUNCTIONS:
         return ranks(df, part, order, keys, {name: function})
-    if not order:
-        return with_totals(df, part, [F.expr(function).alias(name)])
-    fn, argument = function.rstrip(")").split("(", 1)
-    return _framed(df, fn, as_column(argument), part, order, keys, "range", name, has_large_group(df, part))
+    frame = "range" if order else "whole"
+    large = bool(order) and has_large_group(df, part)
+    return _framed(df, function, F.col("value__"), part, order, keys, frame, name, large)
 
 
 def window_spec_divergence(
@@ -83,11 +80,16 @@ def window_spec_divergence(
 ) -> DataFrame:
     """Rows whose window value changes with the PARTITION BY or ORDER BY.
 
-    ``function`` is a rank function or an aggregate such as ``"sum(value)"``; a
-    specification is ``(partition columns, sort keys)``.
+    ``function`` is a rank function or ``sum``/``min``/``max``/``count`` of an
+    expression such as ``"sum(value)"``; a specification is ``(partition columns,
+    sort keys)``.
     """
-    valued = _window_value(df, function, baseline, keys, "v_baseline")
-    valued = _window_value(valued, function, candidate, keys, "v_candidate")
+    columns = list(dict.fromkeys([*_columns(*baseline, keys), *_columns(*candidate, [])]))
+    name, _, argument = function.partition("(")
+    value = [F.expr(argument.rstrip(") ")).alias("value__")] if argument else []
+    valued = df.select(*columns, *value)
+    valued = _window_value(valued, name, baseline, keys, "v_baseline")
+    valued = _window_value(valued, name, candidate, keys, "v_candidate")
     return valued.select(*keys, "v_baseline", "v_candidate").where("not (v_baseline <=> v_candidate)")
 
 
@@ -146,10 +148,10 @@ def frame_divergence(
     A frame is ``"rows"`` or ``"range"`` (from the start of the partition to the
     current row), ``"whole"``, or ``(first, last)`` row offsets.
     """
-    cell = as_column(value)
-    large = has_large_group(df, part)
-    framed = _framed(df, function, cell, part, order, keys, baseline, "v_baseline", large)
-    framed = _framed(framed, function, cell, part, order, keys, candidate, "v_candidate", large)
+    rows = df.select(*_columns(part, order, keys), as_column(value).alias("value__"))
+    large = has_large_group(rows, part)
+    framed = _framed(rows, function, F.col("value__"), part, order, keys, baseline, "v_baseline", large)
+    framed = _framed(framed, function, F.col("value__"), part, order, keys, candidate, "v_candidate", large)
     return framed.select(*keys, "v_baseline", "v_candidate").where("not (v_baseline <=> v_candidate)")
 
 
@@ -181,7 +183,7 @@ def first_last_divergence(
     facts = edges.select(
         *part, F.col(f"first__.{value}").alias("v_first"), F.col(f"last__.{value}").alias("v_candidate")
     )
-    rows = null_safe_lookup(df, facts, list(part))
+    rows = null_safe_lookup(df.select(*dict.fromkeys([*part, *keys, value])), facts, list(part))
     return rows.select(*keys, F.col(value).alias("v_baseline"), "v_candidate", "v_first").where(
         "not (v_baseline <=> v_candidate)"
     )
@@ -232,7 +234,7 @@ def window_filter_boundary(
 ) -> DataFrame:
     """Rows kept by only one of two Top-k filters on a rank (``<``, ``<=`` or ``=``)."""
     top = max(limit_baseline, limit_candidate)
-    pushed = function == "row_number" and top <= int(df.sparkSession.conf.get(_GROUP_LIMIT, "1000"))
+    pushed = function == "row_number" and limit_is_pushed(df.sparkSession, top)
     ranked = ranks(
         df.select(*_columns(part, order, keys)), part, order, keys, {"rank__": function},
         large=False if pushed else None,
