@@ -1,7 +1,8 @@
 """Time the headline queries and print one JSON line.
 
 ``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the cores, ``BENCH_RUNS`` the
-timed runs per query (after one warm-up; the median counts).
+timed runs per query (after one warm-up; the median counts). ``shuffles`` counts the
+exchanges in the final plan, without those of steps written before.
 """
 
 from __future__ import annotations
@@ -36,20 +37,23 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = local_session(cores, "bench")
     registry = load()
-    seconds = {}
+    seconds, shuffles = {}, {}
     for name in HEADLINE:
         times = []
         for _ in range(runs + 1):
             started = time.perf_counter()
-            registry[name].run(spark, folder).write.format("noop").mode("overwrite").save()
+            result = registry[name].run(spark, folder)
+            result.write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - started)
         seconds[name] = round(statistics.median(times[1:]), 3)
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        shuffles[name] = plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
         print(f"{seconds[name]:8.3f}s {name}", file=sys.stderr, flush=True)
     print(
         json.dumps(
             {
                 "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
-                "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
+                "queries": seconds, "shuffles": shuffles, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
             }
         )
     )

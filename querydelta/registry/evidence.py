@@ -117,6 +117,18 @@ def logical_stage(t):
     return E.logical_stage(_diffs(t)).select("diff_id", "diff_type", "logical_stage", "teaching_stage", "stage_rank")
 
 
+@query("suggested_probes", f"""WITH {_DIFFS}
+SELECT diff_type, count(*) AS n, CASE diff_type
+    WHEN 'limit_changed' THEN 'limit_reachability' WHEN 'join_missing' THEN 'join_presence_effect'
+    WHEN 'set_operator_changed' THEN 'set_op_effect' WHEN 'window_function_changed' THEN 'lag_lead_paths' END AS last_probe
+FROM diffs WHERE diff_type IN ('limit_changed', 'join_missing', 'set_operator_changed', 'window_function_changed') GROUP BY 1""")
+def suggested_probes(t):
+    kinds = ["limit_changed", "join_missing", "set_operator_changed", "window_function_changed"]
+    return E.suggested_probes(_diffs(t)).where(F.col("diff_type").isin(kinds)).groupBy("diff_type").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.element_at("probes", -1)).alias("last_probe")
+    )
+
+
 def _effects(t):
     """Lines of several suppliers were tried; some told the versions apart."""
     return _lines(t).where("l_discount >= 0.03D").select(

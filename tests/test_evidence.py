@@ -232,3 +232,18 @@ def test_cases_and_runs(rows):
     errors = rows("c int, recorded_error boolean, replayed_error boolean", (1, False, True), (2, True, True))
     states = table(A.replay_agreement(a, a, "c", errors), "c", "agrees")
     assert states == {1: False, 2: True}
+
+
+def test_every_suggested_probe_exists(rows):
+    from querydelta.functions.vocabulary import PROBES_OF_TYPE
+    from querydelta.operators import (
+        aggregates, compare, hierarchy, joins, membership, ordering, predicates, sets, windows,
+    )
+
+    modules = (aggregates, compare, hierarchy, joins, membership, ordering, predicates, sets, windows)
+    for names in PROBES_OF_TYPE.values():
+        for name in names.split():
+            assert any(hasattr(module, name) for module in modules), name
+    assert len(PROBES_OF_TYPE) == 70
+    unknown = E.suggested_probes(rows(DIFFS, _diff(1, "a", "unheard_of", "WHERE"))).first()
+    assert unknown.probes is None
