@@ -144,7 +144,8 @@ def corpus_leaks(docs: DataFrame, refs: DataFrame, width: int = 6) -> DataFrame:
     )
     widths = [row[0] for row in passages.select("width").distinct().collect()]  # at most width + 1 numbers
     if not widths:
-        return documents.join(passages, F.lit(False)).select("doc_id", "item_id")
+        none = F.lit(None).cast(passages.schema["item_id"].dataType)
+        return documents.limit(0).select("doc_id", none.alias("item_id"))
     units = {"tokens": max(widths), "chars": 0}
     if 0 not in widths:
         del units["chars"]

@@ -44,9 +44,9 @@ def hierarchy_reach(
     before, so cycles end. More than ``max_depth`` levels raise an error rather
     than return a part of the answer.
     """
-    edges = df.select(F.col(parent).alias("above__"), F.col(node).alias(node)).where(
-        "above__ is not null"
-    ).distinct()
+    edges = durable(
+        df.select(F.col(parent).alias("above__"), F.col(node).alias(node)).where("above__ is not null").distinct()
+    )
     reached = durable(
         df.where(as_column(roots)).select(F.col(node)).distinct().withColumn("depth", F.lit(0))
     )
@@ -94,7 +94,7 @@ def path_multiplicity(
     UNION ALL returns it ``n_paths`` times. Paths are summed per node and round,
     never listed. ``roots`` has the column ``source``.
     """
-    counted = edges.groupBy(source, target).agg(F.count(F.lit(1)).cast(WIDE).alias("copies__"))
+    counted = durable(edges.groupBy(source, target).agg(F.count(F.lit(1)).cast(WIDE).alias("copies__")))
     level = durable(
         roots.groupBy(F.col(source).alias("node")).agg(F.count(F.lit(1)).cast(WIDE).alias("paths__"))
         .withColumn("depth__", F.lit(0))

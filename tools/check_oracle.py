@@ -26,7 +26,7 @@ def canonical(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return round(value, 6) if value != int(value) else int(value)
+        return value if value != int(value) else int(value)
     if type(value).__name__ == "Decimal":
         return canonical(float(value)) if value != value.to_integral_value() else int(value)
     if hasattr(value, "isoformat"):
