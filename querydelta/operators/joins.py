@@ -111,12 +111,17 @@ def join_condition_divergence(
     counts. For a self-join pass the table on both sides.
     """
     both = list(dict.fromkeys([*baseline, *candidate]))
+    conjunctions = {frozenset(pairs): pairs for pairs in (baseline, candidate, both)}  # a dropped conjunct: two
     terms = None
-    for name, pairs in {"a": baseline, "b": candidate, "ab": both}.items():
-        term = _pair_total(left, right, pairs).select(F.lit(name).alias("term"), "n")
+    for index, pairs in enumerate(conjunctions.values()):
+        term = _pair_total(left, right, pairs).select(F.lit(index).alias("term"), "n")
         terms = term if terms is None else terms.unionAll(term)
+    place = {pairs: index for index, pairs in enumerate(conjunctions)}
     row = terms.agg(
-        *[F.max(F.when(F.col("term") == name, F.col("n"))).alias(name) for name in ("a", "b", "ab")]
+        *[
+            F.max(F.when(F.col("term") == place[frozenset(pairs)], F.col("n"))).alias(name)
+            for name, pairs in {"a": baseline, "b": candidate, "ab": both}.items()
+        ]
     )
     return with_flag(
         long_form(
