@@ -11,6 +11,7 @@ An id is therefore found by its shard, its block and a shift, without reading ot
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import zlib
@@ -23,16 +24,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from querydelta.llm.batches import document_columns
+from querydelta.llm.batches import document_columns, slices
 from querydelta.llm.bpe import WHITE_SPACE
 
 BLOCK_IDS = 1 << 16
 BLOCKS = "shard int, block int, first_id bigint, n_ids bigint, bits int, doc_ids array<bigint>, doc_sizes array<bigint>, payload binary"
 #: Pieces that a worker remembers; when full, it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 _LONG_PIECE = 64
+#: Pieces in one call of the library.
+_ASKED_PIECES = 4096
 #: White space and the word behind it; every scan of a byte-level pattern cuts between two of them.
 _PIECE = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
+_SPACES = frozenset(chr(code) for code in range(0x3001) if re.match(f"[{WHITE_SPACE}]", chr(code)))
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -59,7 +63,11 @@ def unpack(payload: bytes, bits: int, n_ids: int, first: int = 0) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Whole texts through a ``tokenizers`` file, asking the library once per distinct piece."""
+    """Whole texts through a ``tokenizers`` file, asking the library once per distinct piece.
+
+    New pieces are asked for many at a time, as one text: its ids are those of the pieces one after another, and are dealt
+    back by the bytes that each id stands for.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,26 +75,46 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
+        special = {added.content: at for at, added in self.library.get_added_tokens_decoder().items()}
+        self.length = np.zeros(self.size, np.int64)
+        for token, at in self.library.get_vocab().items():
+            self.length[at] = len(token.encode()) if token in special else len(token)
         self.known: dict[str, bytes] = {}
 
-    def _ask(self, pieces: list[str]) -> list[bytes]:
-        return [
-            np.array(found.ids, "<u4").tobytes()
-            for found in self.library.encode_batch_fast(pieces, add_special_tokens=False)
-        ]
-
-    def encode(self, text: str) -> np.ndarray:
-        pieces = _PIECE.findall(text)
-        missing = [piece for piece in dict.fromkeys(pieces) if piece not in self.known]
+    def _ask(self, pieces: list[str]) -> dict[str, bytes]:
+        """White space and then a word stand well behind each other; any other piece is asked for alone."""
+        plain, other = [], []
+        for piece in pieces:
+            (plain if piece[0] in _SPACES and piece[-1] not in _SPACES else other).append(piece)
+        alone = self.library.encode_batch_fast(other, add_special_tokens=False)
+        out = {piece: np.array(found.ids, "<u4").tobytes() for piece, found in zip(other, alone, strict=True)}
+        for first in range(0, len(plain), _ASKED_PIECES):
+            asked = plain[first : first + _ASKED_PIECES]
+            found = self.library.encode_batch_fast(["".join(asked)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            token_ends = np.cumsum(self.length[ids])
+            piece_ends = np.cumsum([len(piece.encode()) for piece in asked])
+            cuts = np.searchsorted(token_ends, piece_ends, "left") + 1
+            if (token_ends[cuts - 1] != piece_ends).any():
+                raise AssertionError("a token of the library spans two pieces")
+            octets, start = ids.tobytes(), 0
+            for piece, cut in zip(asked, (4 * cuts).tolist(), strict=True):
+                out[piece] = octets[start:cut]
+                start = cut
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        pieces = [_PIECE.findall(text) for text in texts]
+        distinct = set(itertools.chain.from_iterable(pieces))
+        missing = list(distinct.difference(self.known))
         if len(self.known) + len(missing) > CACHE_PIECES:
-            self.known, missing = {}, list(dict.fromkeys(pieces))
-        found = dict(zip(missing, self._ask(missing), strict=True)) if missing else {}
-        if any(len(piece) > _LONG_PIECE for piece in found) or len(found) > CACHE_PIECES // 8:
-            joined = b"".join([found[piece] if piece in found else self.known[piece] for piece in pieces])
-        else:
-            self.known.update(found)
-            joined = b"".join(map(self.known.__getitem__, pieces))
-        return np.frombuffer(joined, "<u4")
+            self.known, missing = {}, list(distinct)
+        self.known.update(self._ask(missing))
+        known = self.known
+        if any(len(piece) > _LONG_PIECE for piece in missing):
+            self.known = {piece: ids for piece, ids in known.items() if len(piece) <= _LONG_PIECE}
+        return [np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4") for own in pieces]
 
 
 @functools.cache
@@ -120,10 +148,11 @@ def write_token_files(
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = own.encode(text.as_py())
+            texts = batch.column(1).to_pylist()
+            encoded = (ids for low, high in slices(texts) for ids in own.encode(texts[low:high]))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 parts += [ids, end]
-                doc_ids.append(doc_id.as_py())
+                doc_ids.append(doc_id)
                 sizes.append(len(ids) + 1)
                 n += len(ids) + 1
                 if n >= block_ids:
