@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import itertools
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,3 +48,24 @@ def document_columns(docs: DataFrame, id_col: str, text_col: str, *more: Column)
     return docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more
     )
+
+
+def map_groups(df: DataFrame, keys: Sequence[str], function: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """``function(rows)`` for the rows of each group, read in a stream; only one group is held, so groups must be bounded.
+
+    A row is a tuple of the columns of ``df`` in order, which begin with ``keys``.
+    """
+    types = StructType.fromDDL(schema)
+    arrow, n = to_arrow_schema(types), len(keys)
+
+    def run(batches):
+        rows = (row for batch in batches for row in zip(*[column.to_pylist() for column in batch.columns], strict=True))
+        for _, group in itertools.groupby(rows, key=lambda row: row[:n]):
+            found = function(list(group))
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values, type=field.type) for values, field in zip(zip(*found, strict=True), arrow, strict=True)],
+                    schema=arrow,
+                )
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, types)

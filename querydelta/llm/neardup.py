@@ -9,8 +9,10 @@ candidate pair the signatures are compared batch by batch: after ``m`` equal has
 the miss probability. What is left is decided on the full sets.
 
 A bucket is never expanded into all its pairs at once. First every node is compared with
-the smallest node of each of its buckets; then only pairs of one bucket that lie in
-different components so far, which for a group of copies are the few that strayed.
+the smallest node of each of its buckets, then those outside the largest component of a bucket with a few
+nodes of it. Those still outside, the strays, are compared with all nodes of other components in
+blocks of bounded size: first by signatures bucket by bucket, which names the components that may hold a partner,
+then by full sets with the nodes of those. No pair becomes a row unless it is a link.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querydelta.llm.batches import document_columns, map_columns
+from querydelta.llm.batches import document_columns, map_columns, map_groups
 from querydelta.llm.components import components
 from querydelta.llm.scratch import Scratch, records_per_batch
 from querydelta.llm.shingles import mix, shingle_sets
@@ -34,6 +36,10 @@ NEEDED = (75, 100)
 BANDS, BAND_ROWS = 48, 5
 BATCH_HASHES = 48
 MISS_PROBABILITY = 1e-7
+#: How often nodes outside a bucket's largest component are compared with how many of its nodes, before all of them.
+STRAY_ROUNDS, CHOSEN = 1, 4
+#: Nodes on either side of a block in which all are compared.
+BLOCK_NODES = 128
 #: Rows with texts or sets that one Arrow batch may hold.
 LARGE_ROWS = 500
 
@@ -140,16 +146,20 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_columns(joined.select("a", "b", "sign_a", "sign_b"), prune, "a bigint, b bigint")
 
 
+def _linked(one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    common = len(np.intersect1d(one, two, assume_unique=True))
+    return NEEDED[1] * common >= NEEDED[0] * (len(one) + len(two) - common)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
 
     def confirm(a, b, sets_a, sets_b):
-        kept = []
-        for at, (x, y) in enumerate(zip(sets_a, sets_b, strict=True)):
-            one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(one, two, assume_unique=True))
-            if NEEDED[1] * common >= NEEDED[0] * (len(one) + len(two) - common):
-                kept.append(at)
+        kept = [
+            at for at, (x, y) in enumerate(zip(sets_a, sets_b, strict=True))
+            if _linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+        ]
         return [a[at] for at in kept], [b[at] for at in kept]
 
     joined = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
@@ -177,6 +187,117 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Data
     return map_columns(joined, build, "node bigint, shingles binary").dropDuplicates(["node"])
 
 
+def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, node, n_shingles, root`` of the buckets that hold more than one component."""
+    placed = members.join(roots, "node", "left").select(
+        "key", "node", "n_shingles", F.coalesce("root", "node").alias("root")
+    )
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    return placed.join(mixed.select("key"), "key", "left_semi")
+
+
+def _stray_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each node outside its bucket's largest component with a few nodes of that component."""
+    largest = (
+        placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"))
+    )
+    known = placed.join(largest, "key")
+    drawn = F.xxhash64("node", "key", F.lit(turn))
+    chosen = (
+        known.where("root = largest").groupBy("key", F.pmod(drawn, F.lit(CHOSEN)).alias("slot"))
+        .agg(F.min_by("node", drawn).alias("chosen"))
+    )
+    strays = known.where("root != largest").select("key", "node")
+    pairs = strays.join(chosen, "key")
+    return pairs.select(F.least("node", "chosen").alias("a"), F.greatest("node", "chosen").alias("b"))
+
+
+def _blocks(members: DataFrame, strays: DataFrame, of: str) -> DataFrame:
+    """``of, row, column, stray, node ...``: every stray of ``of`` meets every member in one block of bounded size.
+
+    Both sides are dealt into blocks of about ``BLOCK_NODES`` by a hash of the node, and each block of one side is sent to all of
+    the other.
+    """
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(of).agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias(name))
+
+    sizes = blocks(members, "rows").join(blocks(strays, "columns"), of)
+
+    def dealt(df: DataFrame, stray: bool) -> DataFrame:
+        own, other = ("columns", "rows") if stray else ("rows", "columns")
+        known = df.join(sizes, of).withColumn("own", F.pmod(F.xxhash64("node"), F.col(own)).cast("int"))
+        known = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        row, column = ("other", "own") if stray else ("own", "other")
+        return known.select(of, F.col(row).alias("row"), F.col(column).alias("column"), F.lit(stray).alias("stray"), *df.columns[1:])
+
+    return dealt(members, False).union(dealt(strays, True))
+
+
+def _sides(rows: list[tuple]) -> tuple[list[tuple], list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+    """Members and strays of a block (``node, n_shingles, root, signature ...``), the members' signatures, sizes and roots."""
+    members = [row[4:] for row in rows if not row[3]]
+    strays = [row[4:] for row in rows if row[3]]
+    signs = np.frombuffer(b"".join([row[3] for row in members]), np.uint16).reshape(-1, BANDS * BAND_ROWS)
+    return members, strays, signs, np.array([row[1] for row in members]), np.array([row[2] for row in members])
+
+
+def _alike(stray: tuple, signs: np.ndarray, sizes: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Places of the members of other components that sequential verification leaves for a stray."""
+    needed = fewest_matches(BATCH_HASHES, BANDS * BAND_ROWS, NEEDED[0] / NEEDED[1], MISS_PROBABILITY)
+    fits = np.minimum(sizes, stray[1]) * NEEDED[1] >= np.maximum(sizes, stray[1]) * NEEDED[0]
+    left = np.flatnonzero((roots != stray[2]) & fits)
+    own, matches = np.frombuffer(stray[3], np.uint16), np.zeros(len(left), np.int64)
+    for at, least in enumerate(needed):
+        part = slice(at * BATCH_HASHES, (at + 1) * BATCH_HASHES)
+        matches = matches + (signs[left, part] == own[part]).sum(axis=1)
+        left, matches = left[matches >= least], matches[matches >= least]
+    return left
+
+
+def _plausible_roots(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, root``: nodes outside their bucket's largest component, and other components that may hold a partner."""
+    largest = (
+        placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"))
+    )
+    signed = placed.join(largest, "key").join(nodes.select("node", "signature"), "node")
+    members = signed.select("key", "node", "n_shingles", "root", "signature")
+    strays = signed.where("root != largest").select("key", "node", "n_shingles", "root", "signature")
+
+    def compare(rows):
+        members, strays, signs, sizes, roots = _sides(rows)
+        return [
+            (stray[0], root) for stray in strays for root in set(roots[_alike(stray, signs, sizes, roots)].tolist())
+        ]
+
+    found = map_groups(_blocks(members, strays, "key"), ["key", "row", "column"], compare, "node bigint, root bigint")
+    return found.distinct()
+
+
+def _links_to_roots(near: DataFrame, placed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links of each ``node, root`` of ``near``, by the full sets of all nodes of that component."""
+    known = placed.select("node", "n_shingles", "root").distinct()
+    full = known.join(nodes.select("node", "signature"), "node").join(sets, "node")
+    members = full.join(near.select("root").distinct(), "root", "left_semi").select(
+        F.col("root").alias("of"), "node", "n_shingles", "root", "signature", "shingles"
+    )
+    strays = near.toDF("node", "of").join(full, "node").select("of", "node", "n_shingles", "root", "signature", "shingles")
+
+    def confirm(rows):
+        members, strays, signs, sizes, roots = _sides(rows)
+        hashes, found = [np.frombuffer(row[4], np.uint64) for row in members], []
+        for stray in strays:
+            own = np.frombuffer(stray[4], np.uint64)
+            for at in _alike(stray, signs, sizes, roots).tolist():
+                if _linked(own, hashes[at]):
+                    found.append((stray[0], members[at][0]))
+        return found
+
+    return map_groups(_blocks(members, strays, "of"), ["of", "row", "column"], confirm, "a bigint, b bigint")
+
+
 def _grouped(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, text_hash, n_shingles, component_id, root`` of every row."""
     spark = docs.sparkSession
@@ -199,25 +320,28 @@ def _grouped(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> D
         sets = scratch.table("sets", _sets(docs, nodes.join(known, "node", "left_semi"), id_col, text_col))
 
     sizes = nodes.select("node", "n_shingles")
-    stars = members.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b"), "n_shingles").distinct()
-    stars = stars.join(sizes.toDF("a", "n_a"), "a").where(_sizes_allow(F.col("n_a"), F.col("n_shingles"))).select("a", "b")
-    stars = scratch.table("stars", _plausible(stars, nodes))
-    with records_per_batch(spark, LARGE_ROWS):
-        links = scratch.table("links", _confirmed(stars, sets))
-    roots = scratch.table("roots", components(links, scratch, "first"))
 
-    placed = members.join(roots, "node", "left").select(
-        "key", "node", "n_shingles", F.coalesce("root", "node").alias("root")
-    )
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    placed = scratch.table("open", placed.join(open_keys.select("key"), "key", "left_semi"))
-    one = placed.toDF("key", "a", "n_a", "root_a")
-    two = placed.toDF("key", "b", "n_b", "root_b")
-    apart = one.join(two, "key").where((F.col("root_a") < F.col("root_b")) & _sizes_allow(F.col("n_a"), F.col("n_b")))
-    apart = scratch.table("apart", _plausible(apart.select("a", "b").distinct(), nodes))
+    def decided(pairs: DataFrame, name: str) -> DataFrame:
+        """The links among the pairs ``a, b``, as a table."""
+        sized = pairs.distinct().join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
+        fitting = sized.where(_sizes_allow(F.col("n_a"), F.col("n_b"))).select("a", "b")
+        plausible = scratch.table(f"{name}_plausible", _plausible(fitting, nodes))
+        with records_per_batch(spark, LARGE_ROWS):
+            links = scratch.table(f"{name}_links", _confirmed(plausible, sets))
+        scratch.drop(f"{name}_plausible")
+        return links
+
+    links = decided(members.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")), "stars")
+    for turn in range(STRAY_ROUNDS):
+        placed = _open_members(members, scratch.table(f"roots{turn}", components(links, scratch, f"star{turn}")))
+        placed = scratch.table(f"open{turn}", placed)
+        links = links.union(decided(_stray_pairs(placed, turn), f"stray{turn}"))
+    placed = _open_members(members, scratch.table("roots", components(links, scratch, "strays")))
+    placed = scratch.table("open", placed)
+    near = scratch.table("near", _plausible_roots(placed, nodes))
     with records_per_batch(spark, LARGE_ROWS):
-        more = scratch.table("more", _confirmed(apart, sets))
-    scratch.drop("members", "sets", "open", "stars", "apart")
+        more = scratch.table("more", _links_to_roots(near, placed, nodes, sets))
+    scratch.drop("members", "sets", "open", "near", *[f"open{turn}" for turn in range(STRAY_ROUNDS)])
 
     final = components(links.union(more), scratch, "last")
     named = nodes.select("node", "digest", "doc_id").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
