@@ -9,9 +9,8 @@ candidate pair the signatures are compared batch by batch: after ``m`` equal has
 the miss probability. What is left is decided on the full sets.
 
 A bucket is never expanded into all its pairs at once. First every node is compared with
-the smallest node of each of its buckets, then those outside the largest component of a bucket with a few
-nodes of it. Those still outside, the strays, are compared with all nodes of other components in
-blocks of bounded size: first by signatures bucket by bucket, which names the components that may hold a partner,
+the smallest node of each of its buckets. Nodes then outside the largest component of a
+bucket, the strays, are compared with all nodes of other components in blocks of bounded size: first by signatures bucket by bucket, which names the components that may hold a partner,
 then by full sets with the nodes of those. No pair becomes a row unless it is a link.
 """
 
@@ -36,8 +35,6 @@ NEEDED = (75, 100)
 BANDS, BAND_ROWS = 48, 5
 BATCH_HASHES = 48
 MISS_PROBABILITY = 1e-7
-#: How often nodes outside a bucket's largest component are compared with how many of its nodes, before all of them.
-STRAY_ROUNDS, CHOSEN = 1, 4
 #: Nodes on either side of a block in which all are compared.
 BLOCK_NODES = 128
 #: Rows with texts or sets that one Arrow batch may hold.
@@ -196,23 +193,6 @@ def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(mixed.select("key"), "key", "left_semi")
 
 
-def _stray_pairs(placed: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each node outside its bucket's largest component with a few nodes of that component."""
-    largest = (
-        placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"))
-    )
-    known = placed.join(largest, "key")
-    drawn = F.xxhash64("node", "key", F.lit(turn))
-    chosen = (
-        known.where("root = largest").groupBy("key", F.pmod(drawn, F.lit(CHOSEN)).alias("slot"))
-        .agg(F.min_by("node", drawn).alias("chosen"))
-    )
-    strays = known.where("root != largest").select("key", "node")
-    pairs = strays.join(chosen, "key")
-    return pairs.select(F.least("node", "chosen").alias("a"), F.greatest("node", "chosen").alias("b"))
-
-
 def _blocks(members: DataFrame, strays: DataFrame, of: str) -> DataFrame:
     """``of, row, column, stray, node ...``: every stray of ``of`` meets every member in one block of bounded size.
 
@@ -332,16 +312,12 @@ def _grouped(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> D
         return links
 
     links = decided(members.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")), "stars")
-    for turn in range(STRAY_ROUNDS):
-        placed = _open_members(members, scratch.table(f"roots{turn}", components(links, scratch, f"star{turn}")))
-        placed = scratch.table(f"open{turn}", placed)
-        links = links.union(decided(_stray_pairs(placed, turn), f"stray{turn}"))
-    placed = _open_members(members, scratch.table("roots", components(links, scratch, "strays")))
+    placed = _open_members(members, scratch.table("roots", components(links, scratch, "star")))
     placed = scratch.table("open", placed)
     near = scratch.table("near", _plausible_roots(placed, nodes))
     with records_per_batch(spark, LARGE_ROWS):
         more = scratch.table("more", _links_to_roots(near, placed, nodes, sets))
-    scratch.drop("members", "sets", "open", "near", *[f"open{turn}" for turn in range(STRAY_ROUNDS)])
+    scratch.drop("members", "sets", "open", "near")
 
     final = components(links.union(more), scratch, "last")
     named = nodes.select("node", "digest", "doc_id").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
