@@ -21,9 +21,9 @@ _INSIDE = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
 
 
 def json_keys(payload: Column) -> Column:
-    """All object keys of a JSON text at any depth, in lower case."""
+    """All object keys of a JSON text at any depth, unescaped and in lower case."""
     found = F.regexp_extract_all(payload, F.lit(rf'"({_INSIDE})"\s*+:|"{_INSIDE}"'), F.lit(1))
-    return F.array_distinct(F.transform(F.filter(found, lambda key: key != ""), F.lower))
+    return F.array_distinct(F.transform(F.filter(found, lambda key: key != ""), lambda key: F.lower(unescape(key))))
 
 
 def json_values(payload: Column) -> Column:
@@ -42,27 +42,52 @@ def mentions(payload: Column, keys: Iterable[str]) -> Column:
     return F.arrays_overlap(json_keys(payload), F.array(*[F.lit(key) for key in keys]))
 
 
+class _Number(str):
+    """A number as it was written."""
+
+
+class _Members(list):
+    """The members of an object in order, repeated keys included."""
+
+
+def _parsed(text: str):
+    return json.loads(
+        text, parse_int=_Number, parse_float=_Number, parse_constant=_no_constant, object_pairs_hook=_Members
+    )
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def _written(value, unwanted: frozenset[str]) -> str:
+    if isinstance(value, _Number):
+        return str(value)
+    if isinstance(value, _Members):
+        kept = [(key, inner) for key, inner in value if key.lower() not in unwanted]
+        return "{" + ",".join([f"{json.dumps(key, ensure_ascii=False)}:{_written(inner, unwanted)}" for key, inner in kept]) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join([_written(inner, unwanted) for inner in value]) + "]"
+    return json.dumps(value, ensure_ascii=False)
+
+
 def prune_keys(payload: Column, keys: Iterable[str]) -> Column:
     """The JSON text without the given keys at any depth.
 
-    Removing a nested value needs a parser, so rows that mention a key go
-    through an Arrow batch; all others pass untouched.
+    Removing a nested value needs a parser, so rows that mention a key go through an Arrow batch; all others pass
+    untouched. Numbers and repeated keys stay as written. A row that mentions a key and is not JSON is withheld (NULL).
     """
     unwanted = frozenset(key.lower() for key in keys)
 
-    def prune(value):
-        if isinstance(value, dict):
-            return {key: prune(inner) for key, inner in value.items() if key.lower() not in unwanted}
-        if isinstance(value, list):
-            return [prune(inner) for inner in value]
-        return value
+    def prune(text: str | None) -> str | None:
+        try:
+            return None if text is None else _written(_parsed(text), unwanted)
+        except ValueError:
+            return None
 
     @F.pandas_udf("string")
     def pruned(batch: pd.Series) -> pd.Series:
-        return batch.map(
-            lambda text: None if text is None
-            else json.dumps(prune(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
-        )
+        return batch.map(prune)
 
     dirty = F.when(mentions(payload, unwanted), payload)
-    return F.coalesce(pruned(dirty), payload)
+    return F.when(dirty.isNull(), payload).otherwise(pruned(dirty))

@@ -25,8 +25,8 @@ POSITIONAL = [
 def test_contract():
     import __spark_entry__ as entry
 
-    assert set(entry.queries()) == set(REGISTRY)
-    assert set(entry.oracle_sql()) <= set(REGISTRY)
+    assert set(REGISTRY) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(REGISTRY))
