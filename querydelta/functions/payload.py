@@ -32,6 +32,21 @@ def json_values(payload: Column) -> Column:
     return F.filter(found, lambda value: value != "")
 
 
+def replace_values(payload: Column, shown: Column) -> Column:
+    """The JSON text with string values replaced; ``shown`` maps values as written to what is written instead.
+
+    Keys and all else stay as they are, also a key equal to a replaced value.
+    """
+    pieces = F.regexp_extract_all(payload, F.lit(rf'("{_INSIDE}"\s*+:|"{_INSIDE}"|[^"]++|")'), F.lit(1))
+
+    def piece(part: Column) -> Column:
+        value = F.try_element_at(shown, F.substring(part, F.lit(2), F.length(part) - 2))
+        is_value = (F.length(part) > 2) & part.startswith('"') & part.endswith('"')
+        return F.when(is_value & value.isNotNull(), F.concat(F.lit('"'), value, F.lit('"'))).otherwise(part)
+
+    return F.array_join(F.transform(pieces, piece), "")
+
+
 def unescape(token: Column) -> Column:
     """The text a JSON string stands for."""
     plain = F.from_json(F.concat(F.lit('["'), token, F.lit('"]')), "array<string>")

@@ -25,44 +25,45 @@ def _secrets(secrets: DataFrame) -> DataFrame:
 
 def redact_payload(
     payloads: DataFrame, secrets: DataFrame, forbidden_keys: Sequence[str] = P.FORBIDDEN_KEYS,
-    max_chars: int = 2000,
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """Payloads without forbidden keys, with leaking strings replaced and long ones cut.
+    """Payloads without forbidden keys, with leaking string values replaced.
 
     ``payloads``: payload_id, case_id, payload (JSON). ``secrets``: case_id,
-    secret. A string is checked in full before it is cut.
+    secret. Only with ``max_chars`` are longer strings cut, and ``n_cut`` counts
+    them; a string is checked in full before it is cut. Keys are never renamed.
     """
     pruned = payloads.withColumn("payload", P.prune_keys(F.col("payload"), forbidden_keys))
     strings = pruned.select(
         "payload_id", "case_id", F.explode(F.array_distinct(P.json_values(F.col("payload")))).alias("token")
     )
     checked = strings.withColumn("text__", normalized_secret(P.unescape(F.col("token"))))
-    leaking = (
+    changed = (
         checked.join(_secrets(secrets), "case_id")
         .where(F.col("text__").contains(F.col("secret__")))
         .select("payload_id", "token", F.lit(REDACTED).alias("shown"))
     )
-    # cutting must not split an escape, so the cut text is written anew
-    cut = F.to_json(F.array(F.substring(P.unescape(F.col("token")), 1, max_chars)))
-    too_long = strings.where(F.length("token") > max_chars).withColumn("cut__", cut).select(
-        "payload_id", "token", F.expr("substring(cut__, 3, length(cut__) - 4)").alias("shown")
-    )
+    if max_chars is not None:
+        # cutting must not split an escape, so the cut text is written anew
+        plain = P.unescape(F.col("token"))
+        cut = F.to_json(F.array(F.substring(plain, 1, max_chars)))
+        changed = changed.unionAll(
+            strings.where(F.length(plain) > max_chars).withColumn("cut__", cut)
+            .select("payload_id", "token", F.expr("substring(cut__, 3, length(cut__) - 4)").alias("shown"))
+        )
+    leaks = F.col("shown") == REDACTED
     changes = (
-        leaking.unionAll(too_long).groupBy("payload_id", "token")
-        .agg(F.max_by("shown", F.when(F.col("shown") == REDACTED, 1).otherwise(0)).alias("shown"))
-        .groupBy("payload_id").agg(F.collect_list(F.struct("token", "shown")).alias("changes"))
+        changed.groupBy("payload_id", "token").agg(F.max_by("shown", F.when(leaks, 1).otherwise(0)).alias("shown"))
+        .groupBy("payload_id").agg(
+            F.map_from_entries(F.collect_list(F.struct("token", "shown"))).alias("changes"), F.count_if(~leaks).alias("n_cut")
+        )
     )  # at most as many changes as the payload has strings
-    quote = F.lit('"')
-    applied = F.aggregate(
-        F.array_sort("changes"), F.col("payload"),
-        lambda text, change: F.replace(
-            text, F.concat(quote, change["token"], quote), F.concat(quote, change["shown"], quote)
-        ),
-    )
+    applied = P.replace_values(F.col("payload"), F.col("changes"))
     return (
         pruned.join(changes, "payload_id", "left")
         .withColumn("payload", F.when(F.col("changes").isNull(), F.col("payload")).otherwise(applied))
         .withColumn("n_changes", F.coalesce(F.size("changes"), F.lit(0)))
+        .withColumn("n_cut", F.coalesce("n_cut", F.lit(0)))
         .drop("changes")
     )
 
@@ -74,12 +75,13 @@ def audit_leaks(
 
     ``payloads``: payload_id, case_id, level, payload, has_witness. Problems:
     ``forbidden_keys`` with the keys, ``full_reference``, and ``witness_slot``
-    when a witness is shown at another level than 2 or missing there.
+    when a witness is shown at another level than 2 or missing there. Each string
+    value is searched on its own.
     """
-    text = F.array_join(F.transform(P.json_values(F.col("payload")), P.unescape), " ")
+    texts = F.transform(P.json_values(F.col("payload")), lambda value: normalized_secret(P.unescape(value)))
     parsed = payloads.select(
         "payload_id", "case_id", "level", "has_witness",
-        P.json_keys(F.col("payload")).alias("keys"), normalized_secret(text).alias("text"),
+        P.json_keys(F.col("payload")).alias("keys"), texts.alias("texts"),
     )
     unwanted = F.expr(f"array({', '.join(repr(key) for key in forbidden_keys)})")
     leaked = F.array_sort(F.array_intersect("keys", unwanted))
@@ -98,7 +100,8 @@ def audit_leaks(
         ),
     ).select("payload_id", "case_id", "level", "issue")
     quoted = (
-        parsed.join(_secrets(secrets), "case_id").where(F.col("text").contains(F.col("secret__")))
+        parsed.join(_secrets(secrets), "case_id")
+        .where(F.exists("texts", lambda text: text.contains(F.col("secret__"))))
         .select("payload_id", "case_id", "level", F.lit("full_reference").alias("issue")).distinct()
     )
     return own.unionAll(quoted)
@@ -207,7 +210,7 @@ def declared_counts(cases: DataFrame, declared: DataFrame, suite: str) -> DataFr
     ).where("declared <> actual")
 
 
-def check_expectations(results: DataFrame, expectations: DataFrame, max_table_rows: int = 32) -> DataFrame:
+def check_expectations(results: DataFrame, expectations: DataFrame, max_table_rows: int | None = None) -> DataFrame:
     """One row per broken expectation.
 
     ``results``: id, status, conclusion, verdict, primary_rule, primary_grade,
@@ -215,7 +218,8 @@ def check_expectations(results: DataFrame, expectations: DataFrame, max_table_ro
     ``expectations``: id, and any of status, conclusion, verdict (exact),
     allowed_conclusions (array), forbid_conclusion, require_primary,
     primary_rule, minimum_primary_grade, require_evidence, require_repair,
-    require_safe_hints. NULL expects nothing.
+    require_safe_hints. NULL expects nothing. Tables may have any size unless
+    ``max_table_rows`` is given.
     """
     wanted = expectations.select("id", F.struct(*[name for name in expectations.columns if name != "id"]).alias("e"))
     names = set(expectations.columns)
@@ -273,11 +277,14 @@ def check_expectations(results: DataFrame, expectations: DataFrame, max_table_ro
             e("require_safe_hints", "boolean") & ~F.coalesce("hint_safe", F.lit(False)), F.lit("hint_audit_failed")
         ),
         F.when(F.col("executed") & ~F.coalesce("replay_ok", F.lit(False)), F.lit("independent_replay_failed")),
-        F.when(
-            F.col("executed") & (F.col("table_rows") > max_table_rows),
-            F.concat(F.lit("table_row_limit_exceeded:"), F.col("table_rows").cast("string")),
-        ),
     ]
+    if max_table_rows is not None:
+        failures.append(
+            F.when(
+                F.col("executed") & (F.col("table_rows") > max_table_rows),
+                F.concat(F.lit("table_row_limit_exceeded:"), F.col("table_rows").cast("string")),
+            )
+        )
     return joined.select("id", F.explode(F.array_compact(F.array(*failures))).alias("failure"))
 
 

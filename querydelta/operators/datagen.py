@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, NumericType, StructField, StructType
 
 from querydelta.functions.keys import plain_digits
 from querydelta.functions.logic import as_column
@@ -142,44 +143,94 @@ def override_conflicts(overrides: DataFrame) -> DataFrame:
     return claims.where("r1 <> r2 or v1 <> v2").select("row_slot", "column_name", "n_claims")
 
 
+def _strongest() -> Column:
+    """Orders the claims on one cell: the highest priority first, then the first owner by name."""
+    return F.struct((-F.col("priority")).alias("p"), F.col("owner"))
+
+
+def _blank(dtype: DataType) -> Column:
+    """The value that stands for "not NULL" in a column of this type; NULL where there is none."""
+    blanks = {"string": F.lit(""), "date": F.lit("1970-01-01"), "timestamp": F.lit("1970-01-01"), "timestamp_ntz": F.lit("1970-01-01")}
+    if dtype.simpleString() in blanks:
+        return blanks[dtype.simpleString()].cast(dtype)
+    return F.lit(0).cast(dtype) if isinstance(dtype, (NumericType, BooleanType)) else F.lit(None).cast(dtype)
+
+
+def _override(field: StructField, schema: StructType, claim: Column) -> tuple[Column, Column]:
+    """The cell after a claim, and why the claim fails (NULL: it holds)."""
+    cell, relation, value = F.col(field.name), claim["relation"], claim["value"]
+    literal, blank = value.try_cast(field.dataType), _blank(field.dataType)
+    other, known = F.lit(None).cast(field.dataType), F.lit(False)
+    for column in schema:
+        if column.dataType == field.dataType and column.name != field.name:
+            other = F.when(value == column.name, F.col(column.name)).otherwise(other)
+            known = known | F.coalesce(value == column.name, F.lit(False))
+    bad = value.isNotNull() & literal.isNull()
+    to_column = relation.isin("equals_column", "not_equals_column")
+    after = (
+        F.when((relation == "equals") & ~bad, literal)
+        .when(relation == "is_null", F.lit(None).cast(field.dataType))
+        .when(relation == "not_null", F.coalesce(cell, blank))
+        .when((relation == "equals_column") & known, other)
+        .otherwise(cell)
+    )
+    failure = (
+        F.when((relation == "equals") & bad, "bad_literal")
+        .when(to_column & ~known, "unknown_operand")
+        .when((relation == "not_equals_column") & cell.eqNullSafe(other), "not_satisfied")
+        .when((relation == "not_null") & F.coalesce(cell, blank).isNull(), "not_satisfied")
+        .when(~F.coalesce(relation.isin("equals", "is_null", "not_null") | to_column, F.lit(False)), "unknown_relation")
+    )
+    return after, failure
+
+
 def apply_overrides(df: DataFrame, slot: str, overrides: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows with the strongest override of each cell applied.
 
-    Relations: ``equals``, ``is_null``, ``not_null`` (0 or an empty text where
-    the cell is NULL) and ``equals_column``. The highest priority wins, then the
-    first owner by name. ``columns`` are the columns that may be overridden.
+    Relations: ``equals``, ``is_null``, ``not_null`` (0, false, an empty text or
+    1970-01-01 where the cell is NULL), ``equals_column`` and
+    ``not_equals_column`` (checked only). The highest priority wins, then the first owner by name.
+    ``columns`` are the columns that may be overridden. A claim that cannot hold
+    leaves its cell as it is; ``unapplied_overrides`` lists those.
     """
-    rank = F.struct((-F.col("priority")).alias("p"), F.col("owner"))
     wide = overrides.groupBy(F.col("row_slot").alias("slot__")).agg(
         *[
             F.min_by(
                 F.when(F.col("column_name") == name, F.struct("relation", "value")),
-                F.when(F.col("column_name") == name, rank),
+                F.when(F.col("column_name") == name, _strongest()),
             ).alias(f"{name}__claim")
             for name in columns
         ]
     )
     joined = df.join(wide, df[slot] == F.col("slot__"), "left")
-    selected = []
-    for field in df.schema:
-        cell = F.col(field.name)
-        if field.name in columns:
-            claim = F.col(f"{field.name}__claim")
-            blank = F.lit("" if field.dataType.simpleString() == "string" else 0).cast(field.dataType)
-            others = F.lit(None).cast(field.dataType)
-            for other in df.schema:
-                if other.dataType == field.dataType and other.name != field.name:
-                    others = F.when(claim["value"] == other.name, F.col(other.name)).otherwise(others)
-            cell = (
-                F.when(claim["relation"] == "equals", claim["value"].try_cast(field.dataType))
-                .when(claim["relation"] == "is_null", F.lit(None).cast(field.dataType))
-                .when(claim["relation"] == "not_null", F.coalesce(cell, blank))
-                .when(claim["relation"] == "equals_column", others)
-                .otherwise(cell)
-                .alias(field.name)
-            )
-        selected.append(cell)
-    return joined.select(*selected)
+    return joined.select(
+        *[
+            _override(field, df.schema, F.col(f"{field.name}__claim"))[0].alias(field.name)
+            if field.name in columns else F.col(field.name)
+            for field in df.schema
+        ]
+    )
+
+
+def unapplied_overrides(df: DataFrame, slot: str, overrides: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The winning claims that ``apply_overrides`` cannot make true, with a ``reason``.
+
+    Reasons: ``unknown_column``, ``unknown_row``, ``unknown_operand``,
+    ``unknown_relation``, ``bad_literal`` and ``not_satisfied``.
+    """
+    winning = overrides.groupBy(F.col("row_slot").alias("slot__"), F.col("column_name").alias("column__")).agg(
+        F.min_by(F.struct("relation", "value"), _strongest()).alias("claim__")
+    )
+    joined = winning.join(df.withColumn("found__", F.lit(True)), F.col("slot__") == F.col(slot), "left")
+    allowed = [field for field in df.schema if field.name in columns]
+    reason = F.when(~F.coalesce(F.col("column__").isin([field.name for field in allowed]), F.lit(False)), "unknown_column")
+    reason = reason.when(F.col("found__").isNull(), "unknown_row")
+    for field in allowed:
+        reason = reason.when(F.col("column__") == field.name, _override(field, df.schema, F.col("claim__"))[1])
+    return joined.select(
+        F.col("slot__").alias("row_slot"), F.col("column__").alias("column_name"), "claim__.relation", "claim__.value",
+        reason.alias("reason"),
+    ).where("reason is not null")
 
 
 def witness_sample(

@@ -36,13 +36,13 @@ def hierarchy_paths(df: DataFrame, node: str, parent: str) -> DataFrame:
 
 
 def hierarchy_reach(
-    df: DataFrame, node: str, parent: str, roots: Column | str, max_depth: int = 64
+    df: DataFrame, node: str, parent: str, roots: Column | str, max_depth: int | None = None
 ) -> DataFrame:
     """Every node with its depth below the root rows; NULL where none is reached.
 
     Each round joins the edges to the nodes found last and drops those seen
-    before, so cycles end. More than ``max_depth`` levels raise an error rather
-    than return a part of the answer.
+    before, so cycles end. With ``max_depth`` a deeper hierarchy raises an error
+    rather than return a part of the answer.
     """
     edges = durable(
         df.select(F.col(parent).alias("above__"), F.col(node).alias(node)).where("above__ is not null").distinct()
@@ -61,7 +61,7 @@ def hierarchy_reach(
         )
         if newest.isEmpty():
             break
-        if depth > max_depth:
+        if max_depth is not None and depth > max_depth:
             raise ValueError(f"the hierarchy is deeper than max_depth={max_depth}")
         reached = reached.unionAll(newest)
         if depth % 8 == 0:

@@ -171,7 +171,7 @@ def check_expectations(t):
         F.when(strict, "REPAIR_VERIFIED").alias("minimum_primary_grade"), strict.alias("require_evidence"),
         strict.alias("require_repair"), strict.alias("require_safe_hints"),
     )
-    return A.check_expectations(_results(t), expectations)
+    return A.check_expectations(_results(t), expectations, max_table_rows=32)
 
 
 # A case is a user; the replay misses errors above a value and has another view value.

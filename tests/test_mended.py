@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+
 from pyspark.sql import functions as F
 
 from querydelta.functions.payload import json_keys, prune_keys
 from querydelta.functions.vocabulary import PROBES_OF_TYPE
+from querydelta.operators import audit as A
+from querydelta.operators import datagen as D
 from querydelta.operators.datagen import seed_value
 from querydelta.operators.evidence import logical_stage
+from querydelta.operators.hierarchy import hierarchy_reach
 
 
 def test_payload_keys(rows):
@@ -41,3 +47,52 @@ def test_stages(rows):
         assert (row.logical_stage, row.teaching_stage) == (row.stage, row.teaching), row
     known = rows("diff_type string, clause string", *[(name, None) for name in PROBES_OF_TYPE])
     assert logical_stage(known).where("logical_stage is null").count() == 0
+
+
+def test_redaction_keeps_keys_and_whole_texts(rows):
+    text = "select a from t"
+    body = {text: text, "n": ["x" * 5000, text + " ;"], "odd\\E$1": "a \\ \" b"}
+    payloads = rows("payload_id int, case_id int, payload string", (1, 1, json.dumps(body)), (2, 1, "{}"), (3, 1, None))
+    secrets = rows("case_id int, secret string", (1, text))
+    got = {r.payload_id: r for r in A.redact_payload(payloads, secrets).collect()}
+    assert json.loads(got[1].payload) == {text: A.REDACTED, "n": ["x" * 5000, A.REDACTED], "odd\\E$1": "a \\ \" b"}
+    assert (got[1].n_changes, got[1].n_cut) == (2, 0) and got[2].payload == "{}" and got[3].payload is None
+    cut = {r.payload_id: r for r in A.redact_payload(payloads, secrets, max_chars=100).collect()}
+    assert json.loads(cut[1].payload)["n"][0] == "x" * 100 and cut[1].n_cut == 1
+
+
+def test_leaks_are_not_found_across_strings(rows):
+    schema = "payload_id int, case_id int, level int, payload string, has_witness boolean"
+    payloads = rows(
+        schema, (1, 1, 1, json.dumps({"a": "select a", "b": "from t where x"}), False),
+        (2, 1, 1, json.dumps({"a": "well, SELECT a\n from t"}), False),
+    )
+    found = A.audit_leaks(payloads, rows("case_id int, secret string", (1, "select a from t"))).collect()
+    assert [(r.payload_id, r.issue) for r in found] == [(2, "full_reference")]
+
+
+def test_claims_that_cannot_hold(rows):
+    day = datetime.date(2024, 5, 1)
+    df = rows("slot int, a int, b int, d date", (1, 1, 1, None), (2, 2, 5, day), (3, None, 4, day))
+    claims = rows(
+        "row_slot int, column_name string, relation string, value string, priority int, owner string, locked boolean",
+        (1, "a", "equals_column", "nope", 1, "p", True), (1, "b", "not_equals_column", "a", 1, "p", True),
+        (1, "d", "not_null", None, 1, "p", True), (2, "a", "equals", "x7", 1, "p", True),
+        (2, "b", "not_equals_column", "a", 1, "p", True), (2, "d", "equals", "2024-06-02", 1, "p", True),
+        (3, "a", "equals_column", "b", 1, "p", True), (3, "z", "is_null", None, 1, "p", True), (9, "a", "is_null", None, 1, "p", True),
+        (3, "b", "near", "1", 1, "p", True),
+    )
+    columns = ["a", "b", "d"]
+    got = {r.slot: (r.a, r.b, r.d) for r in D.apply_overrides(df, "slot", claims, columns).collect()}
+    assert got == {1: (1, 1, datetime.date(1970, 1, 1)), 2: (2, 5, datetime.date(2024, 6, 2)), 3: (4, 4, day)}
+    found = {(r.row_slot, r.column_name): r.reason for r in D.unapplied_overrides(df, "slot", claims, columns).collect()}
+    assert found == {
+        (1, "a"): "unknown_operand", (1, "b"): "not_satisfied", (2, "a"): "bad_literal", (3, "z"): "unknown_column",
+        (9, "a"): "unknown_row", (3, "b"): "unknown_relation",
+    }
+
+
+def test_deep_hierarchy(rows):
+    chain = rows("id int, up int", (0, None), *[(i, i - 1) for i in range(1, 70)])
+    got = dict(hierarchy_reach(chain, "id", "up", "up is null").collect())
+    assert got == {i: i for i in range(70)}
