@@ -15,7 +15,11 @@ def _norm(column):
     return _NORM.format(column)
 
 
-# A turn is a payload, its conversation the case; the start of the first turn is the secret.
+# As the library compares: without the semicolons at the end, white space collapsed, lower case.
+_SECRET = r"lower(trim(regexp_replace(regexp_replace({0}, '[\s;]+$', ''), '\s+', ' ', 'g')))"
+
+
+# A turn is a payload, its conversation the case; the whole first turn is the secret.
 def _payloads(t):
     quoted = F.to_json(F.struct(F.col("text").alias("message"), F.expr(
         "case when role = 'user' then named_struct('answer_sql', 'x', 'kept', array(1, 2)) end"
@@ -28,23 +32,24 @@ def _payloads(t):
 
 
 def _case_secrets(t):
-    """The system prompt of a conversation, and the start of its first user turn."""
-    start = F.expr("case when turn = 0 then substring(text, 1, 30) end")
+    """The first turn of a conversation, with blanks before and a semicolon after it."""
     return t.conversations.where("turn = 0").select(
-        F.col("conv_id").alias("case_id"), F.concat(F.lit("  "), start, F.lit(";")).alias("secret")
+        F.col("conv_id").alias("case_id"), F.concat(F.lit("  "), "text", F.lit(";")).alias("secret")
     )
 
 
+_TURNS = f"""sec AS (SELECT DISTINCT conv_id, {_SECRET.format("text")} AS s FROM conversations WHERE turn = 0),
+  leaking AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations JOIN sec USING (conv_id)
+              WHERE length(s) >= 8 AND contains({_SECRET.format("text")}, s))"""
+
+
 @query("redact_payload", f"""
-WITH sec AS (SELECT DISTINCT conv_id, lower(regexp_replace(regexp_replace(substr(text, 1, 30), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS s
-             FROM conversations WHERE turn = 0),
-  x AS (SELECT c.*, bool_or(length(s) >= 8 AND contains(lower(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')), s)) AS leak
-        FROM conversations c LEFT JOIN sec USING (conv_id) GROUP BY ALL)
-SELECT concat_ws('-', conv_id, turn) AS payload_id,
-       CASE WHEN leak THEN '[redacted reference content]' WHEN length(text) > 200 THEN substr(text, 1, 200) ELSE text END AS message,
-       coalesce(leak, false) AS leaked, false AS has_answer, role = 'user' AS has_nested FROM x""")
+WITH {_TURNS}, x AS (SELECT *, EXISTS (FROM leaking l WHERE (l.conv_id, l.turn, l.role, l.text)
+                       IS NOT DISTINCT FROM (c.conv_id, c.turn, c.role, c.text)) AS leak FROM conversations c)
+SELECT concat_ws('-', conv_id, turn) AS payload_id, CASE WHEN leak THEN '[redacted reference content]' ELSE text END AS message,
+       leak AS leaked, false AS has_answer, role = 'user' AS has_nested FROM x""")
 def redact_payload(t):
-    shown = A.redact_payload(_payloads(t).drop("level", "has_witness"), _case_secrets(t), max_chars=200)
+    shown = A.redact_payload(_payloads(t).drop("level", "has_witness"), _case_secrets(t))
     body = F.from_json("payload", "message string, nested struct<answer_sql:string,kept:array<int>>")
     return shown.select("payload_id", body.alias("b")).select(
         "payload_id", "b.message", (F.col("b.message") == A.REDACTED).alias("leaked"),
@@ -52,14 +57,12 @@ def redact_payload(t):
     )
 
 
-@query("audit_leaks", """
-WITH sec AS (SELECT DISTINCT conv_id, lower(regexp_replace(regexp_replace(substr(text, 1, 30), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS s
-             FROM conversations WHERE turn = 0),
-  p AS (SELECT concat_ws('-', conv_id, turn) AS payload_id, conv_id AS case_id, (turn % 3 + 1)::INT AS level, role,
-        lower(regexp_replace(text, '\\s+', ' ', 'g')) AS txt, conv_id FROM conversations)
+@query("audit_leaks", f"""
+WITH {_TURNS}, p AS (SELECT concat_ws('-', conv_id, turn) AS payload_id, conv_id AS case_id, (turn % 3 + 1)::INT AS level, role
+                     FROM conversations)
 SELECT payload_id, case_id, level, 'forbidden_keys:answer_sql' AS issue FROM p WHERE role = 'user'
 UNION ALL SELECT payload_id, case_id, level, 'witness_slot' FROM p WHERE (role = 'assistant') <> (role = 'assistant' AND level = 2)
-UNION ALL SELECT DISTINCT payload_id, case_id, level, 'full_reference' FROM p JOIN sec USING (conv_id) WHERE length(s) >= 8 AND contains(txt, s)""")
+UNION ALL SELECT DISTINCT concat_ws('-', conv_id, turn), conv_id, (turn % 3 + 1)::INT, 'full_reference' FROM leaking""")
 def audit_leaks(t):
     return A.audit_leaks(_payloads(t), _case_secrets(t))
 
