@@ -33,16 +33,19 @@ def nested_distinct_sum(t):
     return S.nested_distinct_effect(rows, ["l_suppkey", "l_partkey", "q"], ["l_suppkey"], "q")
 
 
-# Suppliers and return flags of small parts against those of large parts.
+# Suppliers and return flags of small parts against those of large parts, whose supplier keys are moved so that each side has its own.
 _SIDES = """
-  l AS (SELECT l_suppkey, l_returnflag, l_tax FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 3),
-  r AS (SELECT l_suppkey, l_returnflag, l_tax FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size >= 49)"""
+  l AS (SELECT l_suppkey, l_returnflag, l_tax FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 25),
+  r AS (SELECT l_suppkey + 3 AS l_suppkey, l_returnflag, l_tax FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25)"""
 
 
 def _sides(t):
     lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    columns = ["l_suppkey", "l_returnflag", "l_tax"]
-    return lines.where("p_size <= 3").select(*columns), lines.where("p_size >= 49").select(*columns)
+    moved = (F.col("l_suppkey") + 3).alias("l_suppkey")
+    return (
+        lines.where("p_size <= 25").select("l_suppkey", "l_returnflag", "l_tax"),
+        lines.where("p_size > 25").select(moved, "l_returnflag", "l_tax"),
+    )
 
 
 _COPIES = f"""{_SIDES},

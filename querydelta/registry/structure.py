@@ -9,16 +9,18 @@ from querydelta.operators import hierarchy as H
 from querydelta.registry import query
 from querydelta.sources import catalogs as G
 
-# A part reports to the part with a quarter of its number; part 0 is the root
-# and parts below a price limit are left out, so some parents are missing.
-_TREE = """tree AS (SELECT p_partkey AS id, CASE WHEN p_partkey = 0 THEN NULL ELSE p_partkey // 4 END AS parent
-                    FROM part WHERE p_retailprice <> 910.5)"""
+# A part reports to the part with a quarter of its number; part 0 is the root,
+# and parts of one price report to a part that does not exist.
+_TREE = """tree AS (SELECT p_partkey AS id, CASE WHEN p_partkey = 0 THEN NULL WHEN p_retailprice = 910.5 THEN -p_partkey
+                    ELSE p_partkey // 4 END AS parent FROM part)"""
 
 
 def _tree(t):
-    return t.part.where("p_retailprice <> 910.5D").select(
+    return t.part.select(
         F.col("p_partkey").alias("id"),
-        F.expr("case when p_partkey = 0 then null else p_partkey div 4 end").alias("parent"),
+        F.expr(
+            "case when p_partkey = 0 then null when p_retailprice = 910.5D then -p_partkey else p_partkey div 4 end"
+        ).alias("parent"),
     )
 
 
