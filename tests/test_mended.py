@@ -12,7 +12,7 @@ from querydelta.functions.vocabulary import PROBES_OF_TYPE
 from querydelta.operators import audit as A
 from querydelta.operators import datagen as D
 from querydelta.operators.datagen import seed_value
-from querydelta.operators.evidence import logical_stage
+from querydelta.operators.evidence import hint_slot, logical_stage
 from querydelta.operators.hierarchy import hierarchy_reach
 
 
@@ -96,3 +96,13 @@ def test_deep_hierarchy(rows):
     chain = rows("id int, up int", (0, None), *[(i, i - 1) for i in range(1, 70)])
     got = dict(hierarchy_reach(chain, "id", "up", "up is null").collect())
     assert got == {i: i for i in range(70)}
+
+
+def test_one_hint_per_case_in_one_language(rows):
+    packages = rows("case_id int, verdict string, primary_rule string, witness string", (1, "INCORRECT", "R", None), (2, "CORRECT", None, None))
+    schema = "language string, rule_id string, kind string, message string"
+    texts = rows(schema, *[(lang, "R", "LOCATION", f"{lang}{i}") for lang in ("en", "zh") for i in (2, 1)])
+    for language, extra in (("en", "en1"), ("zh", "zh1"), ("fr", "The results differ; no single rule explains it.")):
+        got = {r.case_id: r.message for r in hint_slot(packages, 1, texts, language).collect()}
+        assert got == {1: extra, 2: "No difference was found on the data."}
+    assert hint_slot(packages, 1, texts.where("language = 'zh'").drop("language")).count() == 2
