@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -224,6 +225,30 @@ def test_licences(spark, odd, empty):
     assert licences.scan_licences(odd).count() == odd.count() and licences.scan_licences(empty).count() == 0
 
 
+def test_licences_whatever_the_line_breaks(spark):
+    def wrapped(text, width=50):
+        return textwrap.fill(" ".join(text.split()), width)
+
+    prose = "Some prose of another kind that says little about how it may be used and goes on for a while. " * 3
+    own, full = licences.TEMPLATES, licences.FULL_TEXTS
+    cases = {
+        f"Copyright (c) 2020 Someone\n\n{wrapped(full['mit-text'])}\n{prose}": ["mit-text"],
+        f"{prose}\n{wrapped(own['bsd'])}\n{prose}": ["bsd"],
+        f"{prose}\n{wrapped(own['gpl-3.0-header'])}\n{prose}": ["gpl-3.0-header"],
+        f"{prose} Released under the MIT License. {prose}": ["mit"],
+        f"{wrapped(full['bsd-2-clause-text'])}\n{prose}": ["bsd-2-clause-text"],
+        f"{wrapped(full['bsd-3-clause-text'])}\n{prose}": ["bsd-3-clause-text"],
+        f"{prose}\n{wrapped(full['isc-text'])}": ["isc-text"],
+        f"{prose} Licensed under CC BY 4.0. Licensed under CC BY-SA 4.0. {prose}": ["cc-by-4.0", "cc-by-sa-4.0"],
+        f"{wrapped(full['mit-text'])}\nThe text itself is licensed\nunder CC BY 4.0.": ["cc-by-4.0", "mit-text"],
+        prose: [],
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
+    found = {row.doc_id: row for row in licences.scan_licences(rows).collect()}
+    for at, wanted in enumerate(cases.values()):
+        assert (found[at].licences, found[at].n_notices) == (wanted, len(wanted)), list(cases)[at]
+
+
 def test_language(spark, docs, odd, empty):
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     truth = {row.doc_id: row.lang for row in docs.collect()}
