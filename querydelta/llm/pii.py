@@ -1,13 +1,13 @@
 """Personal data: fixed patterns, and a character tagger that finds what they leave.
 
 The patterns of the four kinds give base spans. A bidirectional LSTM over characters
-with a CRF on top, trained in numpy on base spans of a bounded sample, tags windows of 64
-characters that overlap by half. Spans it finds in different windows are reconciled over
-the whole text: those that pass the check of their kind and touch no base span compete, and the set
-without overlaps and with the highest total margin is added.
+with a CRF on top, trained in numpy on base spans of a bounded sample, scores windows of 64
+characters that overlap by half. Where windows overlap their scores are averaged, and each stretch of
+windows is decoded at once, so a span may reach over any number of them. Spans that pass the check of their
+kind and touch no base span compete, and the set without overlaps and with the highest total margin is added.
 
 A span of any kind holds a digit or ``@``, and one that is added holds one outside all base
-spans; so windows without such a character are not tagged.
+spans; so windows without such a character are not scored, but for those over the rest of a word with ``@``.
 """
 
 from __future__ import annotations
@@ -126,6 +126,33 @@ def window_starts(marks: np.ndarray, covered: list[Span]) -> list[int]:
     return (steps[steps >= 0] * STRIDE).tolist()
 
 
+def stretches(marks: np.ndarray, covered: list[Span]) -> list[tuple[int, int]]:
+    """First start and number of windows of each run of windows that overlap.
+
+    Besides ``window_starts`` these cover whole words that hold an ``@`` outside ``covered``: an address can go on
+    for longer than a window without another digit or ``@``, which no other kind can.
+    """
+    steps = np.array(window_starts(marks, covered), np.int64) // STRIDE
+    if not len(steps):
+        return []
+    at = np.flatnonzero(marks == 64)
+    if len(at):
+        blank = np.flatnonzero(((marks >= 9) & (marks <= 13)) | ((marks >= 28) & (marks <= 32)))
+        edges = np.concatenate([[-1], blank, [len(marks)]])
+        chosen = np.zeros((len(marks) - 1) // STRIDE + 2, np.int64)
+        inside = np.zeros(len(marks) + 1, np.int64)
+        for start, end, _ in covered:
+            inside[start] += 1
+            inside[end] -= 1
+        word = np.unique(np.searchsorted(blank, at[np.cumsum(inside)[at] == 0]))
+        for left, right in zip(edges[word] + 1, edges[word + 1], strict=True):
+            chosen[max(0, left // STRIDE - 1)] += 1
+            chosen[(right - 1) // STRIDE + 1] -= 1
+        steps = np.union1d(steps, np.flatnonzero(np.cumsum(chosen) > 0))
+    cuts = np.flatnonzero(np.diff(steps) > 1) + 1
+    return [(int(run[0]) * STRIDE, len(run)) for run in np.split(steps, cuts)]
+
+
 def _window(marks: np.ndarray, start: int) -> np.ndarray:
     out = np.zeros(WINDOW, np.uint8)
     part = marks[start : start + WINDOW]
@@ -196,22 +223,40 @@ class Tagger:
         both = np.concatenate([self._run(ids, "ahead", False)[0], self._run(ids, "back", False)[0]], axis=2)
         return both @ self.p["out"] + self.p["out_bias"]
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best tags ``[row, time]`` and, per place, how far the tag's emission is above that of ``O``."""
-        scores = self.emissions(ids)
-        steps, rows, _ = scores.shape
-        best, back = scores[0] + self.p["first"], np.empty(scores.shape, np.int8)
-        for t in range(1, steps):
-            through = best[:, :, None] + self.p["move"]
-            back[t] = through.argmax(axis=1)
-            best = through.max(axis=1) + scores[t]
-        tags = np.empty((steps, rows), np.int64)
-        tags[-1] = best.argmax(axis=1)
-        every = np.arange(rows)
-        for t in range(steps - 1, 0, -1):
-            tags[t - 1] = back[t][every, tags[t]]
-        margin = np.take_along_axis(scores, tags[:, :, None], 2)[:, :, 0] - scores[:, :, 0]
-        return tags.T, margin.T
+    def scores(self, rows: np.ndarray, runs: list[tuple[int, int]], per_call: int) -> np.ndarray:
+        """Emissions per place of runs of overlapping windows, run after run; ``runs`` has windows and places of each."""
+        n = len(TAGS)
+        out, base, first = np.zeros((sum(places for _, places in runs), n)), [], 0
+        for windows, places in runs:
+            base += [(first, at * STRIDE, places) for at in range(windows)]
+            first += places
+        times = np.zeros((len(out), 1))
+        for low in range(0, len(rows), per_call):
+            part = self.emissions(rows[low : low + per_call])
+            for at, (first, start, places) in enumerate(base[low : low + per_call]):
+                seen = max(0, min(WINDOW, places - start))
+                out[first + start : first + start + seen] += part[:seen, at]
+                times[first + start : first + start + seen] += 1
+        return out / np.maximum(times, 1)
+
+    def decode(self, scores: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The best tags of runs of places, run after run, and per place how far the tag's score is above that of ``O``."""
+        sizes = np.array(lengths, np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        begin, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        active = [int(np.searchsorted(-sizes, -t, "left")) for t in range(int(sizes[0]))]
+        best, back = scores[begin] + self.p["first"], np.empty(scores.shape, np.int8)
+        for t in range(1, len(active)):
+            n = active[t]
+            through = best[:n, :, None] + self.p["move"]
+            back[begin[:n] + t] = through.argmax(axis=1)
+            best[:n] = through.max(axis=1) + scores[begin[:n] + t]
+        tags = np.empty(len(scores), np.int64)
+        tags[begin + sizes - 1] = best.argmax(axis=1)
+        for t in range(len(active) - 1, 0, -1):
+            places = begin[: active[t]] + t
+            tags[places - 1] = back[places, tags[places]]
+        return tags, scores[np.arange(len(scores)), tags] - scores[:, 0]
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """The mean negative log-likelihood of the tag rows, and its gradients."""
@@ -264,23 +309,34 @@ class Tagger:
 
     def spans(self, texts: list[str], fixed: list[list[Span]], per_call: int = 512) -> list[list[Span]]:
         """What the tagger adds to the ``fixed`` spans of every text."""
-        places, rows = [], []
+        found: list[dict[Span, float]] = [{} for _ in texts]
+        waiting, rows = [], []
+
+        def tag() -> None:
+            scores = self.scores(np.array(rows), [(windows, places) for _, _, windows, places in waiting], per_call)
+            tags, margin = self.decode(scores, [places for *_, places in waiting])
+            first = 0
+            for at, start, _, places in waiting:
+                here, gains = tags[first : first + places], margin[first : first + places]
+                first += places
+                for low, high, kind in _runs(here.tolist()) if here.any() else ():
+                    span, gain = (start + low, start + high, kind), float(gains[low:high].sum())
+                    if gain > 0 and _plausible(texts[at][span[0] : span[1]], kind):
+                        found[at][span] = gain
+            waiting.clear()
+            rows.clear()
+
         for at, (text, covered) in enumerate(zip(texts, fixed, strict=True)):
             if "@" in text or _DIGIT.search(text):
                 marks = symbols(text)
-                for start in window_starts(marks, covered):
-                    places.append((at, start))
-                    rows.append(_window(marks, start))
-        found: list[dict[Span, float]] = [{} for _ in texts]
-        for first in range(0, len(rows), per_call):
-            tags, margin = self.decode(np.array(rows[first : first + per_call]))
-            for row in np.flatnonzero(tags.any(axis=1)).tolist():
-                at, start = places[first + row]
-                for low, high, kind in _runs(tags[row].tolist()):
-                    cut = (low == 0 and start > 0) or (high == WINDOW and start + WINDOW < len(texts[at]))
-                    span, gain = (start + low, start + high, kind), float(margin[row, low:high].sum())
-                    if not cut and gain > 0 and _plausible(texts[at][span[0] : span[1]], kind):
-                        found[at][span] = max(gain, found[at].get(span, 0.0))
+                for start, windows in stretches(marks, covered):
+                    places = min(len(text) - start, (windows - 1) * STRIDE + WINDOW)
+                    waiting.append((at, start, windows, places))
+                    rows += [_window(marks, start + k * STRIDE) for k in range(windows)]
+                    if len(rows) >= per_call:
+                        tag()
+        if rows:
+            tag()
         return [reconcile(own, covered) for own, covered in zip(found, fixed, strict=True)]
 
 

@@ -124,6 +124,39 @@ def test_tagger_gradients_and_reconciliation():
     assert sorted(chosen) == [(4, 9, "ip"), (9, 12, "ip")]
 
 
+class _WordTagger(pii.Tagger):
+    """Scores every character of a word as inside an address, and sees no more than its window."""
+
+    def emissions(self, ids):
+        out = np.zeros((ids.shape[1], ids.shape[0], len(pii.TAGS)))
+        out[:, :, 2] = np.where(ids.T > 32, 5.0, -5.0)
+        return out
+
+
+@pytest.mark.parametrize("length", [20, 40, 50, 64, 200])
+def test_spans_reach_over_windows(length):
+    plain = pii.Tagger.new()
+    tagger = _WordTagger(plain.p | {"move": np.zeros_like(plain.p["move"])})
+    local = (length - 10) // 2
+    address = "a" * local + "@" + "ü" * (length - local - 4) + ".de"
+    assert len(address) == length and not pii.base_spans(address)
+    for offset in range(70):
+        text = " " * offset + address + " " * 100
+        assert tagger.spans([text, text], [[], []]) == [[(offset, offset + length, "email")]] * 2, offset
+
+
+def test_stretches_decode_alike_alone_and_together():
+    tagger, texts = pii.fit(np.zeros((0, 64), np.uint8), np.zeros((0, 64), np.uint8)), strange(60, length=40, seed=9)
+    base = [pii.base_spans(text) for text in texts]
+    alone = [tagger.spans([text], [own], per_call=1)[0] for text, own in zip(texts, base, strict=True)]
+    assert tagger.spans(texts, base) == alone
+    sizes = [5, 1, 9, 5]
+    scores = np.random.default_rng(1).normal(0, 1, (20, len(pii.TAGS)))
+    tags, _ = tagger.decode(scores, sizes)
+    parts = np.split(scores, np.cumsum(sizes)[:-1])
+    assert tags.tolist() == [tag for part in parts for tag in tagger.decode(part, [len(part)])[0].tolist()]
+
+
 def test_personal_data(odd, empty):
     rows = pii.find_personal_data(odd).collect()
     assert collections.Counter((row.doc_id, row.base) for row in rows) == collections.Counter(
