@@ -133,12 +133,13 @@ def bridge_tables(fks: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def join_paths(fks: DataFrame, requests: DataFrame, max_hops: int = 4) -> DataFrame:
+def join_paths(fks: DataFrame, requests: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Shortest undirected foreign-key path per requested pair, first in name order.
 
-    ``requests``: catalog_id, source, target. The path is NULL if the ends are
-    more than ``max_hops`` apart. Every round keeps one path per reached table:
-    a prefix of the first shortest path is itself the first shortest path.
+    ``requests``: catalog_id, source, target. The path is NULL if there is none, or
+    if the ends are more than a given ``max_hops`` apart. Every round keeps one path
+    per newly reached table: a prefix of the first shortest path is itself the first
+    shortest path. Rounds go on until no open pair reaches a new table.
     """
     one_way = fks.select("catalog_id", F.col("from_table").alias("a"), F.col("to_table").alias("b"))
     edges = durable(
@@ -150,16 +151,24 @@ def join_paths(fks: DataFrame, requests: DataFrame, max_hops: int = 4) -> DataFr
         *pair, F.col("source").alias("at"), F.array("source").alias("path")
     )
     found = level.where("at = target").select(*pair, "path")
-    for _ in range(max_hops):
+    level = level.where("at <> target")
+    seen, hops = level.select(*pair, "at"), 0
+    while max_hops is None or hops < max_hops:
+        hops += 1
         step = (
-            level.where("at <> target")
-            .join(edges.withColumnRenamed("a", "at"), ["catalog_id", "at"])
-            .where(~F.array_contains("path", F.col("b")))
+            level.join(edges.withColumnRenamed("a", "at"), ["catalog_id", "at"])
             .groupBy(*pair, F.col("b").alias("at"))
             .agg(F.min(F.concat("path", F.array("b"))).alias("path"))
+            .join(seen, [*pair, "at"], "left_anti")
         )
-        level = durable(step)
-        found = found.unionAll(level.where("at = target").select(*pair, "path"))
+        newest = durable(step)
+        if newest.isEmpty():
+            break
+        ended = newest.where("at = target").select(*pair, "path")
+        found, seen = found.unionAll(ended), seen.unionAll(newest.select(*pair, "at"))
+        level = newest.join(ended.select(*pair), pair, "left_anti")
+        if hops % 8 == 0:
+            found, seen = durable(found), durable(seen)
     best = found.groupBy(*pair).agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("best"))
     return requests.select(*pair).distinct().join(best, pair, "left").select(
         *pair, F.array_join("best.path", ">").alias("path"), (F.col("best.n") - 1).cast("bigint").alias("hops")

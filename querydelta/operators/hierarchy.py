@@ -85,22 +85,60 @@ def recursion_effect(reach: DataFrame) -> DataFrame:
     )
 
 
+#: Levels after which ``path_multiplicity`` looks once for cycles; counts do not depend on it.
+_CYCLE_CHECK = 16
+
+
+def _endless(edges: DataFrame, source: str, target: str, roots: DataFrame) -> DataFrame:
+    """``node, first_depth`` of the nodes on or behind a cycle that the roots reach; edges are distinct."""
+    reached = newest = durable(roots.select(F.col(source).alias("node"), F.lit(0).alias("first_depth")).distinct())
+    depth = 0
+    while not newest.isEmpty():
+        depth += 1
+        below = edges.join(newest.select(F.col("node").alias(source)), source, "left_semi").select(F.col(target).alias("node"))
+        newest = durable(
+            below.distinct().join(reached.select("node"), "node", "left_anti").withColumn("first_depth", F.lit(depth))
+        )
+        reached = reached.unionAll(newest)
+        if depth % 8 == 0:
+            reached = durable(reached)
+    known = reached.select(F.col("node").alias(source))
+    rest = durable(edges.join(known, source, "left_semi").select(F.col(source).alias("a__"), F.col(target).alias("b__")))
+    left, before = rest.count(), -1
+    while left != before:
+        # an edge goes once nothing leads to its start any more; those of cycles never do
+        rest = durable(rest.join(rest.select(F.col("b__").alias("a__")).distinct(), "a__", "left_semi"))
+        left, before = rest.count(), left
+    return durable(reached.join(rest.select(F.col("b__").alias("node")).distinct(), "node", "left_semi"))
+
+
 def path_multiplicity(
-    edges: DataFrame, source: str, target: str, roots: DataFrame, max_depth: int
+    edges: DataFrame, source: str, target: str, roots: DataFrame, max_depth: int | None = None
 ) -> DataFrame:
-    """Paths from the roots to each node, up to ``max_depth`` edges long.
+    """Paths from the roots to each node, of any length or up to a given ``max_depth`` edges.
 
     A node on several paths is where UNION and UNION ALL recursion differ:
     UNION ALL returns it ``n_paths`` times. Paths are summed per node and round,
-    never listed. ``roots`` has the column ``source``.
+    never listed, until a round is empty. Without ``max_depth`` a node on or behind a
+    cycle has no last path: its ``n_paths`` and ``last_depth`` are NULL and
+    ``union_all_differs`` is true. ``roots`` has the column ``source``.
     """
     counted = durable(edges.groupBy(source, target).agg(F.count(F.lit(1)).cast(WIDE).alias("copies__")))
-    level = durable(
+    root = durable(
         roots.groupBy(F.col(source).alias("node")).agg(F.count(F.lit(1)).cast(WIDE).alias("paths__"))
         .withColumn("depth__", F.lit(0))
     )
-    levels = level
-    for depth in range(1, max_depth + 1):
+    level = levels = root
+    endless, depth = None, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        if depth == _CYCLE_CHECK and max_depth is None and endless is None:
+            endless = _endless(counted, source, target, roots)
+            if not endless.isEmpty():
+                counted = durable(counted.join(endless.select(F.col("node").alias(target)), target, "left_anti"))
+                level = levels = durable(root.join(endless, "node", "left_anti"))
+                depth = 0
+                continue
         step = level.join(counted, F.col("node") == F.col(source)).groupBy(F.col(target).alias("next__")).agg(
             F.sum((F.col("paths__") * F.col("copies__")).cast(WIDE)).cast(WIDE).alias("paths__")
         )
@@ -108,8 +146,16 @@ def path_multiplicity(
         if level.isEmpty():
             break
         levels = levels.unionAll(level)
-    return levels.groupBy("node").agg(
+        if depth % 32 == 0:
+            levels = durable(levels)
+    out = levels.groupBy("node").agg(
         F.sum("paths__").cast(WIDE).alias("n_paths"),
         F.min("depth__").alias("first_depth"),
         F.max("depth__").alias("last_depth"),
     ).withColumn("union_all_differs", F.col("n_paths") > 1)
+    if endless is None:
+        return out
+    return out.unionAll(endless.select(
+        "node", F.lit(None).cast(WIDE).alias("n_paths"), "first_depth", F.lit(None).cast("int").alias("last_depth"),
+        F.lit(True).alias("union_all_differs"),
+    ))

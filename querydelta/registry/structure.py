@@ -64,7 +64,7 @@ def path_multiplicity(t):
         below.select(F.expr("p_partkey div 3").alias("a"), F.col("p_partkey").alias("b"))
     )
     root = t.part.where("p_partkey = 0").select(F.col("p_partkey").alias("a"))
-    return H.path_multiplicity(edges, "a", "b", root, 12)
+    return H.path_multiplicity(edges, "a", "b", root)
 
 
 @query("check_constraints", """

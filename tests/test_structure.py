@@ -38,6 +38,31 @@ def test_diamond(rows):
     assert got == {1: (3, True), 2: (1, False), 3: (1, False), 4: (2, True)}
 
 
+def test_paths_of_any_length(rows):
+    chain = rows("a int, b int", *[(n, n + 1) for n in range(40)], (0, 2), (0, 2))
+    got = table(H.path_multiplicity(chain, "a", "b", rows("a int", (0,))), "node", "n_paths", "first_depth", "last_depth")
+    assert len(got) == 41 and got[1] == (1, 1, 1) and got[40] == (3, 39, 40)
+    ring = rows("a int, b int", (1, 2), (2, 3), (3, 4), (4, 2), (4, 5), (1, 6), (1, 6), (8, 9), (9, 8), (9, 6))
+    got = table(H.path_multiplicity(ring, "a", "b", rows("a int", (1,))), "node", "n_paths", "first_depth", "last_depth",
+                "union_all_differs")
+    assert got == {
+        1: (1, 0, 0, False), 6: (2, 1, 1, True), 2: (None, 1, None, True), 3: (None, 2, None, True),
+        4: (None, 3, None, True), 5: (None, 4, None, True),
+    }
+
+
+def test_join_paths_of_any_length(rows):
+    names = "abcdefghijkl"
+    fks = rows("catalog_id int, from_table string, from_columns array<string>, to_table string, to_columns array<string>",
+               *[(1, x, ["id"], y, ["id"]) for x, y in zip(names, names[1:], strict=False)])
+    asks = rows("catalog_id int, source string, target string", (1, "a", "g"), (1, "a", "l"), (1, "l", "a"), (1, "a", "z"))
+    found = {(r.source, r.target): (r.path, r.hops) for r in K.join_paths(fks, asks).collect()}
+    assert found == {
+        ("a", "g"): ("a>b>c>d>e>f>g", 6), ("a", "l"): (">".join(names), 11), ("l", "a"): (">".join(reversed(names)), 11),
+        ("a", "z"): (None, None),
+    }
+
+
 def test_constraints(rows):
     child = rows("id int, parent int, x int", (1, 1, None), (1, 9, 2), (None, None, 3), (2, 9, 4))
     got = table(
