@@ -6,11 +6,11 @@ word shingles, whose signs are a 64-bit fingerprint. Fingerprints of items are c
 ``radius + 1`` blocks and indexed by block: two that differ in at most ``radius`` bits
 agree on a block, so the index yields all of them. What is near is decided by the exact
 weighted Jaccard similarity of the shingles. A shingle weighs the more the fewer items
-hold it.
+of the whole benchmark hold it.
 
 A window that shares no shingle with an item has similarity 0, so only windows over a
 shingle of an item of that size are hashed. Items are taken in blocks of a fixed number, each of
-them against all documents, so no task holds more than one block of items.
+them against all documents, so a task holds one block of items, and the counts of shingles that several items share.
 """
 
 from __future__ import annotations
@@ -48,7 +48,11 @@ def _fingerprints(sums: np.ndarray) -> np.ndarray:
 class Passages:
     """One block of benchmark items, indexed."""
 
-    def __init__(self, ids: list, texts: list[str], radius: int = RADIUS, similarity: float = SIMILARITY):
+    def __init__(
+        self, ids: list, texts: list[str], radius: int = RADIUS, similarity: float = SIMILARITY,
+        shared: tuple[int, np.ndarray, np.ndarray] | None = None,
+    ):
+        """``shared``: what ``holders`` counts over the whole benchmark; without it the block is the whole."""
         self.radius, self.similarity = radius, similarity
         words, counts = LOOSE(texts)
         ends = np.cumsum(counts)
@@ -61,8 +65,9 @@ class Passages:
                 self.shingles.append(sequence_hashes(words[end - size : end], min(SHINGLE_WORDS, size)))
         distinct = [np.unique(own) for own in self.shingles]
         self.known, held = np.unique(np.concatenate(distinct), return_counts=True) if distinct else (np.zeros(0, np.uint64),) * 2
-        self.weights = np.log1p(len(self.ids) / np.maximum(held, 1))
-        self.other = np.log1p(len(self.ids))
+        total, self.weighted, held = shared or (len(self.ids), self.known, held)
+        self.weights = np.log1p(total / np.maximum(held, 1))
+        self.other = np.log1p(total)
         self.sieve = np.zeros(1 << _SIEVE_BITS, bool)
         self.sieve[self.known >> np.uint64(64 - _SIEVE_BITS)] = True
         holders = defaultdict(set)
@@ -80,10 +85,10 @@ class Passages:
         self.by_length = {min(SHINGLE_WORDS, size) for size in self.sizes}
 
     def _weight(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.known):
+        if not len(self.weighted):
             return np.full(len(hashes), self.other)
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, self.weights[at], self.other)
+        at = np.minimum(np.searchsorted(self.weighted, hashes), len(self.weighted) - 1)
+        return np.where(self.weighted[at] == hashes, self.weights[at], self.other)
 
     def _blocks(self, fingerprint: int) -> Iterator[tuple[int, int]]:
         for number, (low, high) in enumerate(zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True)):
@@ -162,6 +167,27 @@ class Passages:
         return out
 
 
+def holders(benchmark: DataFrame, text_col: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of items with words, and the shingles that several items hold, sorted, with the number of these items."""
+    def shingles(texts):
+        words, counts = LOOSE(texts)
+        ends, found, first = np.cumsum(counts), [], []
+        for size, end in zip(counts.tolist(), ends.tolist(), strict=True):
+            if size:
+                own = np.unique(sequence_hashes(words[end - size : end], min(SHINGLE_WORDS, size)))
+                found += own.view(np.int64).tolist()
+                first += [1] + [0] * (len(own) - 1)
+        return found, first
+
+    texts = benchmark.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    held = map_columns(texts, shingles, "shingle bigint, first bigint")
+    total = held.agg(F.coalesce(F.sum("first"), F.lit(0)).alias("n")).first().n
+    common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toArrow()
+    hashes = common.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return int(total), hashes[order], common.column("n").to_numpy()[order]
+
+
 def passes(benchmark: DataFrame, id_col: str, text_col: str, per_pass: int) -> Iterator[tuple[list, list[str]]]:
     """The items in blocks of about ``per_pass``; only one block is held at a time."""
     items = benchmark.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -184,9 +210,9 @@ def find_passages(
     """
     schema = "doc_id bigint, item_id bigint, similarity double, first_word bigint, n_words bigint, distance bigint"
     texts = document_columns(docs, id_col, text_col)
-    out = None
+    out, shared = None, holders(benchmark, item_text_col)
     for ids, items in passes(benchmark, item_col, item_text_col, per_pass):
-        block = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, ids, items))
+        block = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, ids, items, shared))
 
         def search(doc_ids, doc_texts, block=block):
             rows = [
@@ -206,10 +232,10 @@ _BUILT: dict = {}
 
 def _passages(block, radius: int, similarity: float) -> Passages:
     """The index of a broadcast block; a worker process keeps the last one it built."""
-    name, ids, texts = block.value
+    name, ids, texts, shared = block.value
     if (name, radius, similarity) not in _BUILT:
         _BUILT.clear()
-        _BUILT[name, radius, similarity] = Passages(ids, texts, radius, similarity)
+        _BUILT[name, radius, similarity] = Passages(ids, texts, radius, similarity, shared)
     return _BUILT[name, radius, similarity]
 
 
@@ -226,7 +252,8 @@ def drop_contaminated(
     per_pass: int = ITEMS_PER_PASS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """The rows of ``docs`` in which no item is found; no row is moved."""
+    shared = holders(benchmark, item_text_col)
     for ids, items in passes(benchmark, item_col, item_text_col, per_pass):
-        block = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, ids, items))
+        block = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, ids, items, shared))
         docs = docs.where(_clean(block, radius, similarity)(F.col(text_col)))
     return docs

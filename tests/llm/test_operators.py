@@ -250,6 +250,21 @@ def test_decontamination(spark, docs, texts, odd, empty):
     assert decontaminate.drop_contaminated(odd, benchmark.limit(0)).count() == odd.count()
 
 
+def test_decontamination_does_not_depend_on_the_pass_size(spark, odd):
+    rng = random.Random(5)
+    common = [" ".join(rng.choices("abcdefghijklmnop", k=12)) for _ in range(3)]
+    items = [(n, f"{common[n % 3]} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(12))) for n in range(60)]
+    items += [(60, None), (61, "")]
+    docs = [(n, " ".join(["before", *text.split()[: 24 - n % 4], "after", "it"])) for n, text in items[:60]]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    texts = spark.createDataFrame(docs, "doc_id bigint, text string")
+    whole = sorted(map(tuple, decontaminate.find_passages(texts, benchmark).collect()))
+    parts = sorted(map(tuple, decontaminate.find_passages(texts, benchmark, per_pass=7).collect()))
+    assert whole and parts == whole
+    kept = decontaminate.drop_contaminated(texts, benchmark, per_pass=7).count()
+    assert kept == len(docs) - len({row[0] for row in whole})
+
+
 def test_licences(spark, odd, empty):
     rows = [(1, "Nothing"), (2, "RELEASED   under (the) mit-license!\nand more prose of another kind follows here"), (3, None)]
     found = {row.doc_id: row for row in licences.scan_licences(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
