@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querydelta.llm import bpe, chunks, decontaminate, langid, licences, neardup, packing, pii, quality, sharding
+from querydelta.llm import bpe, chunks, decontaminate, langid, licences, neardup, packing, periods, pii, quality, sharding, sql
 from querydelta.llm.scratch import Scratch
 
 #: Ends each document in token files.
@@ -80,6 +80,68 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir))
 
 
+WORD_GAPS = r"[\x20\x09-\x0D]+"
+
+
+def _periodic(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` with every tenth text made to repeat itself from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), WORD_GAPS), lambda word: word != "")
+    coded = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    coded = coded.select("*", F.size("words").cast("bigint").alias("n"))
+    start = F.expr("g % n")
+    period = F.floor((F.col("n") - start) / (3 + F.col("g") % 8)) + 1
+    coded = coded.select("*", F.when(F.col("n") > 0, F.struct(start.alias("a"), period.alias("p"))).alias("cut"))
+    a, p, rest = F.col("cut.a").cast("int"), F.col("cut.p").cast("int"), (F.col("n") - F.col("cut.a")).cast("int")
+    cycle = F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil(rest / p).cast("int")))
+    rebuilt = F.concat(F.slice("words", 1, a), F.slice(cycle, 1, rest))
+    return coded.select("doc_id", F.when(F.col("cut").isNotNull(), F.array_join(rebuilt, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.collapse_runs(_periodic(_documents(spark, sf_dir)))
+    best = F.col("strongest")
+    lines = F.transform("runs", lambda run: F.concat_ws(",", run["start"], run["length"], run["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"),
+        *[best[name].alias(name) for name in ("start", "length", "period")],
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: Equal words of a text at any distance, joined to stretches; for small tables.
+RUNS_SQL = f"""
+WITH coded AS (
+  SELECT doc_id, {sql.words("text")} AS w, {sql.crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+cut AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM coded),
+rebuilt AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i:
+    w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM cut),
+words AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM rebuilt),
+same AS (
+  SELECT x.doc_id, y.i - x.i AS period, x.i FROM words x JOIN words y
+  ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+placed AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, period ORDER BY i) AS stretch FROM same),
+stretches AS (
+  SELECT doc_id, min(i) AS start, count(*) + period AS length, period FROM placed GROUP BY doc_id, period, stretch
+  HAVING count(*) + period >= greatest(6, 4 * period)),
+runs AS (SELECT doc_id, start, length, min(period) AS period FROM stretches GROUP BY doc_id, start, length),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS text
+  FROM runs GROUP BY doc_id),
+best AS (
+  SELECT doc_id, start, length, period FROM runs
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1)
+SELECT rebuilt.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(listed.text, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM rebuilt LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
 #: All pairs with a common shingle, their exact similarity, and reachability; for small tables.
 NEAR_DEDUP_SQL = """
 WITH RECURSIVE words AS (
@@ -109,7 +171,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         op1_token_files, op2_personal_data, op3_byte_bpe, op4_hash_tree, op5_chunk_fingerprints, op6_decontamination,
-        op7_licences, op8_language_id, op9_quality, op10_near_dedup,
+        op7_licences, op8_language_id, op9_quality, op10_near_dedup, op11_periodic_runs,
     )
 }
-ORACLE_SQL = {"op7_licences": licences.licence_sql(), "op10_near_dedup": NEAR_DEDUP_SQL}
+ORACLE_SQL = {"op7_licences": licences.licence_sql(), "op10_near_dedup": NEAR_DEDUP_SQL, "op11_periodic_runs": RUNS_SQL}
