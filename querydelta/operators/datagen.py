@@ -15,7 +15,8 @@ from pyspark.sql.types import BooleanType, DataType, NumericType, StructField, S
 from querydelta.functions.keys import plain_digits
 from querydelta.functions.logic import as_column
 from querydelta.functions.sorting import SortKey, names
-from querydelta.operators.positions import limit_is_pushed, running
+from querydelta.operators.positions import first_rows, running
+from querydelta.session import durable
 
 # The categories that seeded text columns cycle through, by a part of the column's name; the first counts.
 CATEGORIES = {
@@ -248,9 +249,7 @@ def witness_sample(
         cases = divergent.select(diff, path).distinct()
         cases = running(cases, [diff], [path], position="case__").where(F.col("case__") <= n_cases)
         rows = rows.join(cases.drop("case__"), groups, "left_semi")
-    pushed = limit_is_pushed(divergent.sparkSession, n_rows)
-    ranked = running(rows, groups, list(keys), position="rank", large=False if pushed else None)
-    return ranked.where(F.col("rank") <= n_rows)
+    return first_rows(rows, groups, list(keys), [], n_rows)
 
 
 def witness_cells(sample: DataFrame, path: str, keys: Sequence[str], n_cells: int = 8) -> DataFrame:
@@ -284,7 +283,7 @@ def repair_duplicate_keys(
     ``order`` must tell the copies apart. Returns the repaired table and the
     mapping (old key, order columns, ``new_key``) for child tables.
     """
-    numbered = running(df, [key], order, position="copy__")
+    numbered = durable(running(df, [key], order, position="copy__"))
     top = df.agg(F.coalesce(F.max(key), F.lit(0)).alias("top")).scalar()
     later = running(numbered.where("copy__ > 1"), [], [key, *order], position="place__")
     fresh = later.withColumn("new_key", F.col("place__") + top)

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querydelta.functions.logic import as_column
-from querydelta.functions.sorting import SortKey, names, orders
+from querydelta.functions.sorting import SortKey, names
 from querydelta.operators.positions import running
-from querydelta.session import max_group_rows
+from querydelta.operators.selection import inside, locate, with_place
+from querydelta.session import chunk_rows, durable
 
 Keys = Sequence[str | SortKey]
 
@@ -42,10 +43,17 @@ def order_null_path(df: DataFrame, key: Column | str) -> DataFrame:
 
 def _slice(df: DataFrame, keys: Sequence[str], order: Keys, n: int, offset: int) -> DataFrame:
     """Rows ``offset .. offset + n`` of the total order, with their place in the slice."""
-    columns = list(dict.fromkeys([*keys, *names(order)]))
-    rows = df.select(*columns).orderBy(*orders(order))
-    rows = (rows.offset(offset) if offset else rows).limit(n)
-    return running(rows, [], order, large=n > max_group_rows(df.sparkSession)).select(*keys, "pos")
+    columns, enough = list(dict.fromkeys([*keys, *names(order)])), chunk_rows(df.sparkSession)
+    placed = durable(with_place(df.select(*columns), order))
+    total = placed.count()
+    if offset >= total or n < 1:
+        return placed.limit(0).select(*keys, F.lit(0).cast("bigint").alias("pos"))
+    first = locate(placed, offset + 1, enough, total)
+    last = locate(placed, min(offset + n, total), enough, total)
+    rows = inside(placed, first, last)
+    place_in_slice = F.col("place__") + first.before - offset
+    ranked = running(rows.drop("at__"), [], order, position="place__").withColumn("pos", place_in_slice)
+    return ranked.where(F.col("pos").between(1, n)).select(*keys, "pos")
 
 
 def topn_membership_diff(
@@ -80,18 +88,19 @@ def topn_cutoff_ties(df: DataFrame, order: Keys, n: int) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("n_tied")).select(
             "n_tied", F.least(F.col("n_tied"), F.lit(n).cast("bigint")).alias("n_slots")
         ).withColumn("deterministic", F.col("n_tied") <= F.col("n_slots"))
-    ordered = df.select(*keys).orderBy(*orders(order))
-    first = ordered.limit(n)
-    cutoff = ordered.offset(n - 1).limit(1).select(*[F.col(name).alias(f"{name}__cut") for name in keys])
-    same = None
-    for name in keys:
-        part = F.col(name).eqNullSafe(F.col(f"{name}__cut"))
-        same = part if same is None else same & part
-    tied = df.select(*keys).join(F.broadcast(cutoff), same, "left_semi").agg(F.count(F.lit(1)).alias("n_tied"))
-    slots = first.join(F.broadcast(cutoff), same, "left_semi").agg(F.count(F.lit(1)).alias("n_slots"))
-    return tied.select("n_tied", slots.scalar().alias("n_slots")).withColumn(
-        "deterministic", F.col("n_tied") <= F.col("n_slots")
-    )
+    placed = durable(with_place(df.select(*keys), order).select("at__"))
+    total = placed.count()
+    if n < 1 or n > total:
+        return placed.limit(0).agg(F.count(F.lit(1)).alias("n_tied"), F.count(F.lit(1)).alias("n_slots")).withColumn(
+            "deterministic", F.lit(True)
+        )
+    found = locate(placed, n, chunk_rows(df.sparkSession), total)
+    groups = inside(placed, found).groupBy("at__").agg(F.count(F.lit(1)).alias("n_tied"))
+    upto = running(groups, [], ["at__"], {"upto": ("sum", F.col("n_tied"))})
+    left = F.lit(n - found.before)
+    return upto.where((F.col("upto") >= left) & (F.col("upto") - F.col("n_tied") < left)).select(
+        "n_tied", (left - F.col("upto") + F.col("n_tied")).alias("n_slots")
+    ).withColumn("deterministic", F.col("n_tied") <= F.col("n_slots"))
 
 
 def limit_reachability(

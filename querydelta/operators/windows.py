@@ -1,22 +1,21 @@
 """Window functions, specifications and frames.
 
-A partition may hold a third of a table. Every operator counts its largest
-partition first (unless a window group limit already bounds the work) and then
-takes a plain window or the chunked plan of ``positions``.
+A partition may hold a third of a table; rows are placed by the chunked plan of ``positions``, whatever its size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querydelta.functions.logic import as_column, compare, direction, keep, tally, with_flag
-from querydelta.functions.sorting import SortKey, names, orders, sort_keys
+from querydelta.functions.sorting import SortKey, names, place
 from querydelta.operators.positions import (
-    RANK_FUNCTIONS, has_large_group, limit_is_pushed, null_safe_lookup, ranks, running, with_totals,
+    RANK_FUNCTIONS, Total, at_offsets, exact_parts, first_rows, null_safe_lookup, scan,
 )
+from querydelta.session import durable
 
 Keys = Sequence[str | SortKey]
 Spec = tuple[Sequence[str], Keys]
@@ -54,9 +53,9 @@ def rank_function_divergence(
     keys: Sequence[str], buckets: int = 4,
 ) -> DataFrame:
     """Rows on which two rank functions disagree; ``keys`` identify a row and break ties."""
-    ranked = ranks(
+    ranked = scan(
         df.select(*_columns(part, order, keys)), part, order, keys,
-        {"v_baseline": baseline, "v_candidate": candidate}, buckets,
+        {"v_baseline": baseline, "v_candidate": candidate}, buckets=buckets,
     )
     return ranked.select(*keys, "v_baseline", "v_candidate").where("not (v_baseline <=> v_candidate)")
 
@@ -69,10 +68,8 @@ def _window_value(df: DataFrame, function: str, spec: Spec, keys: Sequence[str],
     """Add a rank, or an aggregate of ``value__`` (of the partition, or running in the order)."""
     part, order = spec
     if function in RANK_FUNCTIONS:
-        return ranks(df, part, order, keys, {name: function})
-    frame = "range" if order else "whole"
-    large = bool(order) and has_large_group(df, part)
-    return _framed(df, function, F.col("value__"), part, order, keys, frame, name, large)
+        return scan(df, part, order, keys, {name: function})
+    return _framed(df, function, F.col("value__"), part, order, keys, {name: "range" if order else "whole"})
 
 
 def window_spec_divergence(
@@ -96,47 +93,78 @@ def window_spec_divergence(
 _AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
 
 
-def _framed(df, fn, value, part, order, keys, frame, name, large) -> DataFrame:
-    """Add ``fn(value)`` over a frame: ``rows``, ``range``, ``whole`` or ``(first, last)`` row offsets."""
-    total_order = [*order, *keys]
-    if frame == "whole":
-        return with_totals(df, part, [_AGGREGATES[fn](value).alias(name)])
-    if not large:
-        window = Window.partitionBy(*part)
-        if frame == "range":
-            window = window.orderBy(*orders(order)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        elif frame == "rows":
-            window = window.orderBy(*orders(total_order)).rowsBetween(
-                Window.unboundedPreceding, Window.currentRow
-            )
-        else:
-            window = window.orderBy(*orders(total_order)).rowsBetween(*frame)
-        return df.select("*", _AGGREGATES[fn](value).over(window).alias(name))
-    if isinstance(frame, tuple):
-        return _sliding(df, fn, value, part, total_order, frame, name)
-    counted = F.when(value.isNotNull(), 1).otherwise(0).cast("bigint")
-    step = ("sum", counted) if fn == "count" else (fn, value)
-    if frame == "rows":
-        return running(df, part, total_order, {name: step}, position="pos__", large=True).drop("pos__")
-    peer_keys = _columns(part, order, [])
-    whole = F.sum(counted) if fn == "count" else _AGGREGATES[fn](value)
-    peers = df.groupBy(*peer_keys).agg(whole.alias("peer__"))
-    carried = "sum" if fn == "count" else fn
-    peers = running(peers, part, order, {name: (carried, F.col("peer__"))}, position="pos__", large=True)
-    return null_safe_lookup(df, peers.drop("peer__", "pos__"), peer_keys)
-
-
-def _sliding(df, fn, value, part, total_order, frame, name) -> DataFrame:
-    """A frame of fixed width: each row is sent to the positions that see it."""
-    first, last = frame
-    placed = running(df, part, total_order, position="pos__", large=True)
-    seen = placed.select(
-        *part, value.alias("value__"),
-        F.explode(F.sequence(F.col("pos__") - last, F.col("pos__") - first)).alias("pos__"),
+Frame = str | tuple[int, int]
+
+
+def _framed(
+    df: DataFrame, fn: str, value: Column, part: Sequence[str], order: Keys, keys: Sequence[str], frames: Mapping[str, Frame]
+) -> DataFrame:
+    """Add ``fn(value)`` per name over its frame: ``rows``, ``range``, ``whole`` or ``(first, last)`` row offsets."""
+    running = {name: Total(fn, value, frame == "range") for name, frame in frames.items() if frame in ("rows", "range")}
+    out = scan(df, part, order, keys, totals=running) if running else df
+    for name, frame in frames.items():
+        if frame == "whole":
+            out = _whole(out, fn, value, part, name)
+        elif name not in running:
+            out = _sliding(out, fn, value, part, [*order, *keys], frame, name)
+    return out
+
+
+def _whole(df: DataFrame, fn: str, value: Column, part: Sequence[str], name: str) -> DataFrame:
+    rows, parts, read = exact_parts(df, fn, value)
+    facts = rows.groupBy(*part).agg(
+        *[_AGGREGATES[step](column).cast(rows.schema[column].dataType).alias(column) for column, step in parts.items()]
     )
-    facts = seen.groupBy(*part, "pos__").agg(_AGGREGATES[fn](F.col("value__")).alias(name))
-    framed = null_safe_lookup(placed, facts, [*part, "pos__"]).drop("pos__")
-    return framed.fillna(0, [name]) if fn == "count" else framed
+    found = null_safe_lookup(rows.drop(*parts), facts, list(part))
+    return found.select(*df.columns, (F.coalesce(read, F.lit(0)) if fn == "count" else read).alias(name))
+
+
+def _sliding(
+    df: DataFrame, fn: str, value: Column, part: Sequence[str], total_order: Keys, frame: tuple[int, int], name: str
+) -> DataFrame:
+    """A frame of fixed width, at a cost that does not depend on the width.
+
+    Each partition is cut into blocks as wide as the frame, so a frame is the end of one block and the start of the next:
+    running totals from either end of a block, one read at the last and one at the first row of the frame.
+    """
+    first, last = frame
+    width = last - first + 1
+    if width < 1:
+        raise ValueError(f"a frame ends before it starts: {frame}")
+    rows, parts, read = exact_parts(df, fn, value)
+    placed = scan(rows, part, total_order, ranks={"place__": "row_number", "n__": "size"})
+    placed = placed.withColumn("block__", F.floor((F.col("place__") - 1) / width))
+    blocks = [*part, "block__"]
+    upto = {f"{column}upto": Total(step, F.col(column)) for column, step in parts.items()}
+    onward = {f"{column}on": Total(step, F.col(column)) for column, step in parts.items()}
+    placed = scan(placed, blocks, ["place__"], totals=upto, largest=width)
+    placed = scan(placed, blocks, [SortKey("place__", descending=True)], totals=onward, largest=width)
+    placed = durable(placed.drop(*parts))
+    ends = [f"{column}upto" for column in parts]
+    shifts = {f"{column}_end": (column, last) for column in ends} | {f"{column}on_start": (f"{column}on", first) for column in parts}
+    framed = at_offsets(placed, part, [*df.columns, "place__", "n__"], shifts, "place__")
+    if last > 0:  # frames that the partition cuts off end with its last row
+        final = placed.where("place__ = n__").select(*part, *[F.col(column).alias(f"{column}_final") for column in ends])
+        framed = null_safe_lookup(framed, final, list(part))
+    start, stop = F.col("place__") + first, F.least(F.col("place__") + last, F.col("n__"))
+    outside = (F.col("place__") + last < 1) | (start > F.col("n__"))
+    one_block = F.floor((start - 1) / width) == F.floor((stop - 1) / width)
+    cut = F.col("place__") + last > F.col("n__")
+    found = {}
+    for column, step in parts.items():
+        kind = rows.schema[column].dataType
+        end, on = F.col(f"{column}upto_end").cast(kind), F.col(f"{column}on_start").cast(kind)
+        if last > 0:
+            end = F.when(cut, F.col(f"{column}upto_final").cast(kind)).otherwise(end)
+        both = F.when(on.isNull(), end).when(end.isNull(), on).otherwise(_COMBINE[step](on, end))
+        whole = F.when(start < 1, end).when(one_block & cut, on).when(one_block, end).otherwise(both)
+        found[column] = F.when(~outside, whole)
+    read_from = framed.select(*df.columns, *[column.alias(key) for key, column in found.items()])
+    result = F.coalesce(read, F.lit(0)) if fn == "count" else read
+    return read_from.select(*df.columns, result.alias(name))
+
+
+_COMBINE = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}
 
 
 def frame_divergence(
@@ -149,25 +177,14 @@ def frame_divergence(
     current row), ``"whole"``, or ``(first, last)`` row offsets.
     """
     rows = df.select(*_columns(part, order, keys), as_column(value).alias("value__"))
-    large = has_large_group(rows, part)
-    framed = _framed(rows, function, F.col("value__"), part, order, keys, baseline, "v_baseline", large)
-    framed = _framed(framed, function, F.col("value__"), part, order, keys, candidate, "v_candidate", large)
+    framed = _framed(rows, function, F.col("value__"), part, order, keys, {"v_baseline": baseline, "v_candidate": candidate})
     return framed.select(*keys, "v_baseline", "v_candidate").where("not (v_baseline <=> v_candidate)")
 
 
-def _edges(df: DataFrame, part: Sequence[str], total_order: Keys, columns: Sequence[str]) -> DataFrame:
-    """First and last row of each partition, as a running-free aggregate.
-
-    Works on any partition size: a partition is reduced before the shuffle.
-    """
-    ascending = all(not key.descending for key in sort_keys(total_order))
-    if not ascending:
-        raise ValueError("edges need ascending sort keys")
-    place = F.struct(*[F.col(key.column) for key in sort_keys(total_order)])
-    kept = F.struct(*columns)
-    return df.groupBy(*part).agg(
-        F.min_by(kept, place).alias("first__"), F.max_by(kept, place).alias("last__")
-    )
+def _edges(df: DataFrame, part: Sequence[str], total_order: Keys, value: str) -> DataFrame:
+    """``v_first`` and ``v_last`` of each partition, by an aggregate: a partition is reduced before the shuffle."""
+    at = place(df, total_order)
+    return df.groupBy(*part).agg(F.min_by(value, at).alias("v_first"), F.max_by(value, at).alias("v_last"))
 
 
 def first_last_divergence(
@@ -175,35 +192,35 @@ def first_last_divergence(
 ) -> DataFrame:
     """Rows for which LAST_VALUE under the default frame is not the last of the partition.
 
-    Also gives FIRST_VALUE of the opposite direction (``v_first``), which is
-    where a flipped ORDER BY shows. ``order`` is ascending; with ``keys`` it is
-    total, so the default frame ends at the row itself.
+    Also gives FIRST_VALUE (``v_first``). With ``keys`` the order is total, so the default frame ends at the row itself.
+    Sort keys may have any type and direction and place NULLs on either side.
     """
-    edges = _edges(df, part, [*order, *keys], [value])
-    facts = edges.select(
-        *part, F.col(f"first__.{value}").alias("v_first"), F.col(f"last__.{value}").alias("v_candidate")
-    )
+    facts = _edges(df, part, [*order, *keys], value).withColumnRenamed("v_last", "v_candidate")
     rows = null_safe_lookup(df.select(*dict.fromkeys([*part, *keys, value])), facts, list(part))
     return rows.select(*keys, F.col(value).alias("v_baseline"), "v_candidate", "v_first").where(
         "not (v_baseline <=> v_candidate)"
     )
 
 
-def _lagged(df, value, part, total_order, offsets, large) -> DataFrame:
-    """Add ``lag0__``, ``lag1__`` ... for row offsets (negative offsets look ahead)."""
-    if not large:
-        window = Window.partitionBy(*part).orderBy(*orders(total_order))
-        return df.select(
-            "*", *[F.lag(value, k).over(window).alias(f"lag{i}__") for i, k in enumerate(offsets)]
-        )
-    placed = running(df, part, total_order, position="pos__", large=True)
-    out = placed
-    for index, offset in enumerate(offsets):
-        facts = placed.select(
-            *part, (F.col("pos__") + offset).alias("pos__"), F.col(value).alias(f"lag{index}__")
-        )
-        out = null_safe_lookup(out, facts, [*part, "pos__"])
-    return out.drop("pos__")
+def edge_value_divergence(
+    df: DataFrame, value: str, part: Sequence[str], baseline: Keys, candidate: Keys, keys: Sequence[str], edge: str = "first",
+) -> DataFrame:
+    """Partitions whose FIRST_VALUE (or, over the whole partition, LAST_VALUE) changes with the order, and their rows."""
+    if edge not in ("first", "last"):
+        raise ValueError(f"unknown edge: {edge}")
+    aggregate = F.min_by if edge == "first" else F.max_by
+    found = df.groupBy(*part).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        aggregate(value, place(df, [*baseline, *keys])).alias("v_baseline"),
+        aggregate(value, place(df, [*candidate, *keys])).alias("v_candidate"),
+    )
+    return found.where("not (v_baseline <=> v_candidate)")
+
+
+def _lagged(df: DataFrame, value: str, part: Sequence[str], total_order: Keys, offsets: Sequence[int]) -> DataFrame:
+    """``value`` with ``lag0__``, ``lag1__`` ... for row offsets (negative offsets look ahead)."""
+    placed = scan(df, part, total_order, ranks={"pos__": "row_number"})
+    return at_offsets(placed, part, [value], {f"lag{index}__": (value, -offset) for index, offset in enumerate(offsets)})
 
 
 def lag_lead_paths(
@@ -216,7 +233,7 @@ def lag_lead_paths(
     """
     rows = _lagged(
         df.select(*_columns(part, order, [*keys, value])), value, part, [*order, *keys],
-        [offset_baseline, offset_candidate], has_large_group(df, part),
+        [offset_baseline, offset_candidate],
     )
     cell, lag_a, lag_b = F.col(value), F.col("lag0__"), F.col("lag1__")
     divergent = keep(compare(cell, op_baseline, lag_a)) != keep(compare(cell, op_candidate, lag_b))
@@ -234,11 +251,11 @@ def window_filter_boundary(
 ) -> DataFrame:
     """Rows kept by only one of two Top-k filters on a rank (``<``, ``<=`` or ``=``)."""
     top = max(limit_baseline, limit_candidate)
-    pushed = function == "row_number" and limit_is_pushed(df.sparkSession, top)
-    ranked = ranks(
-        df.select(*_columns(part, order, keys)), part, order, keys, {"rank__": function},
-        large=False if pushed else None,
-    ).where(F.col("rank__") <= top)
+    rows = df.select(*_columns(part, order, keys))
+    if function in ("row_number", "rank", "dense_rank"):
+        ranked = first_rows(rows, part, order, keys, top, function, "rank__")
+    else:
+        ranked = scan(rows, part, order, keys, {"rank__": function}).where(F.col("rank__") <= top)
     a = compare(F.col("rank__"), op_baseline, limit_baseline)
     b = compare(F.col("rank__"), op_candidate, limit_candidate)
     return ranked.select(

@@ -55,7 +55,7 @@ def recursion_effect(t):
 @query("path_multiplicity", """WITH RECURSIVE
   e AS (SELECT p_partkey // 4 AS a, p_partkey AS b FROM part WHERE p_partkey > 0
         UNION ALL SELECT p_partkey // 3, p_partkey FROM part WHERE p_partkey > 0),
-  walk AS (SELECT 0::BIGINT AS node, 0 AS depth UNION ALL SELECT b, depth + 1 FROM e JOIN walk ON a = node WHERE depth < 12)
+  walk AS (SELECT 0::BIGINT AS node, 0 AS depth UNION ALL SELECT b, depth + 1 FROM e JOIN walk ON a = node)
 SELECT node, count(*)::DECIMAL(38,0) AS n_paths, min(depth) AS first_depth, max(depth) AS last_depth,
        count(*) > 1 AS union_all_differs FROM walk GROUP BY 1""")
 def path_multiplicity(t):
@@ -148,18 +148,18 @@ def bridge_tables(t):
     return K.bridge_tables(_fks(t), _requests(t, "F", "O"))
 
 
-@query("join_paths", f"""WITH {_FKS},
+@query("join_paths", f"""WITH RECURSIVE {_FKS},
   r AS (SELECT DISTINCT catalog_id FROM f),
-  two AS (SELECT x.catalog_id, min('1-URGENT>' || x.b || '>5-LOW') AS path FROM f x JOIN f y
-          ON x.catalog_id = y.catalog_id AND x.b = y.b WHERE x.a = '1-URGENT' AND y.a = '5-LOW' GROUP BY 1),
-  four AS (SELECT p.catalog_id, min('1-URGENT>' || p.b || '>' || q.a || '>' || s.b || '>5-LOW') AS path
-           FROM f p JOIN f q ON p.catalog_id = q.catalog_id AND p.b = q.b
-           JOIN f s ON q.catalog_id = s.catalog_id AND q.a = s.a
-           JOIN f z ON s.catalog_id = z.catalog_id AND s.b = z.b
-           WHERE p.a = '1-URGENT' AND z.a = '5-LOW' AND q.a NOT IN ('1-URGENT', '5-LOW') AND p.b <> s.b GROUP BY 1)
-SELECT r.catalog_id, '1-URGENT' AS source, '5-LOW' AS target, coalesce(two.path, four.path) AS path,
-       CASE WHEN two.path IS NOT NULL THEN 2 WHEN four.path IS NOT NULL THEN 4 END::BIGINT AS hops
-FROM r LEFT JOIN two USING (catalog_id) LEFT JOIN four USING (catalog_id)""")
+  e AS (SELECT catalog_id, a, b FROM f UNION SELECT catalog_id, b, a FROM f),
+  walk AS (
+    SELECT catalog_id, ['1-URGENT'] AS path, '1-URGENT' AS place FROM r
+    UNION ALL SELECT walk.catalog_id, list_append(path, e.b), e.b FROM walk JOIN e ON e.catalog_id = walk.catalog_id AND e.a = place
+    WHERE place <> '5-LOW' AND NOT list_contains(path, e.b)),
+  best AS (SELECT * FROM walk WHERE place = '5-LOW'
+           QUALIFY row_number() OVER (PARTITION BY catalog_id ORDER BY len(path), path) = 1)
+SELECT r.catalog_id, '1-URGENT' AS source, '5-LOW' AS target, array_to_string(path, '>') AS path,
+       (len(path) - 1)::BIGINT AS hops
+FROM r LEFT JOIN best USING (catalog_id)""")
 def join_paths(t):
     return K.join_paths(_fks(t), _requests(t, "1-URGENT", "5-LOW"))
 

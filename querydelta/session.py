@@ -7,10 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Largest group (rows of one window partition) that one task may sort.
-# Beyond it the operators switch to range-partitioned chunks.
-MAX_GROUP_ROWS = "querydelta.maxGroupRows"
-DEFAULT_MAX_GROUP_ROWS = 5_000_000
+# Rows of a chunk that one task sorts when rows are numbered, ranked or summed in an order.
+CHUNK_ROWS = "querydelta.chunkRows"
+DEFAULT_CHUNK_ROWS = 1_000_000
 
 # Largest row count of a side that may be broadcast by an explicit hint.
 MAX_BROADCAST_ROWS = "querydelta.maxBroadcastRows"
@@ -37,8 +36,8 @@ def local_session(cores: int = 8, app: str = "querydelta", **conf: str) -> Spark
     return spark
 
 
-def max_group_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get(MAX_GROUP_ROWS, str(DEFAULT_MAX_GROUP_ROWS)))
+def chunk_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(CHUNK_ROWS, str(DEFAULT_CHUNK_ROWS)))
 
 
 def max_broadcast_rows(spark: SparkSession) -> int:

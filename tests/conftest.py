@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from querydelta.session import MAX_GROUP_ROWS, local_session  # noqa: E402
+from querydelta.session import CHUNK_ROWS, local_session  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -28,10 +28,10 @@ def con():
 
 @pytest.fixture
 def tiny_groups(spark):
-    """Make every partition of more than three rows a large one."""
-    spark.conf.set(MAX_GROUP_ROWS, "3")
+    """Deal rows into chunks of three."""
+    spark.conf.set(CHUNK_ROWS, "3")
     yield
-    spark.conf.unset(MAX_GROUP_ROWS)
+    spark.conf.unset(CHUNK_ROWS)
 
 
 @pytest.fixture

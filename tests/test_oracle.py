@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from querydelta.registry import load
-from querydelta.session import MAX_GROUP_ROWS
+from querydelta.session import CHUNK_ROWS
 from tests.conftest import SMALL
 from tools.check_oracle import compare
 
@@ -37,11 +37,11 @@ def test_query_agrees_with_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", POSITIONAL)
 def test_chunked_plan_agrees_with_sql(spark, con, name):
-    spark.conf.set(MAX_GROUP_ROWS, "20")
+    spark.conf.set(CHUNK_ROWS, "20")
     try:
         ok, message = compare(spark, con, REGISTRY[name], SMALL)
     finally:
-        spark.conf.unset(MAX_GROUP_ROWS)
+        spark.conf.unset(CHUNK_ROWS)
     assert ok, message
 
 
