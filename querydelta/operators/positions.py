@@ -30,6 +30,10 @@ _UPTO = (Window.unboundedPreceding, Window.currentRow)
 _PRECISION, _DIGITS = 37, 25
 
 
+#: Rows worth a chunk of their own.
+SPREAD_ROWS = 20_000
+
+
 @dataclass(frozen=True)
 class Total:
     """A running ``sum``, ``min``, ``max`` or ``count`` up to the row itself, or up to its last peer."""
@@ -64,12 +68,14 @@ def scan(
     buckets: int = 4,
     largest: int | None = None,
     rows_per_chunk: int | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Add rank columns and running totals, per partition in ``order``.
 
     ``ranks`` maps an output name to a rank function or ``size`` (rows of the partition), ``totals`` one to a ``Total``. Rows equal on ``order`` are peers;
     ``ties`` puts them into a total order for row numbers and totals that end at the row. ``largest`` is a known bound of
-    the rows of a partition.
+    the rows of a partition. With ``spread`` there are as many chunks as the session has shuffle partitions, if that is
+    more and leaves ``SPREAD_ROWS`` to each.
     """
     ranks, totals = dict(ranks or {}), dict(totals or {})
     unknown = set(ranks.values()) - {*RANK_FUNCTIONS, "size"}
@@ -86,7 +92,10 @@ def scan(
     if floats or largest is None or largest > limit:
         rows = durable(rows)
         n, scales = _measured(rows, floats)
-        chunks = max(1, math.ceil(n / limit)) if largest is None or largest > limit else 1
+        if largest is None or largest > limit:
+            chunks = max(1, math.ceil(n / limit))
+        if spread:
+            chunks = max(chunks, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // SPREAD_ROWS))
     steps = [step for name, total in totals.items() for step in _steps(name, total, types, scales)]
     rows = rows.select(*columns, *[value.alias(step.name) for step, value in steps])
     steps = [step for step, _ in steps]
@@ -303,10 +312,11 @@ def running(
     totals: Mapping[str, tuple[str, Column]] | None = None,
     position: str = "pos",
     rows_per_chunk: int | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Add the row number and running totals ``name: (function, expression)``; ``order`` is total within a partition."""
     steps = {name: Total(function, value) for name, (function, value) in (totals or {}).items()}
-    return scan(df, part, order, (), {position: "row_number"}, steps, rows_per_chunk=rows_per_chunk)
+    return scan(df, part, order, (), {position: "row_number"}, steps, rows_per_chunk=rows_per_chunk, spread=spread)
 
 
 def first_rows(
