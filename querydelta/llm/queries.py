@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querydelta.llm import bpe, chunks, decontaminate, langid, licences, neardup, packing, periods, pii, quality, sharding, sql
+from querydelta.llm import bpe, chunks, decontaminate, langid, licences, mixing, neardup, packing, periods, pii, quality, sharding, sql
 from querydelta.llm.scratch import Scratch
 
 #: Ends each document in token files.
@@ -142,6 +142,37 @@ SELECT rebuilt.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 100
 FROM rebuilt LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN best USING (doc_id)
 """
 
+def op12_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    mixed = mixing.mix_sources(_documents(spark, sf_dir), words, weights=(1, 2, 3), most=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The same queues, merged in one window over all documents; for small tables.
+MIX_SQL = f"""
+WITH RECURSIVE sized AS (SELECT doc_id, source, CAST(len({sql.words("text")}) AS BIGINT) AS size FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * sum(size) AS cap,
+    1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM sized GROUP BY source),
+fill(turn, level) AS (
+  SELECT 0, CAST((SELECT sum(source_size) FROM sources) / (SELECT sum(weight) FROM sources) AS DOUBLE)
+  UNION ALL SELECT turn + 1, coalesce(
+    (SELECT sum(source_size) FROM sources) - (SELECT sum(cap) FROM sources WHERE cap < weight * level), (SELECT sum(source_size) FROM sources))
+    / (SELECT sum(weight) FROM sources WHERE cap >= weight * level) FROM fill WHERE turn < (SELECT count(*) FROM sources)),
+targets AS (
+  SELECT source, source_size, least(cap, weight * (SELECT level FROM fill ORDER BY turn DESC LIMIT 1)) AS target FROM sources),
+line AS (
+  SELECT sized.doc_id, sized.source, size, source_size, target,
+    sum(size) OVER (PARTITION BY sized.source ORDER BY CAST('0x' || substr(md5('mix:' || sized.doc_id), 1, 15) AS BIGINT), doc_id) AS before
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source WHERE size > 0),
+copies AS (SELECT *, ((copy - 1) * source_size + before) / target AS finish FROM line, (VALUES (1), (2), (3)) c(copy)),
+merged AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, copy, before) AS upto FROM copies),
+taken AS (
+  SELECT doc_id, sum(size) AS taken FROM merged WHERE upto <= (SELECT sum(size) FROM sized) GROUP BY doc_id)
+SELECT sized.doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source LEFT JOIN taken USING (doc_id)
+"""
+
 #: All pairs with a common shingle, their exact similarity, and reachability; for small tables.
 NEAR_DEDUP_SQL = """
 WITH RECURSIVE words AS (
@@ -171,7 +202,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         op1_token_files, op2_personal_data, op3_byte_bpe, op4_hash_tree, op5_chunk_fingerprints, op6_decontamination,
-        op7_licences, op8_language_id, op9_quality, op10_near_dedup, op11_periodic_runs,
+        op7_licences, op8_language_id, op9_quality, op10_near_dedup, op11_periodic_runs, op12_fair_mix,
     )
 }
-ORACLE_SQL = {"op7_licences": licences.licence_sql(), "op10_near_dedup": NEAR_DEDUP_SQL, "op11_periodic_runs": RUNS_SQL}
+ORACLE_SQL = {"op7_licences": licences.licence_sql(), "op10_near_dedup": NEAR_DEDUP_SQL, "op11_periodic_runs": RUNS_SQL, "op12_fair_mix": MIX_SQL}
