@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querydelta.llm import bpe, chunks, decontaminate, langid, licences, mixing, neardup, packing, periods, pii, quality, sharding, sql
+from querydelta.llm import bpe, chunks, decontaminate, langid, licences, mixing, neardup, packing, periods, pii, prefixes, quality, sharding, sql
 from querydelta.llm.scratch import Scratch
 
 #: Ends each document in token files.
@@ -173,6 +173,57 @@ SELECT sized.doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST(c
 FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source LEFT JOIN taken USING (doc_id)
 """
 
+def _rebuilt(conversations: DataFrame) -> DataFrame:
+    """``conv_id, turns``: the first turns of every twentieth conversation put before those that follow it."""
+    role, words = F.coalesce("role", F.lit("")), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    turn = F.struct(
+        "turn", role.alias("role"), prefixes.turn_token(F.col("role"), F.col("text")).alias("token"),
+        F.coalesce(words, F.lit(0)).alias("words"),
+    )
+    own = conversations.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("own"))
+    own = own.select("conv_id", F.transform("own", lambda turn: F.struct(turn["token"].alias("token"), turn["words"].alias("words"))).alias("own"))
+    heads = own.where("conv_id % 20 = 0").select(F.col("conv_id").alias("base"), F.slice("own", 1, 3).alias("head"))
+    joined = own.withColumn("base", F.expr("conv_id - conv_id % 20")).join(heads, "base", "left")
+    h = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    head = F.when(F.col("head").isNotNull(), F.slice("head", 1, h)).otherwise(F.slice("own", 1, 0))
+    return joined.select("conv_id", F.concat(head, F.slice("own", h + 1, F.size("own"))).alias("turns"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, members = prefixes.prefix_trie(_rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    digests = prefixes.member_digests(members)
+    return nodes.join(digests, "node", "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
+#: Every prefix of every conversation as a list, and every ancestor of every node; for small tables.
+TRIE_SQL = f"""
+WITH own AS (
+  SELECT conv_id, list(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')) ORDER BY turn NULLS FIRST) AS turns,
+    list(len({sql.words("text")}) ORDER BY turn NULLS FIRST) AS words FROM conversations GROUP BY conv_id),
+cut AS (SELECT *, {sql.crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM own),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(list_slice(coalesce(b.turns, []), 1, c.h), list_slice(c.turns, c.h + 1, len(c.turns))) AS turns,
+    list_concat(list_slice(coalesce(b.words, []), 1, c.h), list_slice(c.words, c.h + 1, len(c.words))) AS words
+  FROM cut c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+coded AS (SELECT conv_id, list_transform(turns, lambda t: md5(t)) AS path, words FROM rebuilt),
+members AS (SELECT conv_id, path, words, unnest(range(0, len(path) + 1)) AS depth FROM coded),
+nodes AS (
+  SELECT path[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(max(words[depth]), 0) AS words,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = len(path)), '')) AS ends_sha256
+  FROM members GROUP BY path[1:depth], depth),
+children AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+told AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (path)),
+above AS (SELECT path, unnest(range(0, depth + 1)) AS up, (n_convs - 1) * words AS saved, n_children = 0 AS leaf FROM told),
+trees AS (SELECT path[1:up] AS path, sum(saved) AS saved, count(*) FILTER (WHERE leaf) AS leaves FROM above GROUP BY 1)
+SELECT told.conv_id, told.depth, parents.conv_id AS parent_conv_id, told.n_convs, told.n_children, leaves AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, told.ends_sha256
+FROM told JOIN trees ON trees.path = told.path
+LEFT JOIN nodes parents ON told.depth > 0 AND parents.path = told.path[1:told.depth - 1]
+"""
+
 #: All pairs with a common shingle, their exact similarity, and reachability; for small tables.
 NEAR_DEDUP_SQL = """
 WITH RECURSIVE words AS (
@@ -202,7 +253,10 @@ QUERIES = {
     query.__name__: query
     for query in (
         op1_token_files, op2_personal_data, op3_byte_bpe, op4_hash_tree, op5_chunk_fingerprints, op6_decontamination,
-        op7_licences, op8_language_id, op9_quality, op10_near_dedup, op11_periodic_runs, op12_fair_mix,
+        op7_licences, op8_language_id, op9_quality, op10_near_dedup, op11_periodic_runs, op12_fair_mix, op13_prefix_trie,
     )
 }
-ORACLE_SQL = {"op7_licences": licences.licence_sql(), "op10_near_dedup": NEAR_DEDUP_SQL, "op11_periodic_runs": RUNS_SQL, "op12_fair_mix": MIX_SQL}
+ORACLE_SQL = {
+    "op7_licences": licences.licence_sql(), "op10_near_dedup": NEAR_DEDUP_SQL, "op11_periodic_runs": RUNS_SQL,
+    "op12_fair_mix": MIX_SQL, "op13_prefix_trie": TRIE_SQL,
+}
