@@ -52,6 +52,28 @@ def topn_membership_diff(t):
     )
 
 
+_MILLION = """SELECT o_orderkey, row_number() OVER (ORDER BY {order}, o_orderkey) - {offset} AS pos
+  FROM orders QUALIFY pos BETWEEN 1 AND 1000000"""
+
+
+# A slice that no single task should hold.
+@query("topn_million", _slices_sql(
+    _MILLION.format(order="o_totalprice DESC", offset=3000), _MILLION.format(order="o_orderdate DESC, o_totalprice", offset=9000),
+    ["o_orderkey"]))
+def topn_million(t):
+    return O.topn_membership_diff(
+        t.orders, ["o_orderkey"], ["o_totalprice desc", "o_orderkey"], ["o_orderdate desc", "o_totalprice", "o_orderkey"],
+        1_000_000, 1_000_000, 3000, 9000,
+    )
+
+
+@query("topn_cutoff_ties_deep", """
+WITH o AS (SELECT l_shipdate, count(*) AS n, sum(count(*)) OVER (ORDER BY l_shipdate DESC) AS upto FROM lineitem GROUP BY 1)
+SELECT n AS n_tied, (25000 - upto + n)::BIGINT AS n_slots, upto = 25000 AS deterministic FROM o WHERE upto >= 25000 AND upto - n < 25000""")
+def topn_cutoff_ties_deep(t):
+    return O.topn_cutoff_ties(t.lineitem, ["l_shipdate desc"], 25_000)
+
+
 @query("topn_offset_change", _slices_sql(
     """SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS pos FROM orders
        QUALIFY pos BETWEEN 1 AND 20""",

@@ -122,6 +122,82 @@ def frame_sliding(t):
     return W.frame_divergence(_events(t), "sum", "cents", ["user_id"], ["day"], (-2, 0), (-1, 1), ["event_id"])
 
 
+# Doubles in a total order: both frames end at the row, so nothing may differ.
+@query("frame_doubles_total_order", f"""WITH v AS (SELECT o_orderkey,
+  CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey {_ROWS}) AS DOUBLE) AS v_baseline,
+  CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey {_RANGE}) AS DOUBLE) AS v_candidate
+  FROM orders)
+SELECT * FROM v WHERE v_baseline <> v_candidate""")
+def frame_doubles_total_order(t):
+    return W.frame_divergence(t.orders, "sum", "o_totalprice", ["o_orderstatus"], ["o_orderkey"], "rows", "range", ["o_orderkey"])
+
+
+@query("frame_doubles", f"""WITH l AS (SELECT *, CAST(o_totalprice AS DECIMAL(18, 2)) AS price FROM orders), v AS (SELECT o_orderkey,
+  CAST(sum(price) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey {_ROWS}) AS DOUBLE) AS v_baseline,
+  CAST(sum(price) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate {_RANGE}) AS DOUBLE) AS v_candidate FROM l)
+SELECT * FROM v WHERE v_baseline <> v_candidate""")
+def frame_doubles(t):
+    return W.frame_divergence(t.orders, "sum", "o_totalprice", ["o_orderpriority"], ["o_orderdate"], "rows", "range", ["o_orderkey"])
+
+
+def _wide_sql(function):
+    frame = "OVER (PARTITION BY event_type ORDER BY day, event_id ROWS BETWEEN"
+    value = f"{function}(cents)" if function != "sum" else "sum(cents)"
+    return _values_sql(
+        f"({value} {frame} 1500 PRECEDING AND 20 FOLLOWING))::BIGINT", f"({value} {frame} 2 PRECEDING AND CURRENT ROW))::BIGINT"
+    )
+
+
+def _wide(function):
+    @query(f"frame_wide_{function}", _wide_sql(function))
+    def frame_wide(t):
+        return W.frame_divergence(_events(t), function, "cents", ["event_type"], ["day"], (-1500, 20), (-2, 0), ["event_id"])
+
+    return frame_wide
+
+
+for _function in ("sum", "min", "max", "count"):
+    _wide(_function)
+
+
+@query("first_last_descending", f"""WITH {_E}, s AS (SELECT event_id, user_id, event_type, day, {{n}} AS c FROM e), v AS (
+  SELECT event_id, event_type AS v_baseline,
+         last_value(event_type) OVER (PARTITION BY user_id ORDER BY c DESC NULLS FIRST, day, event_id DESC
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v_candidate,
+         first_value(event_type) OVER (PARTITION BY user_id ORDER BY c DESC NULLS FIRST, day, event_id DESC) AS v_first FROM s)
+SELECT * FROM v WHERE v_baseline <> v_candidate""".replace("{n}", _N))
+def first_last_descending(t):
+    rows = _events(t).withColumn("c", F.expr(_N))
+    order = ["c desc nulls first", "day", "event_id desc"]
+    return W.first_last_divergence(rows, "event_type", ["user_id"], order, ["event_id"])
+
+
+def _edge_sql(function, frame):
+    order = f"OVER (PARTITION BY user_id ORDER BY {{}}, event_id {frame})"
+    return f"""WITH {_E}, s AS (SELECT user_id, event_id, day, event_type, {_N} AS c FROM e), v AS (
+  SELECT user_id, {function}(c) {order.format('event_type DESC, day')} AS v_baseline,
+         {function}(c) {order.format('c NULLS LAST, day DESC')} AS v_candidate FROM s)
+SELECT user_id, count(*) AS n_rows, any_value(v_baseline) AS v_baseline, any_value(v_candidate) AS v_candidate
+FROM v GROUP BY user_id HAVING any_value(v_baseline) IS DISTINCT FROM any_value(v_candidate)"""
+
+
+_WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+
+
+@query("first_value_order", _edge_sql("first_value", _WHOLE))
+def first_value_order(t):
+    rows = _events(t).withColumn("c", F.expr(_N))
+    return W.edge_value_divergence(rows, "c", ["user_id"], ["event_type desc", "day"], ["c nulls last", "day desc"], ["event_id"])
+
+
+@query("last_value_order", _edge_sql("last_value", _WHOLE))
+def last_value_order(t):
+    rows = _events(t).withColumn("c", F.expr(_N))
+    return W.edge_value_divergence(
+        rows, "c", ["user_id"], ["event_type desc", "day"], ["c nulls last", "day desc"], ["event_id"], "last"
+    )
+
+
 @query("first_last_divergence", f"""WITH {_E}, v AS (
   SELECT event_id, cents AS v_baseline,
          last_value(cents) OVER (PARTITION BY user_id ORDER BY day, event_id
