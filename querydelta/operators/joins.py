@@ -169,28 +169,38 @@ def join_type_effect(
 
 
 def outer_predicate_placement(
-    left: DataFrame, right: DataFrame, on: Pairs, predicate: Column | str
+    left: DataFrame, right: DataFrame, on: Pairs, predicate: Column | str, how: str = "left", side: str = "right"
 ) -> DataFrame:
-    """``LEFT JOIN ... ON key AND p`` (baseline) against ``... ON key WHERE p`` (candidate).
+    """An outer join ``ON key AND p`` (baseline) against the same join ``ON key WHERE p`` (candidate).
 
-    ``p`` reads columns of the right side. Matched rows that pass ``p`` are the
-    same in both; the versions differ in the left rows ON keeps with NULLs.
+    ``p`` reads columns of the table on ``side``; ``how`` is ``left``, ``right`` or ``full``. Every row of WHERE is one of ON:
+    pairs that pass ``p`` are in both, and so are rows without a partner that pass it as they are extended. Only ON
+    keeps rows of its preserved side whose pairs ``p`` takes away. Counted per key; no pair is built.
     """
-    pairs = key_pairs(
-        left, right, on, right_extra=[F.count_if(keep(predicate)).alias("passing")]
-    )
-    passing = F.coalesce(F.col("passing"), F.lit(0))
+    if how not in ("left", "right", "full") or side not in ("left", "right"):
+        raise ValueError(f"no placement for how={how!r}, side={side!r}")
+    if side == "left":  # the table that p reads always comes second below
+        mirrored = {"left": "right", "right": "left", "full": "full"}[how]
+        return outer_predicate_placement(right, left, [(b, a) for a, b in on], predicate, mirrored)
+    pairs = key_pairs(left, right, on, right_extra=[F.count_if(keep(predicate)).alias("passing")])
     absent = {field.name: F.lit(None).cast(field.dataType) for field in right.schema}
-    judged = pairs.withColumn("passing", passing).withColumns(absent).withColumn(
+    judged = pairs.withColumn("passing", F.coalesce("passing", F.lit(0))).withColumns(absent).withColumn(
         "null_row_passes", keep(predicate)
     )
-    no_partner = (F.col("n_r") == 0) | F.col("has_null")
-    extended = (F.col("passing") == 0) | F.col("has_null")
-    kept_by_where = no_partner & F.col("null_row_passes")
+    n_l, n_r, passing, null = F.col("n_l"), F.col("n_r"), F.col("passing"), F.col("has_null")
+    matched = _total(F.when(~null, _times(n_l, passing)))
+    shared, only_on = [], []
+    if how in ("left", "full"):  # left rows without a partner under ON, and those WHERE keeps as well
+        extended = (passing == 0) | null
+        by_where = ((n_r == 0) | null) & F.col("null_row_passes")
+        shared.append(_total(F.when(extended & by_where, n_l)))
+        only_on.append(_total(F.when(extended & ~by_where, n_l)))
+    if how in ("right", "full"):  # right rows that pass and have no partner, and those that do not pass
+        shared.append(_total(F.when((n_l == 0) | null, passing)))
+        only_on.append(_total(n_r - passing))
     counted = judged.agg(
-        _total(F.when(~F.col("has_null"), _times(F.col("n_l"), F.col("passing")))).alias("matched"),
-        _total(F.when(extended & kept_by_where, F.col("n_l"))).alias("shared"),
-        _total(F.when(extended & ~kept_by_where, F.col("n_l"))).alias("only_on"),
+        matched.alias("matched"), sum(shared[1:], shared[0]).cast(WIDE).alias("shared"),
+        sum(only_on[1:], only_on[0]).cast(WIDE).alias("only_on"),
     )
     return long_form(
         counted, "direction",

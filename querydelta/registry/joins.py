@@ -162,6 +162,35 @@ def outer_null_predicate_placement(t):
     )
 
 
+# Every customer and order; half of the customers and of the orders have no partner, some orders no key.
+_HALVED = "nullif(o_custkey * 2, 20)"
+_SIDES = {"left": "c_mktsegment = 'BUILDING' or c_custkey is null", "right": "o_orderstatus = 'F'"}
+
+
+def _placed_sql(how, side):
+    join = f"SELECT * FROM c {how.upper()} JOIN o ON c_custkey = k"
+    return f"""WITH c AS (SELECT c_custkey, c_mktsegment FROM customer),
+  o AS (SELECT o_orderkey, o_orderstatus, {_HALVED} AS k FROM orders),
+  a AS ({join} AND ({_SIDES[side]})), b AS ({join} WHERE ({_SIDES[side]}))
+SELECT 'both' AS direction, count(*)::DECIMAL(38,0) AS n FROM (FROM a INTERSECT ALL FROM b)
+UNION ALL SELECT 'baseline_only', count(*) FROM (FROM a EXCEPT ALL FROM b)
+UNION ALL SELECT 'candidate_only', count(*) FROM (FROM b EXCEPT ALL FROM a)"""
+
+
+def _placement(how, side):
+    @query(f"outer_placement_{how}_{side}", _placed_sql(how, side))
+    def placement(t):
+        orders = t.orders.select("o_orderkey", "o_orderstatus", F.expr(_HALVED).alias("k"))
+        return J.outer_predicate_placement(t.customer, orders, [("c_custkey", "k")], _SIDES[side], how, side)
+
+    return placement
+
+
+for _how in ("left", "right", "full"):
+    for _side in ("left", "right"):
+        _placement(_how, _side)
+
+
 @query("join_presence_effect", f"""WITH {_KEYED},
   m AS (SELECT n_l, CASE WHEN k IS NULL THEN 0 ELSE n_r END AS m FROM j)
 SELECT 'filtered_out' AS path, sum(n_l)::BIGINT AS n_base_rows, 0::DECIMAL(38,0) AS n_joined_rows, sum(n_l) > 0 AS satisfied
