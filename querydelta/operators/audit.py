@@ -11,7 +11,7 @@ from querydelta.functions import payload as P
 from querydelta.functions import vocabulary as V
 from querydelta.functions.logic import long_form
 from querydelta.functions.text import MIN_SECRET_CHARS, collapse, normalized_secret
-from querydelta.session import durable, max_broadcast_rows
+from querydelta.session import durable
 
 REDACTED = "[redacted reference content]"
 
@@ -31,7 +31,8 @@ def redact_payload(
 
     ``payloads``: payload_id, case_id, payload (JSON). ``secrets``: case_id,
     secret. Only with ``max_chars`` are longer strings cut, and ``n_cut`` counts
-    them; a string is checked in full before it is cut. Keys are never renamed.
+    them; a string is checked in full before it is cut. Keys are never renamed. A case of many strings and secrets is
+    searched by anchors (see ``corpus_leaks``) and so spread over tasks.
     """
     pruned = payloads.withColumn("payload", P.prune_keys(F.col("payload"), forbidden_keys))
     strings = pruned.select(
@@ -39,8 +40,7 @@ def redact_payload(
     )
     checked = strings.withColumn("text__", normalized_secret(P.unescape(F.col("token"))))
     changed = (
-        checked.join(_secrets(secrets), "case_id")
-        .where(F.col("text__").contains(F.col("secret__")))
+        checked.join(_leaking(checked, secrets), ["case_id", "text__"], "left_semi")
         .select("payload_id", "token", F.lit(REDACTED).alias("shown"))
     )
     if max_chars is not None:
@@ -99,9 +99,9 @@ def audit_leaks(
             )
         ),
     ).select("payload_id", "case_id", "level", "issue")
+    texts = parsed.select("payload_id", "case_id", "level", F.explode(F.array_distinct("texts")).alias("text__"))
     quoted = (
-        parsed.join(_secrets(secrets), "case_id")
-        .where(F.exists("texts", lambda text: text.contains(F.col("secret__"))))
+        texts.join(_leaking(texts, secrets), ["case_id", "text__"], "left_semi")
         .select("payload_id", "case_id", "level", F.lit("full_reference").alias("issue")).distinct()
     )
     return own.unionAll(quoted)
@@ -127,21 +127,27 @@ def _units(text: Column, width: int) -> Column:
     return F.transform(parts, lambda part: F.xxhash64(part))
 
 
-def corpus_leaks(docs: DataFrame, refs: DataFrame, width: int = 6) -> DataFrame:
+#: Parts into which the documents that hold one anchor are dealt.
+_SALTS = 16
+
+
+def corpus_leaks(docs: DataFrame, refs: DataFrame, width: int = 6, part: str | None = None) -> DataFrame:
     """Which documents contain which reference passages, as ``(doc_id, item_id)``.
 
     Both texts are compared case-folded with white space collapsed. ``docs``:
-    doc_id, text; ``refs``: item_id, text.
+    doc_id, text; ``refs``: item_id, text. With ``part``, a column of both, only passages of a document's own part count.
 
     A passage inside a document keeps its inner tokens whole, so a run of inner
     tokens is a sure sign; passages of one or two tokens use runs of characters.
-    Of all runs of a passage the one fewest documents hold is its anchor; only
+    Of all runs of a passage the one fewest documents (of its part) hold is its anchor; only
     documents with the anchor are searched. Nothing is capped, and a passage
-    with a run no document holds drops out at once.
+    with a run no document holds drops out at once. Rows meet by anchor, so a part of any size is spread over tasks, and
+    the documents of one anchor are dealt into salted parts.
     """
-    documents = docs.select("doc_id", collapse(F.col("text")).alias("text"))
+    parts = [part] if part else []
+    documents = docs.select("doc_id", *parts, collapse(F.col("text")).alias("text"))
     passages = durable(
-        refs.select("item_id", normalized_secret(F.col("text")).alias("text"))
+        refs.select("item_id", *parts, normalized_secret(F.col("text")).alias("text"))
         .where(F.length("text") >= MIN_SECRET_CHARS)
         .withColumn("width", F.least(F.lit(width), F.greatest(F.size(F.split("text", " ")) - 2, F.lit(0))))
     )
@@ -164,30 +170,40 @@ def corpus_leaks(docs: DataFrame, refs: DataFrame, width: int = 6) -> DataFrame:
         if of_ref:
             none = F.array().cast("array<bigint>")
             arrays = [F.when(F.col("width") == size, runs).otherwise(none) for size, runs in zip(widths, arrays)]
-        every = arrays[0] if len(arrays) == 1 else F.flatten(F.array(*arrays))
-        return split.select(key, F.explode(F.array_distinct(every)).alias("run"))
-
-    signs = runs_of(passages, "item_id", True)
-    held = runs_of(documents, "doc_id", False)
-    signs = durable(signs)
-    wanted = signs.select("run").distinct()
-    small = signs.count() <= max_broadcast_rows(docs.sparkSession)
-    held = durable(held.join(F.broadcast(wanted) if small else wanted, "run", "left_semi"))
+        every = F.array_distinct(arrays[0] if len(arrays) == 1 else F.flatten(F.array(*arrays)))
+        if part:
+            every = F.transform(every, lambda run: F.xxhash64(F.col(part), run))
+        return split.select(key, F.explode(every).alias("run"))
+
+    signs = durable(runs_of(passages, "item_id", True))
+    held = durable(runs_of(documents, "doc_id", False).join(signs.select("run").distinct(), "run", "left_semi"))
     spread = held.groupBy("run").agg(F.count(F.lit(1)).alias("n_docs"))
     rated = signs.join(spread, "run", "left").groupBy("item_id").agg(
         F.min(F.struct(F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "run")).alias("anchor")
     )
-    anchors = rated.where("anchor.n_docs > 0").select("item_id", F.col("anchor.run").alias("run"))
-    candidates = held.join(F.broadcast(anchors) if small else anchors, "run").select("doc_id", "item_id")
+    anchors = rated.where("anchor.n_docs > 0").select(
+        "item_id", F.col("anchor.run").alias("run"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
+    )
+    dealt = held.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int"))
+    candidates = dealt.join(anchors, ["run", "salt"]).select("doc_id", "item_id")
+    named = passages.select("item_id", *[F.col(name).alias("part__") for name in parts], F.col("text").alias("passage"))
+    inside = F.col("text").contains(F.col("passage"))
     return (
-        candidates.distinct()
-        .join(documents, "doc_id")
-        .join(passages.select("item_id", F.col("text").alias("passage")), "item_id")
-        .where(F.col("text").contains(F.col("passage")))
-        .select("doc_id", "item_id")
+        candidates.distinct().join(documents, "doc_id").join(named, "item_id")
+        .where(inside & (F.col(part) == F.col("part__")) if part else inside).select("doc_id", "item_id")
     )
 
 
+def _leaking(texts: DataFrame, secrets: DataFrame) -> DataFrame:
+    """``case_id, text__`` of the distinct texts that contain a secret of their case."""
+    named = _secrets(secrets).select("case_id", F.col("secret__").alias("text"), F.sha2("secret__", 256).alias("item_id"))
+    named = named.withColumn("item_id", F.concat_ws(":", F.col("case_id").cast("string"), "item_id"))
+    digest = F.concat_ws(":", F.col("case_id").cast("string"), F.sha2("text__", 256))
+    distinct = durable(texts.select("case_id", "text__").distinct().withColumn("doc_id", digest))
+    found = corpus_leaks(distinct.withColumnRenamed("text__", "text"), named, part="case_id").select("doc_id").distinct()
+    return distinct.join(found, "doc_id", "left_semi").select("case_id", "text__")
+
+
 def dedupe_cases(cases: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Cases that are equal once white space and case are ignored: the first key and the copies.
 

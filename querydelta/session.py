@@ -11,10 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_ROWS = "querydelta.chunkRows"
 DEFAULT_CHUNK_ROWS = 1_000_000
 
-# Largest row count of a side that may be broadcast by an explicit hint.
-MAX_BROADCAST_ROWS = "querydelta.maxBroadcastRows"
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
-
 
 def local_session(cores: int = 8, app: str = "querydelta", **conf: str) -> SparkSession:
     """A session for tests and benches; a cluster brings its own."""
@@ -40,10 +36,6 @@ def chunk_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(CHUNK_ROWS, str(DEFAULT_CHUNK_ROWS)))
 
 
-def max_broadcast_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get(MAX_BROADCAST_ROWS, str(DEFAULT_MAX_BROADCAST_ROWS)))
-
-
 def scratch_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: the one named in ``spark.checkpoint.dir``.
 

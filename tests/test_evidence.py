@@ -212,12 +212,25 @@ def test_corpus_leaks_against_brute_force(spark, rows):
     want = {(d, j) for d, text in docs for j, ref in refs if len(ref) >= 8 and ref in fold(text)}
     a, b = rows("doc_id int, text string", *docs), rows("item_id int, text string", *refs)
     assert {(r.doc_id, r.item_id) for r in A.corpus_leaks(a, b, width=3).collect()} == want
-    spark.conf.set("querydelta.maxBroadcastRows", "1")
-    try:
-        assert {(r.doc_id, r.item_id) for r in A.corpus_leaks(a, b).collect()} == want
-    finally:
-        spark.conf.unset("querydelta.maxBroadcastRows")
+    assert {(r.doc_id, r.item_id) for r in A.corpus_leaks(a, b).collect()} == want
     assert A.corpus_leaks(a, b.limit(0)).count() == 0
+    inside = a.selectExpr("*", "doc_id % 3 as part"), b.selectExpr("*", "item_id % 3 as part")
+    within = {(d, j) for d, j in want if d % 3 == j % 3}
+    assert {(r.doc_id, r.item_id) for r in A.corpus_leaks(*inside, part="part").collect()} == within
+
+
+def test_a_case_of_many_strings_and_secrets(spark):
+    ids = spark.range(20_000)
+    payloads = ids.selectExpr(
+        "id as payload_id", "cast(1 as bigint) as case_id",
+        "to_json(named_struct('m', concat('row ', id, ' says value number ', id * 7, ' again'))) as payload",
+    )
+    secrets = spark.range(4000).selectExpr("cast(1 as bigint) as case_id", "concat('Value  number ', id * 70, ' again;') as secret")
+    shown = A.redact_payload(payloads, secrets)
+    hidden = {r.payload_id for r in shown.where("n_changes > 0").collect()}
+    # a secret of one more digit in front of the number is another number
+    want = {i for i in range(20_000) if i * 7 % 70 == 0 and i * 7 // 70 < 4000}
+    assert hidden == want
 
 
 def test_cases_and_runs(rows):

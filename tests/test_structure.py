@@ -32,6 +32,26 @@ def test_reach_does_not_cut_deep_hierarchies(rows):
         H.hierarchy_reach(chain, "id", "up", "up is null", max_depth=5)
 
 
+def test_a_chain_takes_few_rounds(spark, monkeypatch):
+    chain = spark.range(10_000).selectExpr("id", "case when id > 0 then id - 1 end as up")
+    rounds = []
+    monkeypatch.setattr(H, "durable", lambda df, write=H.durable: rounds.append(1) or write(df))
+    got = H.hierarchy_reach(chain, "id", "up", "up is null")
+    assert got.where("depth <> id or depth is null").isEmpty() and got.count() == 10_000
+    assert len(rounds) <= 22
+    edges = chain.where("up is not null")
+    paths = H.path_multiplicity(edges.unionAll(edges.where("id in (5, 77)")), "up", "id", spark.range(1).toDF("up"))
+    wrong = paths.where("first_depth <> node or last_depth <> node or n_paths <> 1 + int(node >= 5) + 2 * int(node >= 77)")
+    assert wrong.isEmpty() and paths.count() == 10_000
+
+
+def test_reach_along_the_shortest_way(rows):
+    # chains of different length that meet, a cycle behind the start, and one that nothing leads to
+    up = [(0, None), (1, 0), (2, 1), (3, 2), (4, 3), (4, 0), (5, 4), (6, 5), (2, 6), (7, 8), (8, 7), (9, 8), (10, 99)]
+    got = table(H.hierarchy_reach(rows("id int, up int", *up), "id", "up", "up is null"), "id", "depth")
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 1, 5: 2, 6: 3, 7: None, 8: None, 9: None, 10: None}
+
+
 def test_diamond(rows):
     edges = rows("a int, b int", (1, 2), (1, 3), (2, 4), (3, 4), (4, 1))
     got = table(H.path_multiplicity(edges, "a", "b", rows("a int", (1,)), 3), "node", "n_paths", "union_all_differs")
