@@ -10,8 +10,10 @@ the miss probability. What is left is decided on the full sets.
 
 A bucket is never expanded into all its pairs at once. First every node is compared with
 the smallest node of each of its buckets. Nodes then outside the largest component of a
-bucket, the strays, are compared with all nodes of other components in blocks of bounded size: first by signatures bucket by bucket, which names the components that may hold a partner,
-then by full sets with the nodes of those. No pair becomes a row unless it is a link.
+bucket, the strays, are compared with the bucket's nodes in blocks of bounded size, by signatures. Those that may be similar
+to a node of the largest component are then compared with the full sets of that component; those that may be similar to each other
+go on, block by block, to be compared by full sets there. No pair becomes a row: a block gives the nodes that go on, and
+then at most one link per node.
 """
 
 from __future__ import annotations
@@ -90,15 +92,20 @@ def _text_hash(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def _band_keys(signs: np.ndarray) -> np.ndarray:
+    """The bucket of every band, per row of a signature."""
+    rows = signs.reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
+    total = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2])
+    for at in range(BAND_ROWS):
+        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, at])
+    return total.view(np.int64)
+
+
 def _bands(nodes: DataFrame) -> DataFrame:
     """``node, n_shingles, key``: one row per band of a node."""
 
     def keys(ids, counts, signs):
-        rows = np.frombuffer(b"".join(signs), np.uint16).reshape(len(signs), BANDS, BAND_ROWS).astype(np.uint64)
-        total = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2])
-        for at in range(BAND_ROWS):
-            total = mix(total * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, at])
-        return ids, counts, list(total.view(np.int64))
+        return ids, counts, list(_band_keys(np.frombuffer(b"".join(signs), np.uint16)))
 
     banded = map_columns(
         nodes.select("node", "n_shingles", "signature"), keys, "node bigint, n_shingles bigint, keys array<bigint>"
@@ -236,46 +243,79 @@ def _alike(stray: tuple, signs: np.ndarray, sizes: np.ndarray, roots: np.ndarray
     return left
 
 
-def _plausible_roots(placed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, root``: nodes outside their bucket's largest component, and other components that may hold a partner."""
+def _plausible_strays(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes outside their bucket's largest component that may have a partner.
+
+    With ``root``: one in that component. Without: one among the other nodes of the block ``key, row, column``, on whose
+    side ``stray`` it is; a pair counts in the first bucket that it shares only.
+    """
     largest = (
         placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"))
     )
     signed = placed.join(largest, "key").join(nodes.select("node", "signature"), "node")
-    members = signed.select("key", "node", "n_shingles", "root", "signature")
-    strays = signed.where("root != largest").select("key", "node", "n_shingles", "root", "signature")
+    columns = ["key", "node", "n_shingles", "root", "signature"]
+    members = signed.select(*columns, (F.col("root") == F.col("largest")).alias("inner"))
+    strays = signed.where("root != largest").select(*columns, F.lit(False).alias("inner"))
 
     def compare(rows):
         members, strays, signs, sizes, roots = _sides(rows)
-        return [
-            (stray[0], root) for stray in strays for root in set(roots[_alike(stray, signs, sizes, roots)].tolist())
-        ]
-
-    found = map_groups(_blocks(members, strays, "key"), ["key", "row", "column"], compare, "node bigint, root bigint")
-    return found.distinct()
+        inner, keys = np.array([row[4] for row in members], bool), _band_keys(signs)
+        place, found, open_ = rows[0][:3], [], np.zeros(len(members), bool)
+        for stray in strays:
+            left = _alike(stray, signs, sizes, roots)
+            if inner[left].any():
+                found.append((*place, stray[0], True, int(roots[left[inner[left]][0]])))
+            left = left[~inner[left]]
+            own = _band_keys(np.frombuffer(stray[3], np.uint16))[0]
+            left = left[own[(keys[left] == own).argmax(axis=1)] == place[0]]
+            if len(left):
+                found.append((*place, stray[0], True, None))
+                open_[left] = True
+        return found + [(*place, members[at][0], False, None) for at in np.flatnonzero(open_).tolist()]
+
+    return map_groups(
+        _blocks(members, strays, "key"), ["key", "row", "column"], compare,
+        "key bigint, row int, column int, node bigint, stray boolean, root bigint",
+    )
 
 
-def _links_to_roots(near: DataFrame, placed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links of each ``node, root`` of ``near``, by the full sets of all nodes of that component."""
-    known = placed.select("node", "n_shingles", "root").distinct()
-    full = known.join(nodes.select("node", "signature"), "node").join(sets, "node")
+def _links_to_roots(near: DataFrame, full: DataFrame) -> DataFrame:
+    """A link of each ``node, root`` of ``near``, if it has one, by the full sets of all nodes of that component."""
     members = full.join(near.select("root").distinct(), "root", "left_semi").select(
         F.col("root").alias("of"), "node", "n_shingles", "root", "signature", "shingles"
     )
     strays = near.toDF("node", "of").join(full, "node").select("of", "node", "n_shingles", "root", "signature", "shingles")
+    return map_groups(_blocks(members, strays, "of"), ["of", "row", "column"], _first_links, "a bigint, b bigint")
 
-    def confirm(rows):
-        members, strays, signs, sizes, roots = _sides(rows)
-        hashes, found = [np.frombuffer(row[4], np.uint64) for row in members], []
-        for stray in strays:
-            own = np.frombuffer(stray[4], np.uint64)
-            for at in _alike(stray, signs, sizes, roots).tolist():
-                if _linked(own, hashes[at]):
-                    found.append((stray[0], members[at][0]))
-        return found
 
-    return map_groups(_blocks(members, strays, "of"), ["of", "row", "column"], confirm, "a bigint, b bigint")
+def _links_in_blocks(near: DataFrame, full: DataFrame) -> DataFrame:
+    """Links among the nodes ``key, row, column, stray, node`` of each block, by full sets."""
+    known = near.join(full, "node").select(
+        "key", "row", "column", "stray", "node", "n_shingles", "root", "signature", "shingles"
+    )
+    return map_groups(known, ["key", "row", "column"], _first_links, "a bigint, b bigint")
+
+
+def _first_links(rows: list[tuple]) -> list[tuple]:
+    """Links of strays to members in a block, but none between nodes that links or components join already."""
+    members, strays, signs, sizes, roots = _sides(rows)
+    hashes, found = [np.frombuffer(row[4], np.uint64) for row in members], []
+    joined = {row[2]: row[2] for row in (*members, *strays)}
+
+    def top(root):
+        while joined[root] != root:
+            joined[root] = root = joined[joined[root]]
+        return root
+
+    for stray in strays:
+        own = np.frombuffer(stray[4], np.uint64)
+        for at in _alike(stray, signs, sizes, roots).tolist():
+            one, two = top(stray[2]), top(members[at][2])
+            if one != two and _linked(own, hashes[at]):
+                joined[one] = two
+                found.append((stray[0], members[at][0]))
+    return found
 
 
 def _grouped(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
@@ -314,12 +354,14 @@ def _grouped(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> D
     links = decided(members.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")), "stars")
     placed = _open_members(members, scratch.table("roots", components(links, scratch, "star")))
     placed = scratch.table("open", placed)
-    near = scratch.table("near", _plausible_roots(placed, nodes))
+    near = scratch.table("near", _plausible_strays(placed, nodes))
+    full = placed.select("node", "n_shingles", "root").distinct().join(nodes.select("node", "signature"), "node").join(sets, "node")
     with records_per_batch(spark, LARGE_ROWS):
-        more = scratch.table("more", _links_to_roots(near, placed, nodes, sets))
+        outer = scratch.table("outer", _links_to_roots(near.where("root is not null").select("node", "root").distinct(), full))
+        among = scratch.table("among", _links_in_blocks(near.where("root is null").drop("root"), full))
     scratch.drop("members", "sets", "open", "near")
 
-    final = components(links.union(more), scratch, "last")
+    final = components(links.union(outer).union(among), scratch, "last")
     named = nodes.select("node", "digest", "doc_id").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = named.join(least, "root").select("digest", "component_id", "root")
@@ -348,17 +390,18 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` without all but one of each component, which has its smallest id.
 
     Of rows with that id in one component, the one with the smallest text hash stays, and of equal ones any. Rows without
-    words all stay.
+    words, NULL and empty texts among them, all stay. All columns stay as they are, whatever their names. An empty table gives an
+    empty one.
     """
     grouped = _grouped(docs, Scratch(docs.sparkSession), id_col, text_col)
     first = F.struct(F.col("doc_id").isNull().alias("k1__"), F.coalesce("doc_id", F.lit(0)).alias("k2__"), F.col("text_hash").alias("k3__"))
     named = grouped.where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = named.groupBy("root").agg(F.min(first).alias("first")).select("first.*", F.lit(True).alias("stays__"))
     keys = ["k1__", "k2__", "k3__"]
-    keyed = docs.withColumns({
-        "k1__": F.col(id_col).isNull(), "k2__": F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)), "k3__": _text_hash(text_col),
-        "words__": F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]"),
-    })
+    keyed = docs.select(
+        F.struct("*").alias("row__"), F.col(id_col).isNull().alias("k1__"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("k2__"),
+        _text_hash(text_col).alias("k3__"), F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("words__"),
+    )
     copy = F.row_number().over(Window.partitionBy(*keys).orderBy("words__"))
     judged = keyed.join(stay, keys, "left").withColumn("copy__", copy)
-    return judged.where(~F.col("words__") | (F.col("stays__") & (F.col("copy__") == 1))).select(*docs.columns)
+    return judged.where(~F.col("words__") | (F.col("stays__") & (F.col("copy__") == 1))).select("row__.*")
