@@ -11,11 +11,11 @@ number of catalogs:
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querydelta.functions.logic import long_form
 from querydelta.session import durable
 
 ForeignKey = tuple[Sequence[str], DataFrame, Sequence[str]]
@@ -27,46 +27,59 @@ def check_constraints(
 ) -> DataFrame:
     """Violating rows (and keys) per declared constraint.
 
-    A unique key ignores rows with a NULL in it; a foreign key ignores them too.
+    A unique key ignores rows with a NULL in it; a foreign key ignores them too. Each table is read once: a row becomes
+    one (constraint, key) pair per constraint, referenced keys join the same counts, and one aggregate per pair and one
+    per constraint give the report.
     """
-    parts = []
-    if not_null:
-        row = df.agg(*[F.count_if(F.col(name).isNull()).alias(f"n{i}") for i, name in enumerate(not_null)])
-        parts.append(
-            long_form(
-                row, "constraint",
-                {f"not_null:{name}": {"n_violations": F.col(f"n{i}"), "n_keys": F.col(f"n{i}")}
-                 for i, name in enumerate(not_null)},
-            )
-        )
-    for name, columns in (unique or {}).items():
-        copies = df.dropna(subset=list(columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-        parts.append(
-            copies.where("n > 1").agg(
-                F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_violations"),
-                F.count(F.lit(1)).alias("n_keys"),
-            ).select(F.lit(f"unique:{name}").alias("constraint"), "n_violations", "n_keys")
-        )
-    for name, (columns, parent, parent_columns) in (foreign_keys or {}).items():
-        children = df.dropna(subset=list(columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-        known = parent.select(
-            *[F.col(column).alias(f"parent{i}__") for i, column in enumerate(parent_columns)]
-        ).distinct()
-        same = None
-        for index, column in enumerate(columns):
-            part = F.col(column) == F.col(f"parent{index}__")
-            same = part if same is None else same & part
-        parts.append(
-            children.join(known, same, "left_anti").agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias("n_violations"), F.count(F.lit(1)).alias("n_keys"),
-            ).select(F.lit(f"foreign_key:{name}").alias("constraint"), "n_violations", "n_keys")
-        )
-    if not parts:
+    unique, foreign_keys = dict(unique or {}), dict(foreign_keys or {})
+    names = [*(f"not_null:{name}" for name in not_null), *(f"unique:{name}" for name in unique), *(f"foreign_key:{name}" for name in foreign_keys)]
+    if not names:
         raise ValueError("no constraint given")
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionAll(part)
-    return report.withColumn("satisfied", F.col("n_violations") == 0)
+    place = {name: index for index, name in enumerate(names)}
+    own = [F.when(F.col(name).isNull(), _pair(place[f"not_null:{name}"], F.lit(""))) for name in not_null]
+    own += [_key_pair(place[f"unique:{name}"], [F.col(column) for column in columns]) for name, columns in unique.items()]
+    parents: dict[int, tuple[DataFrame, list[Column]]] = {}
+    for name, (columns, parent, parent_columns) in foreign_keys.items():
+        # either side in the type in which the two compare
+        kinds = [(df.schema[a].dataType, parent.schema[b].dataType) for a, b in zip(columns, parent_columns, strict=True)]
+        child = [F.coalesce(F.col(column), F.lit(None).cast(kind)) for column, (_, kind) in zip(columns, kinds, strict=True)]
+        known = [F.coalesce(F.col(column), F.lit(None).cast(kind)) for column, (kind, _) in zip(parent_columns, kinds, strict=True)]
+        own.append(_key_pair(place[f"foreign_key:{name}"], child))
+        parents.setdefault(id(parent), (parent, []))[1].append(_key_pair(place[f"foreign_key:{name}"], known))
+
+    def pairs(table: DataFrame, entries: Sequence[Column], rows: int) -> DataFrame:
+        spread = table.select(F.explode(F.array_compact(F.array(*entries))).alias("pair"))
+        return spread.select("pair.*", F.lit(rows).cast("bigint").alias("n"))
+
+    every = pairs(df, own, 1)
+    for parent, entries in parents.values():
+        every = every.unionAll(pairs(parent, entries, 0))
+    counted = every.groupBy("index", "key").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 0).alias("known"))
+    named = df.sparkSession.createDataFrame(list(enumerate(names)), "index int, constraint string").select(
+        "index", F.lit(None).cast("string").alias("key"), F.lit(0).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("known"), "constraint"
+    )
+    first_key = len(not_null) + len(unique)
+    index, n = F.col("index"), F.col("n")
+    wrong = (
+        F.when(index < len(not_null), n).when(index < first_key, n - 1).when((F.col("known") == 0) & (n > 0), n).otherwise(0)
+    )
+    keys = F.when(index < len(not_null), n).when(wrong > 0, 1).otherwise(0)
+    judged = counted.withColumn("constraint", F.lit(None).cast("string")).select(*named.columns)
+    real = F.col("key").isNotNull()
+    return judged.unionAll(named).groupBy("index").agg(
+        F.max("constraint").alias("constraint"), F.sum(F.when(real, wrong).otherwise(0)).cast("bigint").alias("n_violations"),
+        F.sum(F.when(real, keys).otherwise(0)).cast("bigint").alias("n_keys"),
+    ).select("constraint", "n_violations", "n_keys", (F.col("n_violations") == 0).alias("satisfied"))
+
+
+def _pair(index: int, key: Column) -> Column:
+    return F.struct(F.lit(index).alias("index"), key.alias("key"))
+
+
+def _key_pair(index: int, columns: Sequence[Column]) -> Column:
+    """NULL for a key with a NULL in it."""
+    whole = reduce(lambda a, b: a & b, [column.isNotNull() for column in columns])
+    return F.when(whole, _pair(index, F.to_json(F.array(*[column.cast("string") for column in columns]))))
 
 
 def uniquely_identified(refs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -117,6 +130,46 @@ def declared_cardinality(fks: DataFrame, keys: DataFrame) -> DataFrame:
     ).withColumn("may_fan_out", F.col("cardinality").isin("ONE_TO_MANY", "MANY_TO_MANY"))
 
 
+def requested_cardinality(requests: DataFrame, tables: DataFrame, fks: DataFrame, keys: DataFrame) -> DataFrame:
+    """``cardinality`` and ``may_fan_out`` of each requested pair ``catalog_id, left_table, right_table``.
+
+    ``tables``: catalog_id, table_name. A pair with an unknown table, or without a foreign key between its tables,
+    is ``UNKNOWN``, and whether joining it multiplies rows is then NULL, not FALSE.
+    """
+    known = tables.select("catalog_id", "table_name").distinct()
+    pairs = requests.select("catalog_id", "left_table", "right_table").distinct()
+    there = pairs.join(known.withColumnRenamed("table_name", "left_table"), ["catalog_id", "left_table"], "left_semi").join(
+        known.withColumnRenamed("table_name", "right_table"), ["catalog_id", "right_table"], "left_semi"
+    )
+    names = ["catalog_id", "left_table", "right_table"]
+    found = there.join(declared_cardinality(fks, keys), names)
+    return pairs.join(found, names, "left").select(*names, F.coalesce("cardinality", F.lit("UNKNOWN")).alias("cardinality"), "may_fan_out")
+
+
+def join_fan_out(joins: DataFrame, fks: DataFrame, keys: DataFrame) -> DataFrame:
+    """``at_most_one``: does a row of the left side meet at most one row of the joined table? TRUE, FALSE or NULL.
+
+    ``joins``: catalog_id, join_id, left_table, left_columns, right_table, right_columns (arrays in step). It does if the join columns of
+    the joined table hold one of its keys. Columns that a foreign key takes from the left side bind the whole key that
+    it refers to, so a foreign key of the left table into the joined one counts as well; without any declared key the answer is NULL.
+    """
+    asked = joins.select("catalog_id", "join_id", "left_table", "left_columns", "right_table", "right_columns")
+    own = keys.select("catalog_id", F.col("table_name").alias("right_table"), F.col("columns").alias("key__"))
+    by_key = asked.join(own, ["catalog_id", "right_table"], "left").select(
+        "catalog_id", "join_id",
+        F.when(F.col("key__").isNotNull(), F.size(F.array_except("key__", "right_columns")) == 0).alias("bound"),
+    )
+    references = fks.select(
+        "catalog_id", F.col("from_table").alias("left_table"), F.col("to_table").alias("right_table"),
+        F.arrays_zip("from_columns", "to_columns").alias("reference__"),
+    )
+    joined_on = F.arrays_zip(F.col("left_columns").alias("from_columns"), F.col("right_columns").alias("to_columns"))
+    by_reference = asked.join(references, ["catalog_id", "left_table", "right_table"]).select(
+        "catalog_id", "join_id", F.when(F.forall("reference__", lambda pair: F.array_contains(joined_on, pair)), True).alias("bound")
+    )
+    return by_key.unionAll(by_reference).groupBy("catalog_id", "join_id").agg(F.bool_or("bound").alias("at_most_one"))
+
+
 def bridge_tables(fks: DataFrame, requests: DataFrame) -> DataFrame:
     """Tables with foreign keys to both ends of a requested pair.
 

@@ -127,6 +127,53 @@ def declared_cardinality(t):
     return K.declared_cardinality(_fks(t), _keys(t))
 
 
+# Every priority against every status and a status that no customer has; not all pairs are declared, not all tables exist.
+_PAIRS = """c AS (SELECT DISTINCT o_custkey AS catalog_id FROM orders),
+  p AS (SELECT DISTINCT o_orderpriority AS a FROM orders), s AS (SELECT DISTINCT o_orderstatus AS b FROM orders UNION ALL SELECT 'X'),
+  asked AS (SELECT catalog_id, a, b FROM c, p, s)"""
+
+
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def _pairs(t):
+    customers = t.orders.select(F.col("o_custkey").alias("catalog_id")).distinct()
+    named = customers.select("catalog_id", F.explode(F.array(*map(F.lit, _PRIORITIES))).alias("a"))
+    return named.select("catalog_id", "a", F.explode(F.array(*map(F.lit, ("F", "O", "P", "X")))).alias("b"))
+
+
+@query("requested_cardinality", f"""WITH {_FKS}, {_PAIRS},
+  j AS (SELECT asked.*, f.b IS NOT NULL AS declared, k.b IS NOT NULL AS u FROM asked LEFT JOIN f USING (catalog_id, a, b)
+        LEFT JOIN k USING (catalog_id, a, b))
+SELECT catalog_id, b AS left_table, a AS right_table,
+       CASE WHEN NOT declared THEN 'UNKNOWN' WHEN u THEN 'ONE_TO_ONE' ELSE 'ONE_TO_MANY' END AS cardinality,
+       CASE WHEN declared THEN NOT u END AS may_fan_out FROM j""")
+def requested_cardinality(t):
+    asked = _pairs(t).select("catalog_id", F.col("b").alias("left_table"), F.col("a").alias("right_table"))
+    fks = _fks(t)
+    tables = fks.select("catalog_id", F.col("from_table").alias("table_name")).unionAll(fks.select("catalog_id", "to_table"))
+    return K.requested_cardinality(asked, tables, fks, _keys(t))
+
+
+# A priority table joined by its reference and another column, and the status table by what the reference names.
+@query("join_fan_out", f"""WITH {_FKS},
+  t AS (SELECT catalog_id, a, count(*) AS n FROM k GROUP BY ALL)
+SELECT f.catalog_id, f.a || '>' || f.b AS join_id, CASE WHEN k.b IS NOT NULL THEN true WHEN t.n > 0 THEN false END AS at_most_one
+FROM f LEFT JOIN k USING (catalog_id, a, b) LEFT JOIN t USING (catalog_id, a)
+UNION ALL SELECT catalog_id, b || '<' || a, true FROM f""")
+def join_fan_out(t):
+    fks = _fks(t)
+    down = fks.select(
+        "catalog_id", F.concat("from_table", F.lit(">"), "to_table").alias("join_id"), F.col("to_table").alias("left_table"),
+        F.array(F.lit("id"), F.lit("n")).alias("left_columns"), F.col("from_table").alias("right_table"),
+        F.array(F.col("from_columns")[0], F.lit("n")).alias("right_columns"),
+    )
+    up = fks.select(
+        "catalog_id", F.concat("to_table", F.lit("<"), "from_table"), F.col("from_table"), "from_columns", F.col("to_table"), "to_columns"
+    )
+    return K.join_fan_out(down.unionAll(up), fks, _keys(t))
+
+
 @query("uniquely_identified", f"""WITH {_FKS},
   r AS (SELECT catalog_id, a, list_sort(list(b)) AS bs FROM f GROUP BY ALL),
   x AS (SELECT r.*, k.b AS kb FROM r LEFT JOIN k USING (catalog_id, a))
