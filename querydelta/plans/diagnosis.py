@@ -35,7 +35,7 @@ def diagnose(
     graded = E.evidence_grade(E.logical_stage(diffs), effects, mutations, distinguished_cases)
     usable = durable(E.drop_redundant_summaries(durable(E.classify_rule(graded, nullable_columns))))
     if signals is not None:
-        usable = durable(usable.unionAll(E.signal_diffs(usable, signals)))
+        usable = durable(E.with_signals(usable, signals))
     candidates = durable(E.build_candidates(usable))
     members = durable(E.candidate_members(usable, candidates))
     edges = durable(E.causal_edges(candidates, members, deps))

@@ -265,8 +265,8 @@ _TEACH = "CASE WHEN rule_id LIKE 'S_\\_%' ESCAPE '\\' AND rule_id NOT LIKE '%MIS
 _HOME = "CASE own WHEN 'S1' THEN 'SOURCE_JOIN' WHEN 'S2' THEN 'ROW_FILTER' WHEN 'S3' THEN 'GROUP_AGG' WHEN 'S4' THEN 'GROUP_FILTER' WHEN 'S5' THEN 'PROJECTION' ELSE 'ROOT_ORDER' END"
 _CANDIDATES = f"""{_SIGNALS},
   everything AS (SELECT case_id, diff_id, scope_id, rule_id, grade_rank FROM usable UNION ALL SELECT * FROM extra),
-  detailed AS (SELECT e.*, u.severity, u.stage_rank, u.logical_stage, u.teaching_stage FROM everything e JOIN usable u USING (case_id, diff_id)),
-  grouped AS (SELECT case_id, scope_id, rule_id, max(grade_rank) AS grade_rank, max(severity) AS severity, count(*) AS n_diffs,
+  detailed AS (SELECT e.*, u.grade_rank AS own_rank, u.severity, u.stage_rank, u.logical_stage, u.teaching_stage FROM everything e JOIN usable u USING (case_id, diff_id)),
+  grouped AS (SELECT case_id, scope_id, rule_id, max(grade_rank) AS grade_rank, max(own_rank) AS own_rank, max(severity) AS severity, count(*) AS n_diffs,
       count(*) FILTER (WHERE grade_rank >= 3) AS n_verified, arg_min(logical_stage, (stage_rank, diff_id)) AS first_stage,
       arg_min(teaching_stage, (stage_rank, diff_id)) AS first_teaching, {_TEACH} AS own,
       sum(('0x' || substr(sha256(diff_id), 1, 15))::BIGINT)::DECIMAL(38,0) AS digest
@@ -276,14 +276,14 @@ _CANDIDATES = f"""{_SIGNALS},
       || '","rule_id":"' || rule_id || '","scope_id":"' || scope_id || '"}}'), 1, 16) AS candidate_id,
       logical_stage, {_STAGES} AS stage_rank, coalesce(own, first_teaching) AS teaching_stage, n_diffs, n_verified,
       {_GRADE_NAME} AS evidence_grade, grade_rank,
-      round(least(0.99, 0.42 + 0.42 * grade_rank / 4.0 + 0.16 * severity), 4)::DOUBLE AS confidence, severity, grade_rank >= 3 AS blocking
+      round(least(0.99, 0.42 + 0.42 * own_rank / 4.0 + 0.16 * severity), 4)::DOUBLE AS confidence, severity, grade_rank >= 3 AS blocking
     FROM staged)"""
 
 
 def _detected(t):
     """Usable diffs and signals, written once: the later steps read them several times."""
     usable = durable(_usable(t))
-    return durable(usable.unionAll(E.signal_diffs(usable, _cases(t))))
+    return durable(E.with_signals(usable, _cases(t)))
 
 
 @query("build_candidates", f"WITH {_CANDIDATES} SELECT * FROM candidates")

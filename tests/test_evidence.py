@@ -73,6 +73,36 @@ def test_rules_do_not_catch_their_neighbours(rows):
     }
 
 
+def test_classification_reads_declared_facts(rows):
+    extra = ", baseline_side string, candidate_side string, baseline_value_kind string, candidate_value_kind string, function_name string"
+    plain = [
+        (_diff(1, "side", "join_type_changed", "JOIN", "b", "b"), ("left", "INNER", None, None, None), "S1_OUTER_JOIN_MISUSE"),
+        (_diff(1, "cross", "join_type_changed", "JOIN", "JOIN b", "b"), (None, "cross", None, None, None), "S1_CARTESIAN_PRODUCT"),
+        (_diff(1, "named", "join_type_changed", "JOIN", "a LEFT OUTER JOIN b", "a JOIN b"), (None,) * 5, "S1_OUTER_JOIN_MISUSE"),
+        (_diff(1, "plain", "join_type_changed", "JOIN", "a INNER JOIN b", "a JOIN b"), (None,) * 5, "UNCLASSIFIED_SUPPORTED_DIFF"),
+        (_diff(1, "kind", "comparison_operator_changed", "WHERE", "x", "y", ("IN", "EQ")), (None, None, "expression", None, None),
+         "S1_SUBQUERY_CARDINALITY"),
+        (_diff(1, "value", "comparison_operator_changed", "WHERE", "x", "y", ("IN", "EQ")), (None, None, "column", None, None),
+         "UNCLASSIFIED_SUPPORTED_DIFF"),
+        (_diff(1, "fn", "function_argument_changed", "SELECT", "x", "y"), (None, None, None, None, "case"), "S5_CASE_INCOMPLETE"),
+        (_diff(1, "no", "function_argument_changed", "SELECT", "x", "y"), (None, None, None, None, "abs"), "UNCLASSIFIED_SUPPORTED_DIFF"),
+    ]
+    diffs = E.logical_stage(rows(DIFFS + extra, *[(*diff, *more) for diff, more, _ in plain]))
+    got = table(E.classify_rule(diffs, rows("table_name string, column_name string")), "diff_id", "rule_id")
+    assert got == {diff[1]: rule for diff, _, rule in plain}
+
+
+def test_a_signal_lifts_the_grade_but_not_the_confidence(rows):
+    diffs = E.evidence_grade(E.logical_stage(rows(DIFFS, _diff(1, "j", "join_missing", "JOIN", "JOIN b", ""))), rows(EFFECTS),
+                             rows(MUTATIONS), rows("case_id int"))
+    classified = E.classify_rule(diffs, rows("table_name string, column_name string"))
+    cases = rows("case_id int, suspected_cartesian boolean, duplicate_delta int, has_limit boolean, has_order boolean, "
+                 "aggregate_in_where boolean", (1, True, 0, False, False, False))
+    found = table(E.build_candidates(E.with_signals(classified, cases)), "rule_id", "evidence_grade", "confidence", "severity")
+    grade, confidence, severity = found["S1_CARTESIAN_PRODUCT"]
+    assert grade == "OUTPUT_ONLY" and confidence == pytest.approx(0.42 + 0.16 * severity)
+
+
 def _run(rows, diffs, effects=(), deps=()):
     return diagnose(
         rows(DIFFS, *diffs), rows(EFFECTS, *effects), rows(MUTATIONS), rows("case_id int", (1,)),
