@@ -5,7 +5,9 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -43,6 +45,47 @@ def map_columns(df: DataFrame, function: Callable[..., list], schema: str) -> Da
     return df.mapInArrow(run, types)
 
 
+def stream_rows(df: DataFrame, text_col: str, function: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: StructType) -> DataFrame:
+    """``mapInArrow`` over whole rows by slices of bounded text: ``function(rows, texts)`` gives the rows that go on.
+
+    Only one slice is held as Python objects; no row waits beside its text.
+    """
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(batch.schema.names.index(text_col))
+            lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths)
+            first = 0
+            while first < batch.num_rows:
+                before = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, before + SLICE_CHARS, "right")))
+                part = batch.slice(first, last - first)
+                out = function(part, column.slice(first, last - first).to_pylist())
+                if out.num_rows:
+                    yield out
+                first = last
+
+    return df.mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, text_col: str, keep: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """The rows whose text (NULL: empty) ``keep`` keeps, with all their columns."""
+    return stream_rows(df, text_col, lambda rows, texts: rows.filter(pa.array(keep([text or "" for text in texts]))), df.schema)
+
+
+def replace_texts(df: DataFrame, text_col: str, function: Callable[[list[str]], list[str]]) -> DataFrame:
+    """The rows with each text replaced; NULL stays."""
+
+    def replaced(rows: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        found = function([text or "" for text in texts])
+        new = [None if old is None else text for old, text in zip(texts, found, strict=True)]
+        at = rows.schema.names.index(text_col)
+        return rows.set_column(at, rows.schema.field(at), pa.array(new, rows.schema.field(at).type))
+
+    return stream_rows(df, text_col, replaced, df.schema)
+
+
 def document_columns(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """Only the id and the text (NULL: empty), under names that no other column can take."""
     return docs.select(

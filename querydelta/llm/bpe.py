@@ -17,10 +17,13 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from querydelta.llm.batches import document_columns, map_columns
+from querydelta.llm.batches import document_columns, map_columns, stream_rows
 
 #: Characters that Unicode calls white space.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -138,6 +141,29 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, leaf_chars: in
     )
 
 
+def encode_checked(
+    docs: DataFrame, path: str, pattern: str, leaf_chars: int = LEAF_CHARS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id, n_tokens, ids (array<int>), decoded_sha256``: the ids, and the digest of what they decode to.
+
+    Encoded and decoded in one worker, slice by slice. NULLs, empty texts and tables as in ``encode_documents``.
+    """
+    types = StructType.fromDDL("doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string")
+    arrow = to_arrow_schema(types)
+
+    def encode(rows, texts):
+        own = encoder(path, pattern, leaf_chars)
+        tokens = [own.encode(text) for text in texts]
+        digests = [hashlib.sha256(own.decode(ids)).hexdigest() for ids in tokens]
+        offsets = np.cumsum([0, *map(len, tokens)], dtype=np.int32)
+        flat = np.concatenate([np.zeros(0, np.uint32), *tokens]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)).cast(arrow.field("ids").type)
+        counts = pa.array(np.diff(offsets), pa.int64())
+        return pa.RecordBatch.from_arrays([rows.column(0), counts, ids, pa.array(digests, arrow.field(3).type)], schema=arrow)
+
+    return stream_rows(document_columns(docs, id_col, text_col), "text", encode, types)
+
+
 def encoded_digests(
     docs: DataFrame, path: str, pattern: str, leaf_chars: int = LEAF_CHARS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

@@ -20,11 +20,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querydelta.llm.batches import document_columns, map_columns, slices
+from querydelta.llm.batches import document_columns, keep_rows, map_columns, slices
 from querydelta.llm.shingles import LOOSE, runs, sequence_hashes
 
 SHINGLE_WORDS = 5
@@ -239,21 +238,20 @@ def _passages(block, radius: int, similarity: float) -> Passages:
     return _BUILT[name, radius, similarity]
 
 
-def _clean(block, radius: int, similarity: float):
-    def clean(texts: pd.Series) -> pd.Series:
-        found = _passages(block, radius, similarity).matches([text or "" for text in texts])
-        return pd.Series([not matches for matches in found], dtype=bool)
-
-    return F.pandas_udf(clean, "boolean")
-
-
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY,
     per_pass: int = ITEMS_PER_PASS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs`` in which no item is found; no row is moved."""
+    """The rows of ``docs`` in which no item is found, with all columns as they are; no row is moved.
+
+    NULL and empty texts stay, and so does everything if the benchmark is empty; repeated rows stay or go together.
+    """
     shared = holders(benchmark, item_text_col)
     for ids, items in passes(benchmark, item_col, item_text_col, per_pass):
         block = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, ids, items, shared))
-        docs = docs.where(_clean(block, radius, similarity)(F.col(text_col)))
+
+        def clean(texts, block=block):
+            return np.array([not found for found in _passages(block, radius, similarity).matches(texts)], bool)
+
+        docs = keep_rows(docs, text_col, clean)
     return docs

@@ -17,11 +17,10 @@ from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querydelta.llm.batches import document_columns, map_columns
+from querydelta.llm.batches import document_columns, map_columns, replace_texts
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, str]
@@ -453,26 +452,21 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _redacted(tagger: Tagger, text: Column) -> Column:
-    def run(texts: pd.Series) -> pd.Series:
-        known = [value or "" for value in texts]
-        base = [base_spans(value) for value in known]
-        added = tagger.spans(known, base)
-        return pd.Series([
-            None if value is None else redact(value, [*one, *two])
-            for value, one, two in zip(texts, base, added, strict=True)
-        ], dtype=object)
-
-    return F.pandas_udf(run, "string")(text)
-
-
 def redact_documents(
     docs: DataFrame, training_documents: int = TRAINING_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text",
     length_col: str = "n_chars",
 ) -> DataFrame:
-    """The rows of ``docs`` with spans replaced; a NULL text stays, and ``length_col``, where there is one, counts anew."""
+    """The rows of ``docs`` with spans replaced; a NULL text stays, and ``length_col``, where there is one, counts anew.
+
+    All other columns stay as they are, repeated rows stay, an empty table gives an empty one; no row is moved.
+    """
     tagger = train(docs, training_documents, id_col, text_col)
-    out = docs.withColumn(text_col, _redacted(tagger, F.col(text_col)))
+
+    def redacted(texts):
+        base = [base_spans(text) for text in texts]
+        return [redact(text, [*one, *two]) for text, one, two in zip(texts, base, tagger.spans(texts, base), strict=True)]
+
+    out = replace_texts(docs, text_col, redacted)
     if length_col in docs.columns:
         counted = F.length(text_col).cast(docs.schema[length_col].dataType)
         out = out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(counted))

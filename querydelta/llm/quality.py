@@ -14,11 +14,10 @@ import itertools
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querydelta.llm.batches import document_columns, map_columns, slices
+from querydelta.llm.batches import document_columns, keep_rows, map_columns, slices
 from querydelta.llm.shingles import PLAIN, mix
 
 #: Texts that the scorer learns from.
@@ -266,17 +265,13 @@ def score_documents(
     )
 
 
-def _keeps(model: QualityModel, keep_from: float, text: Column) -> Column:
-    def keeps(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.judge([text or "" for text in texts])[0] >= keep_from)
-
-    return F.pandas_udf(keeps, "boolean")(text)
-
-
 def drop_junk(
     docs: DataFrame, training_documents: int = TRAINING_DOCUMENTS, keep_from: float = KEEP_FROM,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs`` that the scorer keeps; no row is moved."""
+    """The rows of ``docs`` that the scorer keeps, with all columns as they are; no row is moved.
+
+    A NULL or empty text is not kept; repeated rows stay or go together; an empty table gives an empty one.
+    """
     model = train(docs, training_documents, id_col, text_col)
-    return docs.where(_keeps(model, keep_from, F.col(text_col)))
+    return keep_rows(docs, text_col, lambda texts: model.judge(texts)[0] >= keep_from)
