@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from querydelta.llm import bpe, decontaminate, neardup, pii, quality
 from querydelta.llm.scratch import Scratch
@@ -32,10 +31,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_sha256``: token ids, and the digest of what they decode to."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode_documents(docs, path, public_tokenizers.PATTERN)
-    decoded = bpe.decode_documents(encoded, path, public_tokenizers.PATTERN)
-    return decoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.encode_checked(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
