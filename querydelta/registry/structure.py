@@ -333,6 +333,15 @@ def catalog_tables(t):
     return G.catalog_tables(_catalogs(t))
 
 
+@query("catalog_rejects", f"""WITH {_FORM}
+SELECT doc_id, 'catalog' AS level, NULL::VARCHAR AS item, 'SCHEMA_JSON_INVALID' AS code FROM d WHERE form = 'broken'
+UNION ALL SELECT doc_id, 'column', 'item.price', 'INVALID_COLUMN_TYPE_DROPPED' FROM d WHERE form IN ('list', 'index') AND z < 10
+UNION ALL SELECT doc_id, 'table', 'item', 'INVALID_OR_DUPLICATE_COLUMN' FROM d WHERE form = 'mapping' AND z = 7
+UNION ALL SELECT doc_id, 'foreign_key', 'item.owner', 'UNRESOLVED_FOREIGN_KEY_DROPPED' FROM d WHERE form = 'list' AND z = 50""")
+def catalog_rejects(t):
+    return G.catalog_rejects(_catalogs(t))
+
+
 @query("catalog_limitations", f"""WITH {_FORM}
 SELECT doc_id, 'SCHEMA_JSON_INVALID' AS limitation FROM d WHERE form = 'broken'
 UNION ALL SELECT doc_id, 'INVALID_COLUMN_TYPE_DROPPED' FROM d WHERE form IN ('list', 'index') AND z < 10

@@ -199,6 +199,37 @@ def test_catalog_other_forms_and_bad_input(rows):
     }
 
 
+def test_every_dropped_thing_is_a_row(rows):
+    raw = _documents(
+        rows,
+        {"tables": [
+            {"name": "ok", "columns": [{"name": "a", "type": "money"}], "primary_key": ["b"],
+             "foreign_keys": [{"column": "a", "references_table": "gone", "references_column": "x"}]},
+            "no table", 7, {"name": "select_a_from_b", "columns": ["a"]},
+        ]},
+        "{broken", [1, 2], "12", {}, {"x": 1}, {"drop_table": ["a"]}, {"tables": ["a"]}, {"tables": [{"name": "t", "columns": []}]},
+        {"tables": [{"name": "t", "columns": ["a"]}, {"name": "T", "columns": ["b"]}]},
+        {"t": ["selected", "from_here", "update_set_at"], "updates": ["a"]},
+    ).unionAll(rows("doc_id int, json string", (99, None)))
+    got = {}
+    for r in G.catalog_rejects(raw).collect():
+        got.setdefault(r.doc_id, []).append((r.level, r.item, r.code))
+    refused = {1: "SCHEMA_JSON_INVALID", 2: "SCHEMA_INPUT_UNSUPPORTED", 3: "SCHEMA_INPUT_UNSUPPORTED", 4: "SCHEMA_TABLES_MISSING",
+               5: "SCHEMA_TABLES_MISSING", 6: "SCHEMA_TABLES_MISSING", 99: "SCHEMA_INPUT_UNSUPPORTED"}
+    assert sorted(got.pop(0)) == [
+        ("column", "ok.a", "INVALID_COLUMN_TYPE_DROPPED"), ("foreign_key", "ok.a", "UNRESOLVED_FOREIGN_KEY_DROPPED"),
+        ("key", "ok", "INVALID_PRIMARY_KEY_DROPPED"), ("table", "7", "INVALID_TABLE_DROPPED"),
+        ("table", "no table", "INVALID_TABLE_DROPPED"), ("table", "select_a_from_b", "INVALID_TABLE_STRUCTURE"),
+    ]
+    assert {doc: got.pop(doc) for doc in refused} == {doc: [("catalog", None, code)] for doc, code in refused.items()}
+    assert sorted(got.pop(7), key=str) == [("catalog", None, "SCHEMA_TABLES_UNUSABLE"), ("table", "a", "INVALID_TABLE_DROPPED")]
+    assert sorted(got.pop(8), key=str) == [("catalog", None, "SCHEMA_TABLES_UNUSABLE"), ("table", "t", "INVALID_TABLE_STRUCTURE")]
+    assert got.pop(9) == [("catalog", None, "DUPLICATE_TABLE")]
+    assert got.pop(10) == [("table", "t", "INVALID_OR_DUPLICATE_COLUMN")] and not got
+    codes = {(r.doc_id, r.limitation) for r in G.catalog_limitations(raw).collect()}
+    assert set(refused.items()) <= codes and (0, "INVALID_TABLE_DROPPED") in codes
+
+
 def test_seed_and_perturb(spark, rows):
     ids = spark.range(20)
     parent = spark.range(7)
