@@ -69,7 +69,8 @@ def topn_million(t):
 
 @query("topn_cutoff_ties_deep", """
 WITH o AS (SELECT l_shipdate, count(*) AS n, sum(count(*)) OVER (ORDER BY l_shipdate DESC) AS upto FROM lineitem GROUP BY 1)
-SELECT n AS n_tied, (25000 - upto + n)::BIGINT AS n_slots, upto = 25000 AS deterministic FROM o WHERE upto >= 25000 AND upto - n < 25000""")
+SELECT coalesce(max(n), 0) AS n_tied, coalesce(max(25000 - upto + n), 0)::BIGINT AS n_slots, coalesce(bool_and(upto = 25000), true) AS deterministic
+FROM o WHERE upto >= 25000 AND upto - n < 25000""")
 def topn_cutoff_ties_deep(t):
     return O.topn_cutoff_ties(t.lineitem, ["l_shipdate desc"], 25_000)
 
