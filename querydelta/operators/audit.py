@@ -226,20 +226,32 @@ def declared_counts(cases: DataFrame, declared: DataFrame, suite: str) -> DataFr
     ).where("declared <> actual")
 
 
-def check_expectations(results: DataFrame, expectations: DataFrame, max_table_rows: int | None = None) -> DataFrame:
+def check_expectations(
+    results: DataFrame, expectations: DataFrame, max_table_rows: int | None = None, candidates: DataFrame | None = None
+) -> DataFrame:
     """One row per broken expectation.
 
     ``results``: id, status, conclusion, verdict, primary_rule, primary_grade,
-    repair_fixed, hint_safe, executed, replay_ok, has_evidence, table_rows.
-    ``expectations``: id, and any of status, conclusion, verdict (exact),
-    allowed_conclusions (array), forbid_conclusion, require_primary,
-    primary_rule, minimum_primary_grade, require_evidence, require_repair,
-    require_safe_hints. NULL expects nothing. Tables may have any size unless
-    ``max_table_rows`` is given.
+    repair_fixed, hint_safe, executed, replay_ok, has_evidence, table_rows, and
+    for require_witness has_database and distinguished. ``expectations``: id, and
+    any of status, conclusion, verdict (exact), allowed_statuses,
+    allowed_conclusions, allowed_verdicts (arrays), forbid_conclusion,
+    require_primary, primary_rule, candidate_rule, minimum_primary_grade,
+    require_witness, require_evidence, require_repair, require_safe_hints. NULL
+    expects nothing. ``candidates``: id and rule_id of all findings of a case,
+    among which candidate_rule must be; without it none is found. Tables may
+    have any size unless ``max_table_rows`` is given.
     """
     wanted = expectations.select("id", F.struct(*[name for name in expectations.columns if name != "id"]).alias("e"))
     names = set(expectations.columns)
     joined = results.join(wanted, "id")
+    found = F.lit(False)
+    if candidates is not None and "candidate_rule" in names:
+        rules = candidates.select("id", F.col("rule_id").alias("found__")).distinct()
+        joined = joined.withColumn("found__", F.col("e.candidate_rule")).join(
+            rules.withColumn("is_found__", F.lit(True)), ["id", "found__"], "left"
+        )
+        found = F.coalesce("is_found__", F.lit(False))
 
     def e(name: str, dtype: str = "string") -> Column:
         return F.col(f"e.{name}") if name in names else F.lit(None).cast(dtype)
@@ -258,11 +270,17 @@ def check_expectations(results: DataFrame, expectations: DataFrame, max_table_ro
                 F.concat(F.lit(f"{name}:expected="), e(name), F.lit(":actual="), text(F.col(name))),
             )
         )
+    for name, actual in (("allowed_statuses", "status"), ("allowed_conclusions", "conclusion"), ("allowed_verdicts", "verdict")):
+        listed = e(name, "array<string>")
+        failures.append(
+            F.when(
+                listed.isNotNull() & ~F.coalesce(F.array_contains(listed, F.col(actual)), F.lit(False)),
+                F.concat(F.lit(f"{name}:actual="), text(F.col(actual))),
+            )
+        )
     failures += [
         F.when(
-            e("allowed_conclusions", "array<string>").isNotNull()
-            & ~F.coalesce(F.array_contains(e("allowed_conclusions", "array<string>"), F.col("conclusion")), F.lit(False)),
-            F.concat(F.lit("allowed_conclusions:actual="), text(F.col("conclusion"))),
+            e("candidate_rule").isNotNull() & ~found, F.concat(F.lit("candidate_rule_missing:"), e("candidate_rule"))
         ),
         F.when(
             F.col("conclusion") == e("forbid_conclusion"),
@@ -294,6 +312,9 @@ def check_expectations(results: DataFrame, expectations: DataFrame, max_table_ro
         ),
         F.when(F.col("executed") & ~F.coalesce("replay_ok", F.lit(False)), F.lit("independent_replay_failed")),
     ]
+    if "require_witness" in names:
+        for column, failure in (("has_database", "witness_database_missing"), ("distinguished", "witness_not_distinguished")):
+            failures.append(F.when(e("require_witness", "boolean") & ~F.coalesce(column, F.lit(False)), F.lit(failure)))
     if max_table_rows is not None:
         failures.append(
             F.when(

@@ -15,7 +15,7 @@ from pyspark.sql.types import BooleanType, DataType, NumericType, StructField, S
 from querydelta.functions.keys import plain_digits
 from querydelta.functions.logic import as_column
 from querydelta.functions.sorting import SortKey, names
-from querydelta.operators.positions import first_rows, running
+from querydelta.operators.positions import first_rows, null_safe_lookup, running
 from querydelta.session import durable
 
 # The categories that seeded text columns cycle through, by a part of the column's name; the first counts.
@@ -236,12 +236,14 @@ def unapplied_overrides(df: DataFrame, slot: str, overrides: DataFrame, columns:
 
 def witness_sample(
     divergent: DataFrame, path: str, keys: Sequence[str], n_rows: int = 6,
-    diff: str | None = None, n_cases: int = 2,
+    diff: str | None = None, n_cases: int = 2, total: str | None = None,
 ) -> DataFrame:
     """The first ``n_rows`` rows per path by key, of the first ``n_cases`` paths per diff.
 
     The row limit is applied before the shuffle (window group limit), so a path
-    with very many rows sends a handful from each input partition.
+    with very many rows sends a handful from each input partition. ``total``
+    names a column with the number of all rows of the path, counted before the
+    shuffle as well, so a reader sees how many the sample leaves out.
     """
     groups = [path] if diff is None else [diff, path]
     rows = divergent
@@ -249,7 +251,73 @@ def witness_sample(
         cases = divergent.select(diff, path).distinct()
         cases = running(cases, [diff], [path], position="case__").where(F.col("case__") <= n_cases)
         rows = rows.join(cases.drop("case__"), groups, "left_semi")
-    return first_rows(rows, groups, list(keys), [], n_rows)
+    sample = first_rows(rows, groups, list(keys), [], n_rows)
+    if total is None:
+        return sample
+    return null_safe_lookup(sample, divergent.groupBy(*groups).agg(F.count(F.lit(1)).alias(total)), groups)
+
+
+def witness_availability(cases: DataFrame, effects: DataFrame, worlds: DataFrame, claims: DataFrame) -> DataFrame:
+    """What may be shown for each case: its ``availability``, the world and diff behind it, and why not more.
+
+    ``cases``: case_id, has_primary, incorrect. ``effects``, the outcomes of the
+    primary finding: case_id, diff_id, world_id, causal, distinguished,
+    constraints_satisfied (NULL: not known to fail), n_baseline, n_candidate.
+    ``worlds``: case_id and the selected world_id. ``claims``, the rows those
+    outcomes rest on: case_id, table_name, row_index, n_rows (of the table).
+
+    The effect chosen is a causal one before a distinguished one before any
+    other, then the first by diff_id (of equal ones the smallest row). Rows are shown only if it comes from the
+    selected world and a claim names a row that exists: ``CAUSAL_VERIFIED`` or
+    ``PAIR_DISTINGUISHED``. Without claims the latter remains for a
+    distinguished effect whose constraints do not fail; all else is
+    ``OUTPUT_ONLY``. A case without a primary finding has NULL unless its
+    result is incorrect. ``reason``: ``no_primary``, ``other_world``,
+    ``no_claims`` or ``no_such_row``. All four inputs meet in one aggregate per
+    case, so a case with very many effects is reduced before the shuffle.
+    """
+    rank = F.when(F.col("causal"), 0).when(F.col("distinguished"), 1).otherwise(2)
+    best = F.struct(
+        rank.alias("rank"), F.coalesce("diff_id", F.lit("")).alias("diff_id"), "world_id", "causal", "distinguished",
+        F.coalesce("constraints_satisfied", F.lit(True)).alias("holds"), "n_baseline", "n_candidate",
+    )
+    linked = (F.col("row_index") >= 0) & (F.col("row_index") < F.col("n_rows")) & F.col("table_name").isNotNull()
+    parts = [
+        cases.select("case_id", F.struct("has_primary", "incorrect").alias("case")),
+        effects.select("case_id", best.alias("effect")),
+        worlds.select("case_id", F.col("world_id").alias("selected")),
+        claims.select("case_id", F.when(linked, F.struct("table_name", "row_index")).alias("row"), F.lit(1).alias("claim")),
+    ]
+    tagged = parts[0]
+    for part in parts[1:]:
+        tagged = tagged.unionByName(part, allowMissingColumns=True)
+    met = tagged.groupBy("case_id").agg(
+        F.max("case").alias("case"), F.min("effect").alias("effect"), F.min("selected").alias("selected"),
+        F.count("claim").alias("n_claims"), F.count("row").alias("n_linked"),
+    ).where("case is not null")
+    primary = F.coalesce("case.has_primary", F.lit(False))
+    world, selected = F.nullif("effect.world_id", F.lit("")), F.nullif("selected", F.lit(""))
+    causal, distinguished = F.coalesce("effect.causal", F.lit(False)), F.coalesce("effect.distinguished", F.lit(False))
+    reason = (
+        F.when(~primary, "no_primary").when(world != selected, "other_world").when(F.col("n_claims") == 0, "no_claims")
+        .when(F.col("n_linked") == 0, "no_such_row")
+    )
+    shown = F.when(causal, "CAUSAL_VERIFIED").otherwise("PAIR_DISTINGUISHED")
+    availability = (
+        F.when(~primary, F.when(F.col("case.incorrect"), "OUTPUT_ONLY"))
+        .when(F.col("reason").isNull(), shown)
+        .when((F.col("reason") == "no_claims") & distinguished & F.col("effect.holds"), "PAIR_DISTINGUISHED")
+        .otherwise("OUTPUT_ONLY")
+    )
+    told = F.col("reason").isNull()
+    return met.withColumn("reason", reason).select(
+        "case_id", availability.alias("availability"), "reason",
+        F.when(told, F.coalesce(selected, world)).alias("world_id"),
+        F.when(primary, F.nullif("effect.diff_id", F.lit(""))).alias("diff_id"),
+        F.when(told, F.col("n_linked")).otherwise(0).alias("n_linked"),
+        F.when(primary, F.col("effect.n_baseline")).alias("n_baseline"),
+        F.when(primary, F.col("effect.n_candidate")).alias("n_candidate"),
+    )
 
 
 def witness_cells(sample: DataFrame, path: str, keys: Sequence[str], n_cells: int = 8) -> DataFrame:

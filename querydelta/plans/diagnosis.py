@@ -36,7 +36,10 @@ def diagnose(
     usable = durable(E.drop_redundant_summaries(durable(E.classify_rule(graded, nullable_columns))))
     if signals is not None:
         usable = durable(E.with_signals(usable, signals))
-    candidates = durable(E.build_candidates(usable))
+    candidates = E.build_candidates(usable)
+    if signals is not None:
+        candidates = candidates.unionByName(E.unscoped_candidates(usable, signals))
+    candidates = durable(candidates)
     members = durable(E.candidate_members(usable, candidates))
     edges = durable(E.causal_edges(candidates, members, deps))
     ranked = durable(E.rank_candidates(candidates, scope_ranks, edges))

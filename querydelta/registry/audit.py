@@ -177,6 +177,38 @@ def check_expectations(t):
     return A.check_expectations(_results(t), expectations, max_table_rows=32)
 
 
+@query("check_expectations_sets", f"""WITH {_RESULTS},
+  cand AS (SELECT DISTINCT l_orderkey AS id, CASE l_returnflag WHEN 'R' THEN 'S2_BOUNDARY' WHEN 'A' THEN 'S1_CARTESIAN_PRODUCT'
+      ELSE 'S5_CASE_INCOMPLETE' END AS rule_id FROM lineitem),
+  j AS (SELECT res.*, o_orderpriority = '1-URGENT' AS set_status, o_orderpriority = '2-HIGH' AS set_verdict,
+      CASE WHEN o_custkey % 2 = 0 THEN 'S2_BOUNDARY' WHEN o_custkey % 3 = 0 THEN 'S5_CASE_INCOMPLETE' END AS e_candidate,
+      o_orderpriority = '5-LOW' AS witnessed, o_totalprice > 50000 AS has_database FROM res JOIN orders ON id = o_orderkey)
+{' UNION ALL '.join([
+    _failure("set_status AND status <> 'SUPPORTED'", "'allowed_statuses:actual=' || status"),
+    _failure("set_verdict AND verdict <> 'INCORRECT'", "'allowed_verdicts:actual=' || verdict"),
+    _failure("e_candidate IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cand WHERE cand.id = j.id AND rule_id = e_candidate)",
+             "'candidate_rule_missing:' || e_candidate"),
+    _failure("witnessed AND NOT has_database", "'witness_database_missing'"),
+    _failure("witnessed AND NOT distinguished", "'witness_not_distinguished'"),
+    _failure("executed AND NOT replay_ok", "'independent_replay_failed'"),
+])}""")
+def check_expectations_sets(t):
+    priority, customer = F.col("o_orderpriority"), F.col("o_custkey")
+    flag = F.col("l_returnflag")
+    candidates = t.lineitem.select(
+        F.col("l_orderkey").alias("id"),
+        F.when(flag == "R", "S2_BOUNDARY").when(flag == "A", "S1_CARTESIAN_PRODUCT").otherwise("S5_CASE_INCOMPLETE").alias("rule_id"),
+    )
+    expectations = t.orders.select(
+        F.col("o_orderkey").alias("id"), F.when(priority == "1-URGENT", F.array(F.lit("SUPPORTED"))).alias("allowed_statuses"),
+        F.when(priority == "2-HIGH", F.array(F.lit("INCORRECT"))).alias("allowed_verdicts"),
+        F.when(customer % 2 == 0, "S2_BOUNDARY").when(customer % 3 == 0, "S5_CASE_INCOMPLETE").alias("candidate_rule"),
+        F.when(priority == "5-LOW", F.lit(True)).alias("require_witness"),
+    )
+    database = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") > 50000).alias("has_database"))
+    return A.check_expectations(_results(t).join(database, "id"), expectations, candidates=candidates)
+
+
 # A case is a user; the replay misses errors above a value and has another view value.
 @query("replay_agreement", """
 WITH a AS (SELECT user_id, event_type, round(value * 100)::BIGINT AS cents FROM events),

@@ -152,6 +152,51 @@ def witness_sample_cases(t):
     return D.witness_sample(_divergent(t), "l_returnflag", [*_KEYS, "quantity"], 3, diff="direction")
 
 
+@query("witness_sample_totals", f"""WITH {_DIVERGENT}, {_SAMPLE}
+SELECT s.*, (SELECT count(*) FROM d WHERE d.direction = s.direction) AS n_divergent FROM s""")
+def witness_sample_totals(t):
+    return D.witness_sample(_divergent(t), "direction", [*_KEYS, "quantity"], total="n_divergent")
+
+
+# A case is an order, an effect one of its lines in the world of its supplier; claims name lines of a table of 40 rows.
+@query("witness_availability", """
+WITH c AS (SELECT o_orderkey AS case_id, o_orderpriority <> '5-LOW' AS has_primary, o_orderstatus = 'F' AS incorrect,
+    CASE o_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'w1' ELSE 'w0' END AS selected FROM orders),
+  e AS (SELECT l_orderkey AS case_id, 'd' || l_linenumber AS diff_id, 'w' || l_suppkey % 2 AS world_id, l_returnflag = 'R' AS causal,
+      l_quantity > 25 AS distinguished, l_discount <> 0.05 AS holds, l_partkey AS n_baseline, l_suppkey AS n_candidate FROM lineitem
+    QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_returnflag = 'R' THEN 0 WHEN l_quantity > 25 THEN 1 ELSE 2 END,
+      l_linenumber, l_suppkey % 2, causal, distinguished, holds, l_partkey, l_suppkey) = 1),
+  k AS (SELECT l_orderkey AS case_id, count(*) AS n_claims, count(*) FILTER (WHERE l_partkey % 50 < 40) AS n_rows FROM lineitem
+    WHERE l_linestatus = 'F' GROUP BY 1),
+  r AS (SELECT *, CASE WHEN NOT has_primary THEN 'no_primary' WHEN world_id <> selected THEN 'other_world'
+      WHEN coalesce(n_claims, 0) = 0 THEN 'no_claims' WHEN n_rows = 0 THEN 'no_such_row' END AS reason
+    FROM c LEFT JOIN e USING (case_id) LEFT JOIN k USING (case_id))
+SELECT case_id, reason,
+  CASE WHEN NOT has_primary THEN CASE WHEN incorrect THEN 'OUTPUT_ONLY' END
+    WHEN reason IS NULL THEN CASE WHEN causal THEN 'CAUSAL_VERIFIED' ELSE 'PAIR_DISTINGUISHED' END
+    WHEN reason = 'no_claims' AND distinguished AND holds THEN 'PAIR_DISTINGUISHED' ELSE 'OUTPUT_ONLY' END AS availability,
+  CASE WHEN reason IS NULL THEN coalesce(selected, world_id) END AS world_id, CASE WHEN has_primary THEN diff_id END AS diff_id,
+  CASE WHEN reason IS NULL THEN n_rows ELSE 0 END AS n_linked, CASE WHEN has_primary THEN n_baseline END AS n_baseline,
+  CASE WHEN has_primary THEN n_candidate END AS n_candidate FROM r""")
+def witness_availability(t):
+    case, line = F.col("o_orderkey").alias("case_id"), F.col("l_orderkey").alias("case_id")
+    cases = t.orders.select(
+        case, (F.col("o_orderpriority") != "5-LOW").alias("has_primary"), (F.col("o_orderstatus") == "F").alias("incorrect")
+    )
+    turn = F.col("o_custkey") % 4
+    worlds = t.orders.select(case, F.when(turn == 1, "w1").when(turn > 1, "w0").alias("world_id"))
+    effects = t.lineitem.select(
+        line, F.concat(F.lit("d"), "l_linenumber").alias("diff_id"), F.concat(F.lit("w"), F.col("l_suppkey") % 2).alias("world_id"),
+        (F.col("l_returnflag") == "R").alias("causal"), (F.col("l_quantity") > 25).alias("distinguished"),
+        (F.col("l_discount") != 0.05).alias("constraints_satisfied"), F.col("l_partkey").alias("n_baseline"),
+        F.col("l_suppkey").alias("n_candidate"),
+    )
+    claims = t.lineitem.where("l_linestatus = 'F'").select(
+        line, F.lit("part").alias("table_name"), (F.col("l_partkey") % 50).alias("row_index"), F.lit(40).alias("n_rows")
+    )
+    return D.witness_availability(cases, effects, worlds, claims)
+
+
 @query("witness_cells", f"""WITH {_DIVERGENT}, {_SAMPLE},
   c AS (SELECT direction, rank, unnest(['l_orderkey', 'l_linenumber', 'l_returnflag', 'l_partkey', 'quantity']) AS "column",
                unnest([l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_returnflag, l_partkey::VARCHAR, quantity::VARCHAR]) AS value,

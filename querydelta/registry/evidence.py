@@ -291,6 +291,18 @@ def build_candidates(t):
     return E.build_candidates(_detected(t))
 
 
+@query("unscoped_candidates", f"""WITH {_SIGNALS}
+SELECT case_id, 'unscoped:signal:aggregate-in-where' AS scope_id, 'S2_AGGREGATE_IN_WHERE' AS rule_id, 'candidate_' || substr(sha256(
+    '{{"diff_digest":"0","n_diffs":"0","rule_id":"S2_AGGREGATE_IN_WHERE","scope_id":"unscoped:signal:aggregate-in-where"}}'), 1, 16) AS candidate_id,
+  'EXTENSION' AS logical_stage, 12 AS stage_rank, 'S2' AS teaching_stage, 0::BIGINT AS n_diffs, 0::BIGINT AS n_verified,
+  'OUTPUT_ONLY' AS evidence_grade, 1 AS grade_rank, 0.55::DOUBLE AS confidence, 0.6::DOUBLE AS severity, false AS blocking
+FROM cases WHERE aggregate_in_where
+  AND case_id NOT IN (SELECT case_id FROM usable WHERE rule_id = 'S2_AGGREGATE_IN_WHERE')
+  AND case_id NOT IN (SELECT case_id FROM extra WHERE rule_id = 'S2_AGGREGATE_IN_WHERE')""")
+def unscoped_candidates(t):
+    return E.unscoped_candidates(_detected(t), _cases(t))
+
+
 _MEMBERS = f"""{_CANDIDATES},
   members AS (SELECT case_id, candidate_id, scope_id, rule_id, diff_id, max(d.grade_rank) >= 3 AS verified
     FROM detailed d JOIN candidates USING (case_id, scope_id, rule_id) GROUP BY ALL)"""

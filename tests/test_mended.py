@@ -12,7 +12,7 @@ from querydelta.functions.vocabulary import PROBES_OF_TYPE
 from querydelta.operators import audit as A
 from querydelta.operators import datagen as D
 from querydelta.operators.datagen import seed_value
-from querydelta.operators.evidence import hint_slot, logical_stage
+from querydelta.operators.evidence import hint_slot, logical_stage, unscoped_candidates
 from querydelta.operators.hierarchy import hierarchy_reach
 
 
@@ -106,3 +106,67 @@ def test_one_hint_per_case_in_one_language(rows):
         got = {r.case_id: r.message for r in hint_slot(packages, 1, texts, language).collect()}
         assert got == {1: extra, 2: "No difference was found on the data."}
     assert hint_slot(packages, 1, texts.where("language = 'zh'").drop("language")).count() == 2
+
+
+def test_expected_sets_rules_and_witnesses(rows):
+    results = rows(
+        "id int, status string, conclusion string, verdict string, primary_rule string, primary_grade string, repair_fixed int, "
+        "hint_safe boolean, executed boolean, replay_ok boolean, has_evidence boolean, table_rows int, has_database boolean, distinguished boolean",
+        (1, "A", None, "V", None, None, 0, True, False, True, True, 1, True, None), (2, None, None, "W", None, None, 0, True, False, True, True, 1, None, True),
+        (3, "A", None, "V", None, None, 0, True, False, True, True, 1, None, None),
+    )
+    expected = rows(
+        "id int, allowed_statuses array<string>, allowed_verdicts array<string>, candidate_rule string, require_witness boolean",
+        (1, ["A", "B"], ["W"], "R1", True), (2, ["A"], ["V", "W"], "R1", True), (3, None, None, None, None),
+    )
+    candidates = rows("id int, rule_id string", (1, "R1"), (1, "R1"), (2, "R2"), (2, None), (3, "R1"))
+    got = sorted(tuple(row) for row in A.check_expectations(results, expected, candidates=candidates).collect())
+    assert got == [
+        (1, "allowed_verdicts:actual=V"), (1, "witness_not_distinguished"), (2, "allowed_statuses:actual=None"),
+        (2, "candidate_rule_missing:R1"), (2, "witness_database_missing"),
+    ]
+    none = sorted(row.failure for row in A.check_expectations(results, expected).collect() if row.failure.startswith("candidate"))
+    assert none == ["candidate_rule_missing:R1"] * 2
+
+
+def test_witness_availability(rows):
+    cases = rows(
+        "case_id int, has_primary boolean, incorrect boolean",
+        *[(i, True, True) for i in range(1, 7)], (7, False, True), (8, False, False), (9, None, None), (10, True, True),
+    )
+    effects = rows(
+        "case_id int, diff_id string, world_id string, causal boolean, distinguished boolean, constraints_satisfied boolean, "
+        "n_baseline bigint, n_candidate bigint",
+        (1, "b", "w", True, True, None, 5, 6), (1, "a", "v", False, True, True, 1, 2), (2, "a", "v", True, True, True, 1, 2),
+        (3, "a", None, None, True, None, 1, 2), (4, "a", "w", False, True, False, 1, 2), (5, "a", "w", True, True, True, 1, 2),
+        (6, None, "", None, True, True, 3, 4), (7, "a", "w", True, True, True, 1, 2), (99, "a", "w", True, True, True, 1, 2),
+    )
+    worlds = rows("case_id int, world_id string", (1, "w"), (2, "w"), (5, "w"), (6, "w"))
+    claims = rows(
+        "case_id int, table_name string, row_index int, n_rows int",
+        (1, "t", 0, 1), (1, "t", 1, 1), (2, "t", 0, 1), (5, "t", -1, 9), (5, None, 0, 9), (5, "t", None, 9), (6, "t", 0, 1),
+    )
+    got = {
+        row.case_id: (row.availability, row.reason, row.world_id, row.diff_id, row.n_linked)
+        for row in D.witness_availability(cases, effects, worlds, claims).collect()
+    }
+    assert got == {
+        1: ("CAUSAL_VERIFIED", None, "w", "b", 1), 2: ("OUTPUT_ONLY", "other_world", None, "a", 0),
+        3: ("PAIR_DISTINGUISHED", "no_claims", None, "a", 0), 4: ("OUTPUT_ONLY", "no_claims", None, "a", 0),
+        5: ("OUTPUT_ONLY", "no_such_row", None, "a", 0), 6: ("PAIR_DISTINGUISHED", None, "w", None, 1),
+        7: ("OUTPUT_ONLY", "no_primary", None, None, 0), 8: (None, "no_primary", None, None, 0),
+        9: (None, "no_primary", None, None, 0), 10: ("OUTPUT_ONLY", "no_claims", None, None, 0),
+    }
+
+
+def test_witness_totals(rows):
+    df = rows("path string, k int", *[("a", i) for i in range(9)], (None, 1), (None, 2))
+    got = {(row.path, row.k, row.n) for row in D.witness_sample(df, "path", ["k"], 2, total="n").collect()}
+    assert got == {("a", 0, 9), ("a", 1, 9), (None, 1, 2), (None, 2, 2)}
+
+
+def test_unscoped_candidates(rows):
+    diffs = rows("case_id int, rule_id string", (1, "S2_AGGREGATE_IN_WHERE"), (2, "S2_BOUNDARY"))
+    cases = rows("case_id int, aggregate_in_where boolean", (1, True), (2, True), (2, True), (3, False), (4, None), (5, True))
+    got = {row.case_id: (row.n_diffs, row.evidence_grade, row.blocking) for row in unscoped_candidates(diffs, cases).collect()}
+    assert got == {2: (0, "OUTPUT_ONLY", False), 5: (0, "OUTPUT_ONLY", False)}
