@@ -1,9 +1,11 @@
 """Personal data: fixed patterns, and a character tagger that finds what they leave.
 
 The patterns of the four kinds give base spans. A bidirectional LSTM over characters
-with a CRF on top, trained in numpy on base spans of a bounded sample, scores windows of 64
+with a CRF on top, trained in numpy on the base spans of a bounded sample and on the same spans rewritten in
+forms that the patterns miss (phones without ``+``, other separators, letters beyond ASCII), scores windows of 64
 characters that overlap by half. Where windows overlap their scores are averaged, and each stretch of
-windows is decoded at once, so a span may reach over any number of them. Spans that pass the check of their
+windows is decoded at once, so a span may reach over any number of them. Spans are widened to the ends of their word
+or number. Those that pass the check of their
 kind and touch no base span compete, and the set without overlaps and with the highest total margin is added.
 
 A span of any kind holds a digit or ``@``, and one that is added holds one outside all base
@@ -13,11 +15,12 @@ spans; so windows without such a character are not scored, but for those over th
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querydelta.llm.batches import document_columns, map_columns, replace_texts
@@ -27,9 +30,11 @@ Span = tuple[int, int, str]
 
 #: Characters of a window, and the step between two.
 WINDOW, STRIDE = 64, 32
-#: Documents that the tagger learns from, windows taken of each, and windows in all.
-TRAINING_DOCUMENTS, WINDOWS_PER_DOCUMENT, TRAINING_WINDOWS = 8_000, 8, 1_500
-_EMBED, _HIDDEN, _EPOCHS, _BATCH = 12, 16, 10, 64
+#: Documents that the tagger learns from, and windows in all: one half with spans, one half without.
+TRAINING_DOCUMENTS, TRAINING_WINDOWS = 8_000, 2_400
+#: Forms in which each span is shown besides its own.
+FORMS = 6
+_EMBED, _HIDDEN, _UPDATES, _BATCH = 12, 16, 400, 64
 _SYMBOLS = 130
 TAGS = ("O", *[f"{place}-{kind}" for kind in KINDS for place in "BI"])
 
@@ -40,6 +45,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+#: Numbers as tagged: parts of an address in brackets, and groups of a card with one or two separators.
+_TAGGED_IP = re.compile(r"[0-9]+(?:[\[(]?\.[\])]?[0-9]+){3}")
+_TAGGED_CARD = re.compile(r"[0-9](?:[\x20._/-]{0,2}[0-9])+")
+_TAGGED_PHONE = re.compile(r"[+(]?[0-9](?:[\x20().+/-]{0,2}[0-9])+")
+_LOWER, _ACCENTED = "abcdefghijklmnopqrstuvwxyz", "äöüéèñçø"
 
 
 def _digits(text: str) -> str:
@@ -94,12 +104,97 @@ def _plausible(text: str, kind: str) -> bool:
         local, at, domain = text.partition("@")
         return bool(local and at and "." in domain.strip(".") and "@" not in domain and not any(c.isspace() for c in text))
     if kind == "ip":
-        return bool(_IP.fullmatch(text)) and _is_ip(text)
+        return bool(_TAGGED_IP.fullmatch(text)) and _is_ip(re.sub(r"[\[\]()]", "", text))
     if kind == "card":
-        return bool(_CARD.fullmatch(text)) and _is_card(text)
-    return _is_phone(text) and text[0] in "+(0123456789" and text[-1].isdigit() and any(not c.isdigit() for c in text) and all(
-        c in " ().-/+" or c in "0123456789" for c in text
-    )
+        return bool(_TAGGED_CARD.fullmatch(text)) and _is_card(text)
+    return bool(_TAGGED_PHONE.fullmatch(text)) and _is_phone(text) and not text.isdigit()
+
+
+def widened(text: str, span: Span) -> Span:
+    """The span up to the ends of its address or number, without blanks or stops at its ends."""
+    start, end, kind = span
+    inner = "._%+-@" if kind == "email" else ""
+
+    def belongs(char: str) -> bool:
+        return char.isalnum() or char in inner if kind == "email" else "0" <= char <= "9"
+
+    while start > 0 and belongs(text[start - 1]):
+        start -= 1
+    while end < len(text) and belongs(text[end]):
+        end += 1
+    loose = "._%+-" if kind == "email" else " .-/_)[]"
+    while start < end and (text[start] in loose or text[start].isspace()):
+        start += 1
+    while start < end and not text[end - 1].isalnum():
+        end -= 1
+    if kind == "phone" and start and (text[start - 1] == "+" or text[start - 1] == "(" and ")" in text[start:end].partition("(")[0]):
+        start -= 1
+    return start, end, kind
+
+
+def _whole(text: str, span: Span) -> bool:
+    """No number is a part of a longer one, with a separator between."""
+    start, end, kind = span
+    before = start > 1 and text[start - 1] in "-./_" and text[start - 2].isdigit()
+    after = end + 1 < len(text) and text[end] in "-./_" and text[end + 1].isdigit()
+    return kind == "email" or not (before or after)
+
+
+def variant(piece: str, kind: str, turn: int) -> str:
+    """A base span with other letters and digits, in a form that the patterns miss; ``turn`` chooses them and the form."""
+    rng = np.random.default_rng(turn)
+    pool = {True: _LOWER + _ACCENTED * 2, False: _LOWER}
+
+    def other(text: str, accents: bool) -> str:
+        letters, numbers = rng.choice(list(pool[accents]), len(text)), rng.integers(0, 10, len(text))
+        return "".join([str(n) if c in "0123456789" else new if c.isalpha() else c for c, new, n in zip(text, letters, numbers, strict=True)])
+
+    form, digits = int(rng.integers(0, 1 << 16)), other(_digits(piece), False)
+    if kind == "email":
+        local, _, domain = piece.partition("@")
+        label, dot, rest = domain.partition(".")
+        middle = len(label) // 2
+        label = other(label[:middle], False) + _ACCENTED[form % len(_ACCENTED)] + other(label[middle:], form % 2 > 0)
+        return f"{other(local, form % 3 > 0)}@{label}{dot}{rest}"
+    if kind == "ip":
+        return (".", "[.]", "(.)")[1 + form % 2].join([digits[at : at + 1 + (form >> at) % 2] for at in (0, 2, 4, 6)])
+    if kind == "card":
+        return (".", "/", "_", "  ")[form % 4].join([digits[at : at + 4] for at in range(0, len(digits), 4)])
+    a, b, c = digits[:3], digits[3:6], digits[6:10]
+    return (
+        f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"0{a} {b}{c[:1]} {c}", f"00{a[:2]} {a[2:]}{b[:1]} {b}{c}",
+        f"({a}) {b} {c}", f"0{a[:2]} {a[2:]}{b} {c}", f"0{a}/{b}{c}",
+    )[form % 9]
+
+
+def harmless(turn: int) -> str:
+    """A number that is nobody's: a count in groups, a date, a range of years, a book number, a version; ``turn`` chooses."""
+    rng = np.random.default_rng(turn)
+    d = "".join(map(str, rng.integers(0, 10, 16)))
+    mark = " .,"[int(rng.integers(3))]
+    return (
+        f"{d[0]}{mark}{d[1:4]}{mark}{d[4:7]}{mark}{d[7:10]}", f"{d[:2]}{mark}{d[2:5]}{mark}{d[5:8]}{mark}{d[8:11]}", f"20{d[:2]}-0{d[2]}-1{d[3]} {d[4:6]}:{d[6:8]}:{d[8:10]}",
+        f"19{d[:2]}-20{d[2:4]}", f"978-{d[0]}-{d[1:3]}-{d[3:9]}-{d[9]}", f"{d[0]}.{d[1:3]}.{d[3]}", f"{d[:2]}.{d[2:4]}.20{d[4:6]}, {d[6:8]}:{d[8:10]}",
+    )[int(rng.integers(7))]
+
+
+def rewritten(text: str, spans: list[Span], turn: int = 0) -> tuple[str, list[Span], list[Span]]:
+    """The text with its spans in forms that the patterns miss, every fourth as a harmless number, and where both are now.
+
+    A span that starts in another stays out.
+    """
+    out, moved, plain, at, size = [], [], [], 0, 0
+    for start, end, kind in spans:
+        if start < at:
+            continue
+        seed = zlib.crc32(text[start:end].encode("utf-8", "surrogatepass")) + turn
+        is_plain = seed % 4 == 0
+        piece = harmless(seed) if is_plain else variant(text[start:end], kind, seed)
+        out += [text[at:start], piece]
+        size += start - at
+        (plain if is_plain else moved).append((size, size + len(piece), kind))
+        size, at = size + len(piece), end
+    return "".join([*out, text[at:]]), moved, plain
 
 
 def symbols(text: str) -> np.ndarray:
@@ -319,8 +414,8 @@ class Tagger:
                 here, gains = tags[first : first + places], margin[first : first + places]
                 first += places
                 for low, high, kind in _runs(here.tolist()) if here.any() else ():
-                    span, gain = (start + low, start + high, kind), float(gains[low:high].sum())
-                    if gain > 0 and _plausible(texts[at][span[0] : span[1]], kind):
+                    span, gain = widened(texts[at], (start + low, start + high, kind)), float(gains[low:high].sum())
+                    if gain > 0 and _whole(texts[at], span) and _plausible(texts[at][span[0] : span[1]], kind):
                         found[at][span] = gain
             waiting.clear()
             rows.clear()
@@ -374,14 +469,14 @@ def reconcile(candidates: dict[Span, float], fixed: list[Span]) -> list[Span]:
     return out
 
 
-def fit(ids: np.ndarray, tags: np.ndarray, epochs: int = _EPOCHS, rate: float = 0.02, seed: int = 7) -> Tagger:
-    """Adam over mini-batches of windows; no windows leave the tagger as it starts, tagging nothing well enough to count."""
+def fit(ids: np.ndarray, tags: np.ndarray, updates: int = _UPDATES, rate: float = 0.02, seed: int = 7) -> Tagger:
+    """Adam, ``updates`` mini-batches of windows however many there are; no windows leave the tagger as it starts, tagging nothing well enough to count."""
     tagger, rng = Tagger.new(seed), np.random.default_rng(seed)
     mean, square = ({name: np.zeros_like(value) for name, value in tagger.p.items()} for _ in range(2))
     turn = 0
-    for _ in range(epochs):
+    while turn < updates and len(ids):
         order = rng.permutation(len(ids))
-        for first in range(0, len(ids), _BATCH):
+        for first in range(0, len(ids), _BATCH)[: updates - turn]:
             rows = order[first : first + _BATCH]
             _, slopes = tagger.gradients(ids[rows], tags[rows])
             size = np.sqrt(sum((slope**2).sum() for slope in slopes.values()))
@@ -395,25 +490,35 @@ def fit(ids: np.ndarray, tags: np.ndarray, epochs: int = _EPOCHS, rate: float =
     return tagger
 
 
-def labelled_windows(texts: list[str], per_document: int = WINDOWS_PER_DOCUMENT) -> tuple[list[bytes], list[bytes]]:
-    """Windows of each text over digits and ``@``, the first ``per_document``, and their tags by base spans."""
+def labelled_windows(texts: list[str]) -> tuple[list[bytes], list[bytes], list[bool]]:
+    """All windows of each text over digits and ``@``, those over its rewritten spans, their tags, and whether there are any."""
     rows, tags = [], []
     for text in texts:
-        marks, spans = symbols(text), base_spans(text)
-        for start in window_starts(marks, [])[:per_document]:
-            rows.append(_window(marks, start).tobytes())
-            tags.append(tag_row(spans, start).tobytes())
-    return rows, tags
+        spans = base_spans(text)
+        forms = [rewritten(text, spans, turn) for turn in range(FORMS)] if spans else []
+        for own, places, plain in ((text, spans, None), *forms):
+            marks = symbols(own)
+            for start in window_starts(marks, []):
+                tag = tag_row(places, start)
+                if plain is None or tag.any() or tag_row(plain, start).any():
+                    rows.append(_window(marks, start).tobytes())
+                    tags.append(tag.tobytes())
+    return rows, tags, [any(tag) for tag in tags]
 
 
 def train(docs: DataFrame, training_documents: int = TRAINING_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
-    """Learn from windows of about ``training_documents`` rows that hold a digit or ``@``, chosen by a hash of the id."""
+    """Learn from windows over the whole texts of about ``training_documents`` rows that hold a digit or ``@``.
+
+    Rows are chosen by a hash of id and text, of their distinct windows those with the smallest hashes, half of them with
+    spans: ``TRAINING_WINDOWS`` rows reach the driver, however often a row is repeated. None leave the tagger untrained.
+    """
     texts = document_columns(docs, id_col, text_col).where(F.col("text").rlike("[0-9@]"))
-    share = min(1.0, training_documents / max(1, docs.count()))
-    chosen = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("pii")), 11) < int(share * (1 << 53))
-    found = map_columns(texts.where(chosen).select("text"), labelled_windows, "row binary, tags binary").collect()
-    found = sorted(found)[: 4 * TRAINING_WINDOWS]
-    found = found[:: max(1, len(found) // TRAINING_WINDOWS)]
+    share = min(1.0, training_documents / max(1, texts.count()))
+    chosen = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("pii")), 11) < int(share * (1 << 53))
+    windows = map_columns(texts.where(chosen).select("text"), labelled_windows, "row binary, tags binary, tagged boolean")
+    place = F.row_number().over(Window.partitionBy("tagged").orderBy(F.xxhash64("row", "tags"), "row", "tags"))
+    kept = windows.distinct().withColumn("place", place).where(F.col("place") <= TRAINING_WINDOWS // 2)
+    found = sorted(kept.select("row", "tags").collect())
     ids = np.array([np.frombuffer(x.row, np.uint8) for x in found], np.uint8).reshape(-1, WINDOW)
     tags = np.array([np.frombuffer(x.tags, np.uint8) for x in found], np.uint8).reshape(-1, WINDOW)
     return fit(ids, tags)

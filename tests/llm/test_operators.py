@@ -405,3 +405,61 @@ def test_pipeline(spark, odd):
     leaked = {row.doc_id for row in decontaminate.find_passages(labels, benchmark).collect()}
     assert kept == single - leaked and all(row.n_tokens == len(row.ids) for row in rows)
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def _texts_with_spans(n, seed):
+    rng = np.random.default_rng(seed)
+    words = "the order was sent to our office and paid by them later this week without any further delay or note".split()
+    texts = []
+    for at in range(n):
+        said = rng.choice(words, 24).tolist()
+        d = "".join(map(str, rng.integers(0, 10, 12)))
+        span = (
+            f"{rng.choice(words)}.{rng.choice(words)}{d[:2]}@{rng.choice(words)}.example.com", f"10.{int(d[:2])}.{int(d[2:4])}.{d[4]}",
+            "4111 1111 1111 1111", f"+1 {d[:3]} {d[3:6]} {d[6:10]}",
+        )[at % 4]
+        said[12] = span
+        texts.append(" ".join(said))
+    return texts
+
+
+def test_tagger_adds_spans_that_the_patterns_miss():
+    rows, tags, tagged = pii.labelled_windows(_texts_with_spans(160, 1))
+    chosen = [np.array([np.frombuffer(x, np.uint8) for x in part], np.uint8) for part in (rows, tags)]
+    assert 0 < sum(tagged) < len(tagged) and all(any(tag) == has for tag, has in zip(tags, tagged, strict=True))
+    tagger = pii.fit(*chosen, updates=250)
+    hits, tries = collections.Counter(), collections.Counter()
+    for at, text in enumerate(_texts_with_spans(200, 2)):
+        base = pii.base_spans(text)
+        for turn in range(3):
+            shown, places, _ = pii.rewritten(text, base, 10**6 + turn)
+            if places and not pii.base_spans(shown):
+                (start, end, kind), found = places[0], tagger.spans([shown], [[]])[0]
+                if pii._plausible(shown[start:end], kind):
+                    tries[kind] += 1
+                    hits[kind] += places[0] in found
+    assert set(tries) >= {"email", "ip", "phone"}
+    for kind in ("email", "ip", "phone"):
+        assert hits[kind] >= 0.6 * tries[kind], (hits, tries)
+    numbers = [f"they sold {pii.harmless(turn)} of them in the end" for turn in range(10**6, 10**6 + 200)]
+    base = [pii.base_spans(text) for text in numbers]
+    assert sum(map(len, tagger.spans(numbers, base))) <= 10
+
+
+def test_spans_end_with_their_word_or_number():
+    text = "to anna@exämple.com, or (212) 555-0100."
+    at = text.index("na@")
+    assert pii.widened(text, (at, at + 8, "email")) == (3, text.index(","), "email")
+    at = text.index("212")
+    assert pii.widened(text, (at, len(text) - 2, "phone")) == (at - 1, len(text) - 1, "phone")
+    assert not pii._whole("978-3-16-148410-0", (4, 17, "phone")) and pii._whole("a 212-555-0100.", (2, 14, "phone"))
+
+
+def test_training_windows_stay_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda ids, tags: seen.append((len(ids), len({x.tobytes() for x in ids}))))
+    monkeypatch.setattr(pii, "TRAINING_WINDOWS", 40)
+    texts = _texts_with_spans(60, 3)
+    docs = spark.createDataFrame([(7, "mail a@b.de or 10.0.0.1")] * 3000 + list(enumerate(texts)), "doc_id long, text string")
+    pii.train(docs)
+    assert seen[0][0] == 40
