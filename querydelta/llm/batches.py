@@ -112,3 +112,14 @@ def map_groups(df: DataFrame, keys: Sequence[str], function: Callable[[list[tupl
                 )
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, types)
+
+
+def hash_sample(rows: DataFrame, share: float, salt: str, columns: list[str]) -> DataFrame:
+    """The rows whose hash of ``columns``, added as ``place``, lies in the lowest ``share`` of all hashes; equal rows go together."""
+    place = F.shiftrightunsigned(F.xxhash64(*columns, F.lit(salt)), 11)
+    return rows.withColumn("place", place).where(F.col("place") < int(share * (1 << 53)))
+
+
+def smallest(sample: DataFrame, k: int) -> DataFrame:
+    """One row per ``place``, the ``k`` with the smallest: bounded however often a row is repeated, in a fixed order."""
+    return sample.dropDuplicates(["place"]).orderBy("place").limit(k)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querydelta.llm.batches import document_columns, keep_rows, map_columns, slices
+from querydelta.llm.batches import document_columns, hash_sample, keep_rows, map_columns, slices, smallest
 from querydelta.llm.shingles import PLAIN, mix
 
 #: Texts that the scorer learns from.
@@ -227,19 +227,19 @@ class QualityModel:
 
 
 def train(docs: DataFrame, training_documents: int = TRAINING_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Vote patterns are counted over all rows; about ``training_documents`` of them, by a hash of the id, train the scorer."""
+    """Vote patterns are counted over all rows; at most ``training_documents`` distinct ones, by a hash of the row, train the scorer."""
     rows = document_columns(docs, id_col, text_col)
     patterns, counts = count_patterns(rows)
     labels = fit_labels(patterns, counts)
     share = min(1.0, training_documents / max(1.0, counts.sum()))
-    chosen = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("quality")), 11) < int(share * (1 << 53))
-
-    def features_of(texts):
+    def features_of(texts, places):
         shares, features, words = describe(texts)
         kept = np.flatnonzero(words > 0)
-        return [features[at].tobytes() for at in kept], (1 - labels.posterior(votes(shares)))[kept]
+        return [features[at].tobytes() for at in kept], (1 - labels.posterior(votes(shares)))[kept], [places[at] for at in kept]
 
-    sample = map_columns(rows.where(chosen).select("text"), features_of, "features binary, sound double").collect()
+    chosen = hash_sample(rows, share, "quality", ["doc_id", "text"])
+    described = map_columns(chosen.select("text", "place"), features_of, "features binary, sound double, place bigint")
+    sample = smallest(described, training_documents).collect()
     features = np.array([np.frombuffer(row.features, np.float32) for row in sample]).reshape(-1, FEATURES)
     return QualityModel(labels, fit_scorer(features, np.array([row.sound for row in sample])))
 

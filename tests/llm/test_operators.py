@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from querydelta.llm import (
-    bpe, chunks, components, decontaminate, langid, licences, neardup, packing, pii, quality, sharding, shingles,
+    batches, bpe, chunks, components, decontaminate, langid, licences, neardup, packing, pii, quality, sharding, shingles,
 )
 from querydelta.llm.scratch import Scratch
 
@@ -463,3 +463,22 @@ def test_training_windows_stay_bounded(spark, monkeypatch):
     docs = spark.createDataFrame([(7, "mail a@b.de or 10.0.0.1")] * 3000 + list(enumerate(texts)), "doc_id long, text string")
     pii.train(docs)
     assert seen[0][0] == 40
+
+
+def test_marks_stay_in_their_words():
+    def reduced(text):
+        codes, ends = langid.letters([text, "x"])
+        return "".join(map(chr, codes[: ends[0]]))
+
+    assert reduced("हिन्दी है") == " हिन्दी है "
+    assert reduced("a \u0301\u0301b 1\ufe0f c\u0301") == " a b c\u0301 "
+    assert reduced("\u0301") == reduced("1\ufe0f") == reduced("") == ""
+
+
+def test_samples_stay_bounded_when_a_row_is_repeated(spark):
+    for salt in ("quality", "calibration"):
+        rows = spark.range(2000).selectExpr("id % 400 div 100 * 0 as doc_id", "cast(if(id < 1500, 0, id) as string) as text")
+        found = batches.smallest(batches.hash_sample(rows, 1.0, salt, ["doc_id", "text"]), 50).collect()
+        assert len(found) == 50 == len({row.text for row in found})
+    docs = spark.createDataFrame([(1, "one and the same plain sentence about the weather in the town.")] * 500, "doc_id long, text string")
+    assert quality.score_documents(docs, training_documents=20).count() == 500
