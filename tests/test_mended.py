@@ -170,3 +170,21 @@ def test_unscoped_candidates(rows):
     cases = rows("case_id int, aggregate_in_where boolean", (1, True), (2, True), (2, True), (3, False), (4, None), (5, True))
     got = {row.case_id: (row.n_diffs, row.evidence_grade, row.blocking) for row in unscoped_candidates(diffs, cases).collect()}
     assert got == {2: (0, "OUTPUT_ONLY", False), 5: (0, "OUTPUT_ONLY", False)}
+
+
+def test_lines_stay_dealt_by_order_until_they_are_graded(spark):
+    from querydelta.registry import evidence
+    from querydelta.session import _SHARED_KEYS
+    from querydelta.sources.tables import Tables
+
+    settings = {_SHARED_KEYS: "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        plan = evidence._graded(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    # the lines of the diffs, the effects and the mutations, and the orders; no join deals rows again
+    assert plan.count("Exchange ") == 4
