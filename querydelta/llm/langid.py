@@ -19,14 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querydelta.llm.batches import document_columns, hash_sample, map_columns, slices, smallest
 from querydelta.llm.scratch import Scratch
 
-#: Most frequent n-grams kept per language; it bounds the model, all others are reached by interpolation.
-MODEL_NGRAMS = 500_000
 #: Documents by which scores and rejection are calibrated.
 CALIBRATION_DOCUMENTS = 2_000
 #: Share of a language's own calibration documents that the rejection limit lets through.
@@ -266,18 +264,13 @@ def calibrate(entropies: np.ndarray, sizes: np.ndarray, truth: np.ndarray, n_lan
     return Calibration(best[1], limits)
 
 
-def train(training: DataFrame, scratch: Scratch, model_ngrams: int = MODEL_NGRAMS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """The trigrams and counts of each language of ``text, lang``, at most ``model_ngrams`` of the most frequent.
+def train(training: DataFrame, scratch: Scratch) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """All trigrams of each language of ``text, lang`` with their counts.
 
-    That bound, and the number of languages, limit what the driver holds. The least count to keep is read off the
-    number of n-grams with each count, so no language is sorted.
+    The driver holds each different trigram of a language once. Their number follows the alphabets and spellings of
+    the languages, not the rows.
     """
-    counted = scratch.table("ngrams", count_ngrams(training.where("lang is not null and text is not null")))
-    with_count = counted.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("ngrams"))
-    upto = F.sum("ngrams").over(Window.partitionBy("lang").orderBy(F.desc("n")))
-    least = with_count.withColumn("upto", upto).where(F.col("upto") <= model_ngrams).groupBy("lang").agg(F.min("n").alias("least"))
-    kept = counted.join(F.broadcast(least), "lang").where("n >= least").select("lang", "ngram", "n")
-    found = kept.toArrow()
+    found = scratch.table("ngrams", count_ngrams(training.where("lang is not null and text is not null"))).toArrow()
     scratch.drop("ngrams")
     langs, keys, counts = (found.column(name).to_numpy(zero_copy_only=False) for name in ("lang", "ngram", "n"))
     out = {}
@@ -320,7 +313,7 @@ def _calibration(training: DataFrame, shared, langs: list[str], documents: int)
 
 
 def identify_languages(
-    docs: DataFrame, held_out: Column, lang_col: str = "lang", model_ngrams: int = MODEL_NGRAMS,
+    docs: DataFrame, held_out: Column, lang_col: str = "lang",
     calibration_documents: int = CALIBRATION_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, entropy, rejected`` of every row.
@@ -335,7 +328,7 @@ def identify_languages(
         docs, id_col, text_col, F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(lang_col).alias("lang")
     )
     training = rows.where(~F.col("held_out"))
-    counted = train(training, Scratch(docs.sparkSession), model_ngrams)
+    counted = train(training, Scratch(docs.sparkSession))
     langs = sorted(counted)
     schema = "doc_id bigint, held_out boolean, lang_pred string, score double, entropy double, rejected boolean"
     if not langs:

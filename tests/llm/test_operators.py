@@ -297,6 +297,17 @@ def test_licences_whatever_the_line_breaks(spark):
         assert (found[at].licences, found[at].n_notices) == (wanted, len(wanted)), list(cases)[at]
 
 
+def test_language_models_keep_every_trigram(spark):
+    """More different trigrams than a model once kept of a language."""
+    text = "".join(chr(0x4E00 + code) for code in np.random.default_rng(1).integers(0, 20_000, 600_000).tolist())
+    codes, ends = langid.letters([text, "aaaa"])
+    want = set(langid._ngrams(codes, ends)[0].tolist())
+    assert len(want) > 500_000
+    found = langid.train(spark.createDataFrame([(text, "x"), ("aaaa", "x"), ("bbb", None)], "text string, lang string"), Scratch(spark))
+    assert list(found) == ["x"] and set(found["x"][0].tolist()) == want
+    assert found["x"][1].sum() == len(langid._ngrams(codes, ends)[0])
+
+
 def test_language(spark, docs, odd, empty):
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     truth = {row.doc_id: row.lang for row in docs.collect()}
