@@ -201,3 +201,48 @@ def test_catalog_documents_are_dealt_before_they_are_parsed(spark):
         assert catalogs.catalog_tables(raw).count() == 200
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def _moved(frame, spark):
+    """How often the plan of ``frame`` deals rows again, with no broadcast joins."""
+    from querydelta.session import _SHARED_KEYS
+
+    settings = {_SHARED_KEYS: "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        return frame()._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_candidates_and_members_stay_dealt_by_case(spark):
+    from querydelta.operators import evidence as E
+    from querydelta.registry import evidence as R
+    from querydelta.sources.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    lines, parts = R._dealt_lines(t)
+    detected = R._detected(t, lines, parts)
+    assert _moved(lambda: R._graded(t, lines), spark) == 1  # the orders
+    assert _moved(lambda: E.build_candidates(detected), spark) == 0
+    assert _moved(lambda: E.candidate_members(detected, E.build_candidates(detected)), spark) == 0
+    assert not [table.name for table in spark.catalog.listTables() if table.name.startswith("querydelta_")]
+
+
+def test_diagnosis_dealt_by_case_agrees_with_the_one_dealt_by_all_keys(spark):
+    from querydelta.plans.diagnosis import diagnose
+    from querydelta.registry import evidence as R
+    from querydelta.sources.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    lines, parts = R._dealt_lines(t)
+    rest = R._distinguished(t), R._nullable(t), R._deps(lines), R._cases(t), R._scope_ranks(t)
+    tables = R._described(R._keyed(lines)), R._effects(lines), R._mutations(lines), *rest
+    ranked = [
+        diagnose(*tables, parts=given).ranked.select("case_id", "candidate_id", "place", "role", "cause_candidate_id")
+        for given in (parts, None)
+    ]
+    assert sorted(map(repr, ranked[0].collect())) == sorted(map(repr, ranked[1].collect())) != []
