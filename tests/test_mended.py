@@ -246,3 +246,25 @@ def test_diagnosis_dealt_by_case_agrees_with_the_one_dealt_by_all_keys(spark):
         for given in (parts, None)
     ]
     assert sorted(map(repr, ranked[0].collect())) == sorted(map(repr, ranked[1].collect())) != []
+
+
+def test_scope_order_writes_one_shrinking_table_per_level(spark, rows, monkeypatch):
+    from querydelta.operators import evidence as E
+
+    nodes = rows("case_id int, scope_id string, scope_kind string", *[(1, f"s{i:02}", "CTE") for i in range(20)], (2, "a", "ROOT"), (2, "b", "CTE"))
+    edges = rows(
+        "case_id int, source_scope_id string, target_scope_id string", *[(1, f"s{i:02}", f"s{i + 1:02}") for i in range(19)],
+        (2, "a", "b"), (2, "b", "a"),
+    )
+    sizes, write = [], E.durable
+
+    def counted(df, *more):
+        written = write(df, *more)
+        sizes.append(written.count())
+        return written
+
+    monkeypatch.setattr(E, "durable", counted)
+    got = {(r.case_id, r.scope_id): (r.scope_rank, r.level, r.partial) for r in E.scope_order(nodes, edges).collect()}
+    assert got == {(1, f"s{i:02}"): (i + 1, i, False) for i in range(20)} | {(2, "a"): (1, None, True), (2, "b"): (2, None, True)}
+    assert len(sizes) <= 2 + 20 + 3
+    assert sum(sizes) < 20 * 20
