@@ -236,8 +236,10 @@ def unresolved_references(refs: DataFrame, scopes: DataFrame, columns: DataFrame
     * ``columns``: table_name, column_name
 
     Only the columns a scope asks for are looked up, once each, and counted per
-    (scope, column) before the references meet them.
+    (scope, column) before the references meet them. The different columns are written first: a small table of them is
+    then broadcast, instead of all scopes being dealt by a few names of tables and columns.
     """
+    columns = durable(columns.select("table_name", "column_name").distinct())
     asked = refs.select("scope_id", "column_name").distinct()
     provided = scopes.join(asked, "scope_id").join(columns, ["table_name", "column_name"], "left_semi")
     by_alias = provided.select("scope_id", F.col("alias").alias("qualifier"), "column_name").distinct() \

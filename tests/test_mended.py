@@ -268,3 +268,16 @@ def test_scope_order_writes_one_shrinking_table_per_level(spark, rows, monkeypat
     assert got == {(1, f"s{i:02}"): (i + 1, i, False) for i in range(20)} | {(2, "a"): (1, None, True), (2, "b"): (2, None, True)}
     assert len(sizes) <= 2 + 20 + 3
     assert sum(sizes) < 20 * 20
+
+
+def test_scopes_are_not_dealt_by_the_few_columns_of_their_tables(spark):
+    from querydelta.operators.constraints import unresolved_references
+
+    scopes = spark.range(1000).selectExpr("id as scope_id", "'a' as alias", "concat('t', id % 2) as table_name")
+    refs = spark.range(1000).selectExpr("id as scope_id", "id as ref_id", "if(id % 2 = 0, 'a', null) as qualifier", "if(id < 990, 'x0', 'y') as column_name")
+    # as many rows as no broadcast would take, but two columns
+    columns = spark.range(2_000_000).selectExpr("concat('t', id % 2) as table_name", "concat('x', id % 1) as column_name")
+    found = unresolved_references(refs, scopes, columns)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(table_name" not in plan
+    assert {(row.ref_id, row.status) for row in found.collect()} == {(n, "missing") for n in range(990, 1000)}
