@@ -15,28 +15,36 @@ import itertools
 import os
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from querydelta.llm.batches import document_columns, slices
+from querydelta.llm.batches import document_columns
 from querydelta.llm.bpe import WHITE_SPACE
 
 BLOCK_IDS = 1 << 16
 BLOCKS = "shard int, block int, first_id bigint, n_ids bigint, bits int, doc_ids array<bigint>, doc_sizes array<bigint>, payload binary"
-#: Pieces that a worker remembers; when full, it starts anew.
+#: Short pieces that a worker remembers; when more come, it goes on with those of the texts at hand.
 CACHE_PIECES = 1_000_000
+#: Bytes of text that are cut and numbered at once (one longer text is taken alone).
+SLICE_BYTES = 1 << 23
 _LONG_PIECE = 64
 #: Pieces in one call of the library.
-_ASKED_PIECES = 4096
-#: White space and the word behind it; every scan of a byte-level pattern cuts between two of them.
-_PIECE = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
-_SPACES = frozenset(chr(code) for code in range(0x3001) if re.match(f"[{WHITE_SPACE}]", chr(code)))
+_ASKED_PIECES = 256
+_SPACES = [chr(code).encode() for code in range(0x3001) if re.match(f"[{WHITE_SPACE}]", chr(code))]
+_ONE_BYTE = np.zeros(256, bool)
+_ONE_BYTE[[space[0] for space in _SPACES if len(space) == 1]] = True
+#: First bytes of wider white space, and these characters as numbers, by width.
+_LEADS = np.zeros(256, bool)
+_LEADS[[space[0] for space in _SPACES if len(space) > 1]] = True
+_WIDE = {width: [int.from_bytes(space) for space in _SPACES if len(space) == width] for width in (2, 3)}
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -62,14 +70,56 @@ def unpack(payload: bytes, bits: int, n_ids: int, first: int = 0) -> np.ndarray:
     return np.ascontiguousarray(wide).view(">u4").reshape(-1).astype(np.uint32)
 
 
+def _octets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values one after another, and the bounds of each value in them."""
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, bounds, data = column.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[column.offset : column.offset + len(column) + 1]
+    octets = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
+    return octets, bounds - bounds[0]
+
+
+def _white(octets: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 belong to white space."""
+    white = _ONE_BYTE[octets]
+    at = np.flatnonzero(_LEADS[octets])
+    number = octets[at].astype(np.int32)
+    for width, spaces in _WIDE.items():
+        number = number << 8 | octets[np.minimum(at + width - 1, len(octets) - 1)]
+        found = at[np.isin(number, spaces)]
+        for offset in range(width):
+            white[found + offset] = True
+    return white
+
+
+def _chosen(sizes: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of ids with these sizes, those at ``at`` in that order: sizes and ids."""
+    starts, chosen = np.cumsum(sizes) - sizes, sizes[at]
+    ends = np.cumsum(chosen)
+    return chosen, ids[np.repeat(starts[at] - (ends - chosen), chosen) + np.arange(chosen.sum())]
+
+
+def byte_slices(column: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """``column`` in parts of at most ``limit`` bytes, or one value."""
+    _, bounds = _octets(column)
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + limit, "right")) - 1)
+        yield column.slice(first, last - first)
+        first = last
+
+
 class PieceEncoder:
     """Whole texts through a ``tokenizers`` file, asking the library once per distinct piece.
 
-    New pieces are asked for many at a time, as one text: its ids are those of the pieces one after another, and are dealt
-    back by the bytes that each id stands for.
+    A piece is white space and the word behind it; every scan of a byte-level pattern cuts between two of them. New pieces
+    are asked for many at a time, as one text: its ids are those of the pieces one after another, and are dealt back by the
+    bytes that each id stands for. Pieces are cut, numbered and looked up as Arrow columns, never as single objects.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,42 +129,71 @@ class PieceEncoder:
         self.length = np.zeros(self.size, np.int64)
         for token, at in self.library.get_vocab().items():
             self.length[at] = len(token.encode()) if token in special else len(token)
-        self.known: dict[str, bytes] = {}
-
-    def _ask(self, pieces: list[str]) -> dict[str, bytes]:
-        """White space and then a word stand well behind each other; any other piece is asked for alone."""
-        plain, other = [], []
-        for piece in pieces:
-            (plain if piece[0] in _SPACES and piece[-1] not in _SPACES else other).append(piece)
-        alone = self.library.encode_batch_fast(other, add_special_tokens=False)
-        out = {piece: np.array(found.ids, "<u4").tobytes() for piece, found in zip(other, alone, strict=True)}
-        for first in range(0, len(plain), _ASKED_PIECES):
-            asked = plain[first : first + _ASKED_PIECES]
-            found = self.library.encode_batch_fast(["".join(asked)], add_special_tokens=False)[0]
-            ids = np.array(found.ids, "<u4")
-            token_ends = np.cumsum(self.length[ids])
-            piece_ends = np.cumsum([len(piece.encode()) for piece in asked])
+        self.cache_pieces = cache_pieces
+        self.known = pa.array([], pa.binary())
+        self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _ask(self, pieces: pa.Array, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids. ``inner``: white space and then a word, which stand well behind each other; others are asked for alone."""
+        octets, bounds = _octets(pieces.filter(pa.array(inner)))
+        sizes, ids = [], []
+        for first in range(0, len(bounds) - 1, _ASKED_PIECES):
+            asked = bounds[first : first + _ASKED_PIECES + 1]
+            text = octets[asked[0] : asked[-1]].tobytes().decode()
+            found = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            token_ends, piece_ends = np.cumsum(self.length[found]), asked[1:] - asked[0]
             cuts = np.searchsorted(token_ends, piece_ends, "left") + 1
             if (token_ends[cuts - 1] != piece_ends).any():
                 raise AssertionError("a token of the library spans two pieces")
-            octets, start = ids.tobytes(), 0
-            for piece, cut in zip(asked, (4 * cuts).tolist(), strict=True):
-                out[piece] = octets[start:cut]
-                start = cut
-        return out
+            sizes.append(np.diff(cuts, prepend=0))
+            ids.append(found)
+        other = pieces.filter(pa.array(~inner)).cast(pa.string()).to_pylist()
+        for found in self.library.encode_batch_fast(other, add_special_tokens=False):
+            sizes.append([len(found.ids)])
+            ids.append(np.array(found.ids, "<u4"))
+        order = np.argsort(np.concatenate([np.flatnonzero(inner), np.flatnonzero(~inner)]))
+        return _chosen(np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*ids, np.zeros(0, "<u4")]), order)
+
+    def _look_up(self, pieces: pa.Array, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of distinct pieces; short ones are remembered."""
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = at < 0
+        asked_sizes, asked_ids = self._ask(pieces.filter(pa.array(new)), inner[new])
+        at[new] = len(self.known) + np.arange(len(asked_sizes))
+        sizes, ids = _chosen(np.concatenate([self.sizes, asked_sizes]), np.concatenate([self.ids, asked_ids]), at)
+        kept = pc.less_equal(pc.binary_length(pieces), _LONG_PIECE).to_numpy(zero_copy_only=False)
+        full = len(self.known) + np.count_nonzero(new & kept) > self.cache_pieces
+        rows = np.flatnonzero(kept)[: self.cache_pieces] if full else np.flatnonzero(new & kept)
+        more, more_sizes, more_ids = pieces.take(pa.array(rows)), *_chosen(sizes, ids, rows)
+        if full:
+            self.known, self.sizes, self.ids = more, more_sizes, more_ids
+        else:
+            self.known = pa.concat_arrays([self.known, more])
+            self.sizes, self.ids = np.concatenate([self.sizes, more_sizes]), np.concatenate([self.ids, more_ids])
+        return sizes, ids
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no NULLs) one after another, and the bounds of each text's ids in them."""
+        octets, bounds = _octets(texts)
+        if not len(octets):
+            return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        white = _white(octets)
+        cut = np.ones(len(octets) + 1, bool)
+        cut[1:-1] = white[1:] & ~white[:-1]
+        cut[bounds] = True
+        cuts = np.flatnonzero(cut)
+        places = [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(octets)]
+        numbered = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, places).dictionary_encode()
+        number = numbered.indices.to_numpy()
+        inner = np.zeros(len(numbered.dictionary), bool)
+        inner[number] = white[cuts[:-1]] & ~white[cuts[1:] - 1]
+        sizes, ids = _chosen(*self._look_up(numbered.dictionary, inner), number)
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(cuts, bounds)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        pieces = [_PIECE.findall(text) for text in texts]
-        distinct = set(itertools.chain.from_iterable(pieces))
-        missing = list(distinct.difference(self.known))
-        if len(self.known) + len(missing) > CACHE_PIECES:
-            self.known, missing = {}, list(distinct)
-        self.known.update(self._ask(missing))
-        known = self.known
-        if any(len(piece) > _LONG_PIECE for piece in missing):
-            self.known = {piece: ids for piece, ids in known.items() if len(piece) <= _LONG_PIECE}
-        return [np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4") for own in pieces]
+        ids, bounds = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(ids, bounds[1:-1]) if texts else []
 
 
 @functools.cache
@@ -148,8 +227,8 @@ def write_token_files(
             )
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            encoded = (ids for low, high in slices(texts) for ids in own.encode(texts[low:high]))
+            parts_of = map(own.encode_column, byte_slices(batch.column(1), SLICE_BYTES))
+            encoded = (ids[a:b] for ids, bounds in parts_of for a, b in itertools.pairwise(bounds.tolist()))
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 parts += [ids, end]
                 doc_ids.append(doc_id)

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,33 @@ def test_pieces_encode_like_the_library():
     assert found == [own.library.encode(text, add_special_tokens=False).ids for text in strange(300, seed=2)]
 
 
+def test_pieces_of_a_full_cache_and_of_any_white_space():
+    own = packing.PieceEncoder(JSON, cache_pieces=40)
+    spaces = [space.decode() for space in packing._SPACES]
+    rng = random.Random(3)
+    made = ["".join(rng.choice([*PIECES, *spaces]) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    for first in range(0, 200, 20):
+        ids, bounds = own.encode_column(pa.array(["", *made])[1:][first : first + 20])
+        found = [part.tolist() for part in np.split(ids, bounds[1:-1])]
+        assert found == [own.library.encode(text, add_special_tokens=False).ids for text in made[first : first + 20]]
+        assert len(own.known) == len(own.sizes) <= 40 and own.sizes.sum() == len(own.ids)
+
+
+def test_a_full_cache_keeps_the_pieces_at_hand():
+    own, asked = packing.PieceEncoder(JSON, cache_pieces=4), []
+    ask = own._ask
+    own._ask = lambda pieces, inner: asked.append(pieces.to_pylist()) or ask(pieces, inner)
+    for text in (" one two three", " two three four five", " two three four five"):
+        own.encode([text])
+    assert asked == [[b" one", b" two", b" three"], [b" four", b" five"], []]
+
+
+def test_slices_of_a_column():
+    column = pa.array(["", "ab", "cdefg", "", "h", "ij"])
+    assert [part.to_pylist() for part in packing.byte_slices(column, 3)] == [["", "ab"], ["cdefg"], ["", "h", "ij"]]
+    assert list(packing.byte_slices(column[:0], 3)) == []
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 16, 17, 24, 31])
 def test_packing_round_trip_and_random_access(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001).astype(np.uint32)
