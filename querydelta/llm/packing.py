@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from querydelta.functions.octets import octets_of
 from querydelta.llm.batches import document_columns
 from querydelta.llm.bpe import WHITE_SPACE
 
@@ -70,17 +71,6 @@ def unpack(payload: bytes, bits: int, n_ids: int, first: int = 0) -> np.ndarray:
     return np.ascontiguousarray(wide).view(">u4").reshape(-1).astype(np.uint32)
 
 
-def _octets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all values one after another, and the bounds of each value in them."""
-    column = column.cast(pa.large_binary())
-    if not len(column):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    _, bounds, data = column.buffers()
-    bounds = np.frombuffer(bounds, np.int64)[column.offset : column.offset + len(column) + 1]
-    octets = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
-    return octets, bounds - bounds[0]
-
-
 def _white(octets: np.ndarray) -> np.ndarray:
     """Which bytes of UTF-8 belong to white space."""
     white = _ONE_BYTE[octets]
@@ -103,7 +93,7 @@ def _chosen(sizes: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndar
 
 def byte_slices(column: pa.Array, limit: int) -> Iterator[pa.Array]:
     """``column`` in parts of at most ``limit`` bytes, or one value."""
-    _, bounds = _octets(column)
+    _, bounds = octets_of(column)
     first = 0
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + limit, "right")) - 1)
@@ -135,7 +125,7 @@ class PieceEncoder:
 
     def _ask(self, pieces: pa.Array, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids. ``inner``: white space and then a word, which stand well behind each other; others are asked for alone."""
-        octets, bounds = _octets(pieces.filter(pa.array(inner)))
+        octets, bounds = octets_of(pieces.filter(pa.array(inner)))
         sizes, ids = [], []
         for first in range(0, len(bounds) - 1, _ASKED_PIECES):
             asked = bounds[first : first + _ASKED_PIECES + 1]
@@ -174,7 +164,7 @@ class PieceEncoder:
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (no NULLs) one after another, and the bounds of each text's ids in them."""
-        octets, bounds = _octets(texts)
+        octets, bounds = octets_of(texts)
         if not len(octets):
             return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
         white = _white(octets)

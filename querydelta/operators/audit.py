@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from querydelta.functions import payload as P
 from querydelta.functions import vocabulary as V
 from querydelta.functions.logic import long_form
+from querydelta.functions.octets import SIEVE_BITS, SIZES, runs_of_texts
 from querydelta.functions.text import MIN_SECRET_CHARS, collapse, normalized_secret
 from querydelta.session import durable
 
@@ -107,28 +111,38 @@ def audit_leaks(
     return own.unionAll(quoted)
 
 
-def _runs(units: Column, width: int) -> Column:
-    """A hash for every run of ``width`` units; 0 stands for runs of characters.
+def _runs(table: DataFrame, key: str, sizes: Sequence[int], of_ref: bool, sieve=None) -> DataFrame:
+    """``key, run`` of the column ``text``; a salt keeps the parts apart. References have runs of their own ``size`` only."""
+    schema = StructType([table.schema[key], StructField("run", LongType())])
 
-    ``units`` must be a column, not an expression: it is read at every position.
-    """
-    length = width or MIN_SECRET_CHARS
-
-    def run(start: Column) -> Column:
-        return F.xxhash64(F.lit(width), *[F.get(units, start + offset) for offset in range(length)])
+    def find(batches):
+        for batch in batches:
+            salts, own = (batch.column(at).to_numpy() for at in (2, 3))
+            numbers, runs = runs_of_texts(
+                batch.column(1), sizes, salts.view(np.uint64), own if of_ref else None, None if sieve is None else sieve.value
+            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(numbers)), pa.array(runs.view(np.int64))], names=[key, "run"])
 
-    starts = F.when(F.size(units) >= length, F.sequence(F.lit(0), F.size(units) - length))
-    return F.transform(F.coalesce(starts, F.array().cast("array<int>")), run)
+    return table.select(key, "text", "salt", F.col("size") if of_ref else F.lit(0).alias("size")).mapInArrow(find, schema)
 
 
-def _units(text: Column, width: int) -> Column:
-    """Hashed tokens of a collapsed text, or its characters for width 0."""
-    parts = F.split(text, " ") if width else F.filter(F.split(text, ""), lambda char: char != "")
-    return F.transform(parts, lambda part: F.xxhash64(part))
+def _sieve(runs: DataFrame):
+    """A broadcast bitmap of the first bits of ``runs``: 2 MB, however many there are."""
+    place = F.shiftrightunsigned("run", 64 - SIEVE_BITS) + 1
+    marks = runs.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("marks")
+    )
+    sieve = np.zeros((1 << SIEVE_BITS) // 8, np.uint8)
+    for row in marks.collect():
+        own = np.frombuffer(row.marks, np.uint8)
+        sieve[(row.bucket - 1) * len(own) : row.bucket * len(own)] = own
+    return runs.sparkSession.sparkContext.broadcast(sieve)
 
 
 #: Parts into which the documents that hold one anchor are dealt.
 _SALTS = 16
+#: Bytes that a word counts for.
+_WORD_BYTES = 12
 
 
 def corpus_leaks(docs: DataFrame, refs: DataFrame, width: int = 6, part: str | None = None) -> DataFrame:
@@ -136,47 +150,33 @@ def corpus_leaks(docs: DataFrame, refs: DataFrame, width: int = 6, part: str | N
 
     Both texts are compared case-folded with white space collapsed. ``docs``:
     doc_id, text; ``refs``: item_id, text. With ``part``, a column of both, only passages of a document's own part count.
+    Runs of bytes are sought within stretches of at most ``width`` words of 12 bytes.
 
-    A passage inside a document keeps its inner tokens whole, so a run of inner
-    tokens is a sure sign; passages of one or two tokens use runs of characters.
+    A document that holds a passage shares all runs of the passage (see ``byte_runs``), so a run is a sure sign.
     Of all runs of a passage the one fewest documents (of its part) hold is its anchor; only
     documents with the anchor are searched. Nothing is capped, and a passage
-    with a run no document holds drops out at once. Rows meet by anchor, so a part of any size is spread over tasks, and
+    with a run no document holds drops out at once. Runs are cut from bytes in numpy, and those whose first bits no passage has
+    leave no row. Rows meet by anchor, so a part of any size is spread over tasks, and
     the documents of one anchor are dealt into salted parts.
     """
     parts = [part] if part else []
+    salt = (F.xxhash64(part) if part else F.lit(0).cast("bigint")).alias("salt")
     documents = docs.select("doc_id", *parts, collapse(F.col("text")).alias("text"))
+    reached = [F.when(F.octet_length("text") >= size, size) for size in SIZES if size <= max(SIZES[0], width * _WORD_BYTES)]
     passages = durable(
         refs.select("item_id", *parts, normalized_secret(F.col("text")).alias("text"))
         .where(F.length("text") >= MIN_SECRET_CHARS)
-        .withColumn("width", F.least(F.lit(width), F.greatest(F.size(F.split("text", " ")) - 2, F.lit(0))))
+        .withColumn("size", F.coalesce(*reversed(reached)))
     )
-    widths = [row[0] for row in passages.select("width").distinct().collect()]  # at most width + 1 numbers
-    if not widths:
+    sizes = sorted(row[0] for row in passages.select("size").distinct().collect())  # at most as many as SIZES
+    if not sizes:
         none = F.lit(None).cast(passages.schema["item_id"].dataType)
         return documents.limit(0).select("doc_id", none.alias("item_id"))
-    units = {"tokens": max(widths), "chars": 0}
-    if 0 not in widths:
-        del units["chars"]
-    if not any(widths):
-        del units["tokens"]
-
-    def runs_of(table: DataFrame, key: str, of_ref: bool) -> DataFrame:
-        split = table.select(*table.columns, *[_units(F.col("text"), size).alias(name) for name, size in units.items()])
-        if of_ref and "tokens" in units:
-            inner = F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 2, F.lit(0)))
-            split = split.withColumn("tokens", inner)
-        arrays = [_runs(F.col("tokens" if size else "chars"), size) for size in widths]
-        if of_ref:
-            none = F.array().cast("array<bigint>")
-            arrays = [F.when(F.col("width") == size, runs).otherwise(none) for size, runs in zip(widths, arrays)]
-        every = F.array_distinct(arrays[0] if len(arrays) == 1 else F.flatten(F.array(*arrays)))
-        if part:
-            every = F.transform(every, lambda run: F.xxhash64(F.col(part), run))
-        return split.select(key, F.explode(every).alias("run"))
-
-    signs = durable(runs_of(passages, "item_id", True))
-    held = durable(runs_of(documents, "doc_id", False).join(signs.select("run").distinct(), "run", "left_semi"))
+    signs = durable(_runs(passages.select("*", salt), "item_id", sizes, True))
+    held = durable(
+        _runs(documents.select("*", salt), "doc_id", sizes, False, _sieve(signs))
+        .join(signs.select("run").distinct(), "run", "left_semi")
+    )
     spread = held.groupBy("run").agg(F.count(F.lit(1)).alias("n_docs"))
     rated = signs.join(spread, "run", "left").groupBy("item_id").agg(
         F.min(F.struct(F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "run")).alias("anchor")
@@ -189,7 +189,7 @@ def corpus_leaks(docs: DataFrame, refs: DataFrame, width: int = 6, part: str | N
     named = passages.select("item_id", *[F.col(name).alias("part__") for name in parts], F.col("text").alias("passage"))
     inside = F.col("text").contains(F.col("passage"))
     return (
-        candidates.distinct().join(documents, "doc_id").join(named, "item_id")
+        candidates.distinct().join(named, "item_id").join(documents, "doc_id")
         .where(inside & (F.col(part) == F.col("part__")) if part else inside).select("doc_id", "item_id")
     )
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import datetime
 import json
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from querydelta.functions.octets import SIZES, byte_runs, octets_of, runs_of_texts
 from querydelta.functions.payload import json_keys, prune_keys
 from querydelta.functions.vocabulary import PROBES_OF_TYPE
 from querydelta.operators import audit as A
@@ -281,3 +284,35 @@ def test_scopes_are_not_dealt_by_the_few_columns_of_their_tables(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(table_name" not in plan
     assert {(row.ref_id, row.status) for row in found.collect()} == {(n, "missing") for n in range(990, 1000)}
+
+
+def test_a_text_shares_the_runs_of_passages_in_it():
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("ab é日🙂"), n)) for n in (0, 3, 9, 40, 400, 3000)] + ["a" * 500]
+    octets, bounds = octets_of(pa.array(texts))
+    for size in SIZES:
+        # parts shorter than most texts give the same runs
+        whole = {int(run) for _, runs in byte_runs(octets, bounds, size) for run in runs}
+        assert whole == {int(run) for _, runs in byte_runs(octets, bounds, size, part_bytes=50) for run in runs}
+    for text in texts:
+        for _ in range(40):
+            start = int(rng.integers(0, len(text) + 1))
+            passage = text[start : start + int(rng.integers(8, 200))]
+            reached = [size for size in SIZES if size <= len(passage.encode())]
+            for size in reached:
+                # whatever stands around it, and whichever text comes before it in the column
+                alone = set(runs_of_texts(pa.array(["x", passage]), [size])[1].tolist())
+                assert alone and alone <= set(runs_of_texts(pa.array(["abab", "x" + text + "y"]), [size])[1].tolist())
+
+
+def test_leak_search_leaves_no_row_for_other_runs(rows):
+    words = ["".join(chr(97 + (i * k) % 26) for k in range(1, 9)) for i in range(2000)]
+    docs = rows("doc_id int, text string", *[(i, " ".join(words[i : i + 200])) for i in range(0, 1800, 100)])
+    refs = rows("item_id int, text string", (1, words[5] + " " + words[6]), (2, words[1850]), (3, "nowhere at all"))
+    passages = refs.selectExpr("item_id", "text", "16 as size", "0L as salt").where("item_id = 1")
+    sieve = A._sieve(A._runs(passages, "item_id", [16], True))
+    found = A._runs(docs.selectExpr("*", "0L as salt"), "doc_id", [16], False, sieve)
+    assert 0 < found.count() < 20 and found.select("doc_id").distinct().collect()[0][0] == 0
+    folded = {row.doc_id: row.text for row in docs.collect()}
+    want = {(d, r.item_id) for d, text in folded.items() for r in refs.collect() if r.text in text}
+    assert {(r.doc_id, r.item_id) for r in A.corpus_leaks(docs, refs).collect()} == want
