@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querydelta.session import durable
+from querydelta.session import durable, parts_of
 
 ForeignKey = tuple[Sequence[str], DataFrame, Sequence[str]]
 
@@ -152,10 +152,15 @@ def join_fan_out(joins: DataFrame, fks: DataFrame, keys: DataFrame) -> DataFrame
     ``joins``: catalog_id, join_id, left_table, left_columns, right_table, right_columns (arrays in step). It does if the join columns of
     the joined table hold one of its keys. Columns that a foreign key takes from the left side bind the whole key that
     it refers to, so a foreign key of the left table into the joined one counts as well; without any declared key the answer is NULL.
+
+    Rows are dealt into as many parts as the longest of the three tables asks for, so a task's share does not grow with them;
+    ``fks`` and ``keys`` are read twice.
     """
-    asked = joins.select("catalog_id", "join_id", "left_table", "left_columns", "right_table", "right_columns")
+    asked = durable(joins.select("catalog_id", "join_id", "left_table", "left_columns", "right_table", "right_columns"))
+    parts = max(map(parts_of, (asked, fks, keys)))
+    table, pair = ["catalog_id", "right_table"], ["catalog_id", "left_table", "right_table"]
     own = keys.select("catalog_id", F.col("table_name").alias("right_table"), F.col("columns").alias("key__"))
-    by_key = asked.join(own, ["catalog_id", "right_table"], "left").select(
+    by_key = asked.repartition(parts, *table).join(own.repartition(parts, *table), table, "left").select(
         "catalog_id", "join_id",
         F.when(F.col("key__").isNotNull(), F.size(F.array_except("key__", "right_columns")) == 0).alias("bound"),
     )
@@ -164,10 +169,11 @@ def join_fan_out(joins: DataFrame, fks: DataFrame, keys: DataFrame) -> DataFrame
         F.arrays_zip("from_columns", "to_columns").alias("reference__"),
     )
     joined_on = F.arrays_zip(F.col("left_columns").alias("from_columns"), F.col("right_columns").alias("to_columns"))
-    by_reference = asked.join(references, ["catalog_id", "left_table", "right_table"]).select(
+    by_reference = asked.repartition(parts, *pair).join(references.repartition(parts, *pair), pair).select(
         "catalog_id", "join_id", F.when(F.forall("reference__", lambda pair: F.array_contains(joined_on, pair)), True).alias("bound")
     )
-    return by_key.unionAll(by_reference).groupBy("catalog_id", "join_id").agg(F.bool_or("bound").alias("at_most_one"))
+    judged = by_key.unionAll(by_reference).repartition(parts, "catalog_id", "join_id")
+    return judged.groupBy("catalog_id", "join_id").agg(F.bool_or("bound").alias("at_most_one"))
 
 
 def bridge_tables(fks: DataFrame, requests: DataFrame) -> DataFrame:

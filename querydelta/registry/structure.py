@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from querydelta.operators import constraints as K
 from querydelta.operators import hierarchy as H
 from querydelta.registry import query
+from querydelta.session import durable, parts_of
 from querydelta.sources import catalogs as G
 
 # A part reports to the part with a quarter of its number; part 0 is the root,
@@ -98,11 +99,13 @@ _FKS = """f AS (SELECT DISTINCT o_custkey AS catalog_id, o_orderpriority AS a, o
 
 
 def _fks(t):
-    return t.orders.select(
+    # dealt before they are counted, so no task holds more different rows the longer its file is
+    named = ["o_custkey", "o_orderpriority", "o_orderstatus"]
+    return t.orders.select(*named).repartition(parts_of(t.orders), *named).distinct().select(
         F.col("o_custkey").alias("catalog_id"), F.col("o_orderpriority").alias("from_table"),
         F.array(F.concat(F.lit("ref_"), "o_orderstatus")).alias("from_columns"),
         F.col("o_orderstatus").alias("to_table"), F.array(F.lit("id")).alias("to_columns"),
-    ).distinct()
+    )
 
 
 def _keys(t):
@@ -162,7 +165,7 @@ SELECT f.catalog_id, f.a || '>' || f.b AS join_id, CASE WHEN k.b IS NOT NULL THE
 FROM f LEFT JOIN k USING (catalog_id, a, b) LEFT JOIN t USING (catalog_id, a)
 UNION ALL SELECT catalog_id, b || '<' || a, true FROM f""")
 def join_fan_out(t):
-    fks = _fks(t)
+    fks = durable(_fks(t))
     down = fks.select(
         "catalog_id", F.concat("from_table", F.lit(">"), "to_table").alias("join_id"), F.col("to_table").alias("left_table"),
         F.array(F.lit("id"), F.lit("n")).alias("left_columns"), F.col("from_table").alias("right_table"),
@@ -171,7 +174,7 @@ def join_fan_out(t):
     up = fks.select(
         "catalog_id", F.concat("to_table", F.lit("<"), "from_table"), F.col("from_table"), "from_columns", F.col("to_table"), "to_columns"
     )
-    return K.join_fan_out(down.unionAll(up), fks, _keys(t))
+    return K.join_fan_out(down.unionAll(up), fks, durable(_keys(t)))
 
 
 @query("uniquely_identified", f"""WITH {_FKS},

@@ -14,6 +14,7 @@ from querydelta.functions.payload import json_keys, prune_keys
 from querydelta.functions.vocabulary import PROBES_OF_TYPE
 from querydelta.operators import audit as A
 from querydelta.operators import datagen as D
+from querydelta.operators.constraints import join_fan_out
 from querydelta.operators.datagen import seed_value
 from querydelta.operators.evidence import hint_slot, logical_stage, unscoped_candidates
 from querydelta.operators.hierarchy import hierarchy_reach
@@ -316,3 +317,25 @@ def test_leak_search_leaves_no_row_for_other_runs(rows):
     folded = {row.doc_id: row.text for row in docs.collect()}
     want = {(d, r.item_id) for d, text in folded.items() for r in refs.collect() if r.text in text}
     assert {(r.doc_id, r.item_id) for r in A.corpus_leaks(docs, refs).collect()} == want
+
+
+def test_join_fan_out_in_parts_that_grow_with_its_tables(rows, tiny_groups):
+    many = range(60)
+    fks = rows(
+        "catalog_id int, from_table string, from_columns array<string>, to_table string, to_columns array<string>",
+        *[(i, "a", ["r"], "b", ["id"]) for i in many],
+    )
+    keys = rows("catalog_id int, table_name string, columns array<string>", *[(i, "a", ["r"]) for i in many if i % 2])
+    joins = rows(
+        "catalog_id int, join_id string, left_table string, left_columns array<string>, right_table string, right_columns array<string>",
+        *[(i, "up", "a", ["r"], "b", ["id"]) for i in many], *[(i, "down", "b", ["id", "n"], "a", ["r", "n"]) for i in many],
+        *[(i, "other", "b", ["n"], "a", ["n"]) for i in many],
+    )
+    found = join_fan_out(joins, fks, keys)
+    got = {(r.catalog_id, r.join_id): r.at_most_one for r in found.collect()}
+    assert got == {
+        (i, join): True if join == "up" or join == "down" and i % 2 else False if i % 2 else None
+        for i in many for join in ("up", "down", "other")
+    }
+    # 180 joins in parts of at most half a chunk of three rows
+    assert found.rdd.getNumPartitions() == 120
